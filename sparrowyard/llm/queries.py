@@ -100,7 +100,7 @@ QUERIES = {f.__name__: f for f in (
 
 
 def _quality_sql() -> str:
-    words = lambda t: f"list_filter(string_split_regex({t}, '{SPACE}'), x -> x <> '')"
+    words = lambda t: f"list_filter(string_split_regex({t}, '{SPACE}'), lambda x: x <> '')"
     q = lambda names: ", ".join(f"'{n}'" for n in names)
     part = r"[^|»>\s]+(?:\s[^|»>\s]+){0,2}"
     return rf"""
