@@ -9,6 +9,7 @@ shuffled to it and back, many times the input; this one moves nothing.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
@@ -31,7 +32,7 @@ class ChunkTable:
     def _add(self, chunks: list) -> None:
         ids = self.encode(chunks)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths, self.flat = np.concatenate([self.lengths, lengths]), np.concatenate([self.flat, flat])
         if self.decode:
@@ -43,7 +44,7 @@ class ChunkTable:
         """Numbers of the chunks in order; what is new is encoded first."""
         if len(self.lengths) > self.limit:
             self.clear()
-        new = list({c for c in chunks if c not in self.numbers})
+        new = list(set(chunks).difference(self.numbers))
         if new:
             self._add(new)
         out = np.fromiter(map(self.numbers.__getitem__, chunks), np.int64, len(chunks))

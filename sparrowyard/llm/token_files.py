@@ -16,7 +16,9 @@ an empty table gives no files and an empty result; null ids are not allowed in f
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -26,21 +28,72 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowyard.llm.chunks import ChunkTable
+from sparrowyard.llm.chunks import LONG, ChunkTable
 
 MAGIC = b"TOKF"
 _FOOTER = "<QQQ4s"
 _loaded: dict[str, ChunkTable] = {}
 
 
+# Chunks of printable ASCII and Latin letters, where lower case and letter classes are beyond doubt.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+_PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable ones for themselves, others from 256 on in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    out, spare = [], 256
+    for b in range(256):
+        out.append(chr(b if b in plain else spare))
+        spare += b not in plain
+    return out
+
+
 def _table(path: str) -> ChunkTable:
-    """BPE of this tokenizer never crosses white space, and so neither do its added tokens."""
+    """BPE of this tokenizer never crosses white space, and so neither do its added tokens.
+
+    A plain chunk is lower-cased and cut here as the tokenizer's own rules do, and its pieces go to the
+    library's BPE model; any other chunk, and any chunk that may hold an added token, goes through the whole
+    library pipeline. A tokenizer with other rules uses the pipeline for every chunk.
+    """
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        _loaded[path] = ChunkTable(lambda chunks: [e.ids for e in t.encode_batch([c.decode() for c in chunks], add_special_tokens=False)])
+        rules = json.loads(t.to_str())
+        steps = [n["type"] for n in rules["normalizer"]["normalizers"]] if rules["normalizer"] and "normalizers" in rules["normalizer"] else []
+        cuts = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+        pattern = cuts[0].get("pattern", {}).get("Regex") if cuts else None
+        known = steps == ["NFC", "Replace", "Lowercase"] and pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+        added = [a["content"] for a in rules["added_tokens"]]
+        letters, pieces, model = _byte_letters(), {}, t.model
+
+        special = re.compile("|".join(map(re.escape, added)) or "(?!)").search
+
+        def pieced(x: str) -> list[int]:
+            ids = [i.id for i in model.tokenize(x if x.isascii() else "".join([letters[b] for b in x.encode()]))]
+            if len(x) <= LONG:
+                pieces[x] = ids
+            return ids
+
+        def encode(chunks: list[bytes]) -> list[list[int]]:
+            out = []
+            if len(pieces) > 250_000:
+                pieces.clear()
+            for c in map(bytes.decode, chunks):
+                if not known or not _PLAIN.fullmatch(c) or special(c):
+                    out.append(t.encode(c, add_special_tokens=False).ids)
+                    continue
+                parts = _PIECE.findall(c.lower())
+                ids = pieces.get(parts[0]) or pieced(parts[0])
+                for x in parts[1:]:
+                    ids = ids + (pieces.get(x) or pieced(x))
+                out.append(ids)
+            return out
+
+        _loaded[path] = ChunkTable(encode, limit=400_000)
     return _loaded[path]
 
 
