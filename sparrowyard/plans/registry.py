@@ -1,4 +1,398 @@
-"""All queries on the driver's tables outside the training-data operators."""
+"""Queries on the driver's tables, each with the DuckDB SQL that must give the same rows.
+
+Views map the tables to the shapes that the operators expect; each is defined twice, as a DataFrame and as SQL.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparrowyard.functions import columns as C
+from sparrowyard.operators import graph, indicators, ledger, recommend
+from sparrowyard.operators import relational as R
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# views
+_K = "cast(json_extract_string(props, '$.k') AS INTEGER)"
+TRADES = f"trades AS (SELECT event_id AS trade_id, event_type AS symbol, value AS price, {_K} AS qty, ts, CASE WHEN {_K} % 2 = 0 THEN 'buy' ELSE 'sell' END AS side FROM events)"
+TX = """tx AS (SELECT event_id AS tx_id, user_id % 60 AS orig, (event_id * 7 + user_id * 3 + 1) % 60 AS dest, epoch_us(ts) // 1000 AS ms,
+    CAST(round(CAST(value AS DECIMAL(38,10)) * 100, 0) AS BIGINT) AS amount_cents,
+    CASE event_type WHEN 'purchase' THEN 'PAYMENT' WHEN 'click' THEN 'CASH_IN' WHEN 'view' THEN 'TRANSFER' WHEN 'signup' THEN 'CASH_OUT' ELSE 'DEBIT' END AS type FROM events)"""
+OPS = """ops AS (SELECT tx_id, ms, type, orig AS account, CASE WHEN type = 'CASH_IN' THEN amount_cents ELSE -amount_cents END AS delta_cents,
+    CASE WHEN type = 'CASH_IN' THEN 'credit' ELSE 'debit' END AS kind FROM tx UNION ALL
+    SELECT tx_id, ms, type, dest, amount_cents, 'credit' FROM tx WHERE type = 'TRANSFER')"""
+EDGES = "e AS (SELECT DISTINCT l_partkey AS src, 1000000 + l_suppkey AS dst FROM lineitem WHERE l_quantity >= 48)"
+BOTH = EDGES + ", u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+RATINGS = "ratings AS (SELECT o_custkey AS user, l_partkey AS item, avg(l_quantity) / 10 AS rating FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)"
+OPENING = 20_000
+
+
+def trades(spark, d):
+    e = table(spark, d, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    return e.select(F.col("event_id").alias("trade_id"), F.col("event_type").alias("symbol"), F.col("value").alias("price"), k.alias("qty"), "ts", F.when(k % 2 == 0, "buy").otherwise("sell").alias("side"))
+
+
+def tx(spark, d):
+    kinds = {"purchase": "PAYMENT", "click": "CASH_IN", "view": "TRANSFER", "signup": "CASH_OUT"}
+    kind = F.lit("DEBIT")
+    for a, b in kinds.items():
+        kind = F.when(F.col("event_type") == a, b).otherwise(kind)
+    return table(spark, d, "events").select(
+        F.col("event_id").alias("tx_id"), (F.col("user_id") % 60).alias("orig"), ((F.col("event_id") * 7 + F.col("user_id") * 3 + 1) % 60).alias("dest"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), C.cents(F.col("value")).alias("amount_cents"), kind.alias("type"),
+    )
+
+
+def edges(spark, d):
+    e = table(spark, d, "lineitem").where("l_quantity >= 48").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst"))
+    return e.distinct()
+
+
+def ratings(spark, d):
+    j = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return j.groupBy(F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item")).agg((F.avg("l_quantity") / 10).alias("rating"))
+
+
+def r6(*cols):
+    return [F.round(c, 6).alias(c) for c in cols]
+
+
+# aggregates
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_extendedprice), 6) AS avg_hp, round(avg(l_quantity), 6) AS avg_arm,
+    round(count(*) FILTER (WHERE l_discount > 0.05) * 100.0 / count(*), 6) AS head_rate FROM lineitem GROUP BY 1, 2""")
+def weapon_effectiveness(spark, d):
+    keys = ["l_returnflag", "l_linestatus"]
+    return R.group_rate(table(spark, d, "lineitem"), keys, {"avg_hp": "l_extendedprice", "avg_arm": "l_quantity"}, F.col("l_discount") > 0.05, "head_rate").select(*keys, "n", *r6("avg_hp", "avg_arm", "head_rate"))
+
+
+@query("""WITH a AS (SELECT l_suppkey, l_linenumber, sum(l_extendedprice) AS t, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1, 2)
+    SELECT l_linenumber, count(l_suppkey) AS n, round(avg(t), 4) AS avg_total, round(avg(m), 4) AS avg_mean FROM a GROUP BY 1""")
+def rank_vs_performance(spark, d):
+    out = R.two_level(table(spark, d, "lineitem"), ["l_suppkey", "l_linenumber"], "l_linenumber", "l_extendedprice")
+    return out.select("l_linenumber", "n", F.round("avg_total", 4).alias("avg_total"), F.round("avg_mean", 4).alias("avg_mean"))
+
+
+@query("SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, round(avg(l_extendedprice), 4) AS mean, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1, 2, 3")
+def side_advantage(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(F.count("*").alias("n"), F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+
+
+@query("SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS \"column\", unnest([count(*) - count(c_custkey), count(*) - count(c_name), count(*) - count(c_nationkey), count(*) - count(c_acctbal), count(*) - count(c_mktsegment)]) AS nulls, count(*) AS total FROM customer")
+def null_profile(spark, d):
+    return R.null_profile(table(spark, d, "customer"))
+
+
+_NUM = lambda c: f"SELECT '{c}' AS \"column\", CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std_samp, round(stddev_pop({c}), 4) AS std_pop FROM part"
+
+
+@query(" UNION ALL ".join(map(_NUM, ("p_size", "p_retailprice"))))
+def numeric_profile(spark, d):
+    return R.numeric_profile(table(spark, d, "part"), ["p_size", "p_retailprice"]).select("column", "min", "max", *[F.round(c, 4).alias(c) for c in ("mean", "std_samp", "std_pop")])
+
+
+@query("SELECT 'event_type' AS \"column\", event_type AS value, count(*) AS n FROM events GROUP BY 2")
+def value_counts(spark, d):
+    return R.value_counts(table(spark, d, "events"), ["event_type", "event_id"])
+
+
+@query("SELECT p_brand, list_sort(list(DISTINCT p_size)) AS sizes, count(DISTINCT p_type) AS types FROM part GROUP BY 1")
+def unique_values(spark, d):
+    return table(spark, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set("p_size")).alias("sizes"), F.countDistinct("p_type").alias("types"))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
+def latency_linear(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(*[F.round(F.percentile("value", F.lit(p)), 6).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+
+
+@query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+    SELECT event_type, min(value) FILTER (WHERE i = round_even(0.5 * (n - 1), 0)) AS p50, min(value) FILTER (WHERE i = round_even(0.95 * (n - 1), 0)) AS p95, min(value) FILTER (WHERE i = round_even(0.99 * (n - 1), 0)) AS p99 FROM r GROUP BY 1""")
+def latency_nearest_rank(spark, d):
+    return R.nearest_rank(table(spark, d, "events"), ["event_type"], "value", [0.5, 0.95, 0.99])
+
+
+@query("SELECT event_type, CAST(le AS DOUBLE) AS le, count(*) FILTER (WHERE value <= le) AS n FROM events, (SELECT unnest([1.0, 5.0, 25.0, 100.0, 500.0]) AS le) GROUP BY 1, 2")
+def latency_histogram(spark, d):
+    return R.bucket_histogram(table(spark, d, "events"), ["event_type"], "value", [1.0, 5.0, 25.0, 100.0, 500.0])
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, count(*) FILTER (WHERE o_orderstatus <> 'F') AS still_open FROM orders")
+def status_counts(spark, d):
+    return table(spark, d, "orders").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("done"), F.count_if(F.col("o_orderstatus") != "F").alias("still_open"))
+
+
+_RUNS = "SELECT l_linenumber AS config, l_linestatus AS workers, count(*) AS runs, avg(l_quantity) AS mean, coalesce(stddev_samp(l_quantity), 0) AS std, stddev_pop(l_quantity) AS std_pop FROM lineitem GROUP BY 1, 2"
+
+
+def _stats(spark, d):
+    return R.config_stats(table(spark, d, "lineitem").select(F.col("l_linenumber").alias("config"), F.col("l_linestatus").alias("workers"), F.col("l_quantity").alias("time")), ["config", "workers"], "time")
+
+
+@query(f"SELECT config, workers, runs, round(mean, 6) AS mean, round(std, 6) AS std, round(std_pop, 6) AS std_pop FROM ({_RUNS})")
+def config_stats(spark, d):
+    return _stats(spark, d).select("config", "workers", "runs", *r6("mean", "std", "std_pop"))
+
+
+@query(f"WITH s AS ({_RUNS}) SELECT s.config, s.workers, round(b.mean / s.mean, 6) AS speedup FROM s JOIN s b ON s.config = b.config AND b.workers = 'O'")
+def speedup(spark, d):
+    return R.speedup(_stats(spark, d), "config", "workers", "O").select("config", "workers", *r6("speedup"))
+
+
+@query("SELECT l_linenumber AS config, round(avg(l_quantity) FILTER (WHERE l_linestatus = 'F'), 6) AS \"F\", round(avg(l_quantity) FILTER (WHERE l_linestatus = 'O'), 6) AS \"O\" FROM lineitem GROUP BY 1")
+def pivot_config(spark, d):
+    p = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("config")).pivot("l_linestatus", ["F", "O"]).agg(F.avg("l_quantity"))
+    return p.select("config", *r6("F", "O"))
+
+
+@query("SELECT count(*) AS trips, count(*) FILTER (WHERE value < 1) AS anomalies, count(*) FILTER (WHERE value IS NULL) AS invalid, round(avg(value), 6) AS mean FROM events")
+def trip_stats(spark, d):
+    return table(spark, d, "events").agg(F.count("*").alias("trips"), F.count_if(F.col("value") < 1).alias("anomalies"), F.count_if(F.col("value").isNull()).alias("invalid"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("SELECT CAST(hour(ts) AS INTEGER) AS hour, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, hour LIMIT 1")
+def peak_hour(spark, d):
+    return R.top_keys(table(spark, d, "events").select(F.hour("ts").alias("hour")), "hour", 1)
+
+
+@query("SELECT count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem")
+def distinct_count(spark, d):
+    return table(spark, d, "lineitem").agg(F.countDistinct("l_partkey").alias("parts"), F.countDistinct("l_suppkey").alias("suppliers"))
+
+
+@query()
+def approx_distinct(spark, d):
+    return table(spark, d, "lineitem").agg(F.approx_count_distinct("l_partkey", 0.05).alias("parts"), F.approx_count_distinct("l_orderkey", 0.05).alias("orders"))
+
+
+# projections and scalars
+@query("SELECT event_id, user_id + 1 AS u, upper(event_type) AS kind, CAST(value AS BIGINT) AS whole FROM (SELECT event_id, user_id, event_type, floor(value) AS value FROM events)")
+def project_basic(spark, d):
+    return table(spark, d, "events").select("event_id", (F.col("user_id") + 1).alias("u"), F.upper("event_type").alias("kind"), F.floor("value").cast("bigint").alias("whole"))
+
+
+@query(f"SELECT event_id, {_K} AS k FROM events")
+def json_props(spark, d):
+    return R.flatten_json(table(spark, d, "events").select("event_id", "props"), "props", "k int")
+
+
+@query("SELECT c_custkey, c_acctbal, c_mktsegment, c_nationkey FROM customer")
+def drop_sensitive(spark, d):
+    return R.drop_sensitive(table(spark, d, "customer"), "c_name|phone")
+
+
+@query("SELECT event_id FROM events WHERE value >= 1 AND event_type IN ('click', 'view')")
+def anomaly_filter(spark, d):
+    return table(spark, d, "events").where((F.col("value") >= 1) & F.col("event_type").isin("click", "view")).select("event_id")
+
+
+_SENSOR = f"SELECT event_id, user_id AS sensor_id, ts, fmod(value, 50) AS t, CAST({_K} AS DOUBLE) AS h, 400 + fmod(value, 300) AS co2, event_type = 'error' AS alert FROM events"
+_RISK = f"SELECT *, CASE WHEN alert THEN 100.0 ELSE greatest(t - 30, 0) * 4 + greatest(40 - h, 0) * 1.5 + greatest(co2 - 450, 0) * 0.1 END AS risk FROM ({_SENSOR})"
+
+
+def _scored(spark, d):
+    k = F.get_json_object("props", "$.k").cast("double")
+    s = table(spark, d, "events").select("event_id", F.col("user_id").alias("sensor_id"), "ts", (F.col("value") % 50).alias("t"), k.alias("h"), (F.col("value") % 300 + 400).alias("co2"), (F.col("event_type") == "error").alias("alert"))
+    return s.withColumn("risk", C.risk_index(F.col("t"), F.col("h"), F.col("co2"), F.col("alert")))
+
+
+@query(f"SELECT event_id, round(risk, 6) AS risk, CASE WHEN alert OR risk >= 80 THEN 'high' WHEN risk >= 50 THEN 'medium' ELSE 'none' END AS class FROM ({_RISK})")
+def risk_index(spark, d):
+    return _scored(spark, d).select("event_id", F.round("risk", 6).alias("risk"), C.risk_class(F.col("risk"), F.col("alert"), 50, 80).alias("class"))
+
+
+@query(f"SELECT sensor_id, event_id, round(risk, 6) AS risk FROM (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY ts DESC, event_id DESC) AS i FROM ({_RISK})) WHERE i = 1 ORDER BY event_id DESC LIMIT 100")
+def latest_per_sensor(spark, d):
+    one = R.latest_per_key(_scored(spark, d), ["sensor_id"], "ts", "event_id")
+    return one.orderBy(F.desc("event_id")).limit(100).select("sensor_id", "event_id", F.round("risk", 6).alias("risk"))
+
+
+@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(x, '\\[\\[(.*\\|)?([^\\]]+)\\]\\]', '\\2', 'g'), '/\\*.*?\\*/', '', 'g')) AS clean FROM (
+    SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN regexp_replace('<b>' || lang || '</b> [[a|' || source || ']]', '<[^>]+>', '', 'g') WHEN 1 THEN regexp_replace('File:' || source || '.png', '^(File|Category|Categoria):', '', 'g') ELSE '/* x */ ' || lang END AS x FROM documents)""")
+def clean_text(spark, d):
+    k = F.col("doc_id") % 3
+    title = F.when(k == 0, "Q42").when(k == 1, F.concat(F.lit("File:"), "source", F.lit(".png"))).otherwise(F.concat(F.lit("/* x */ "), "lang"))
+    parsed = F.concat(F.lit("<b>"), "lang", F.lit("</b> [[a|"), "source", F.lit("]]"))
+    return table(spark, d, "documents").select("doc_id", C.clean_text(title, F.lit("c"), parsed, F.when(k == 1, 6).otherwise(0)).alias("clean"))
+
+
+@query(f"WITH {TX} SELECT tx_id, substr(sha1(concat_ws('|', tx_id, orig, dest, amount_cents)), 1, 16) AS id, 1700000000000 + tx_id * 10 + CAST('0x' || substr(sha1(concat_ws('|', tx_id, orig, dest, amount_cents)), 1, 8) AS BIGINT) % 300 AS event_ms, amount_cents FROM tx")
+def normalize_tx(spark, d):
+    sid = C.short_sha1(*[F.col(c).cast("string") for c in ("tx_id", "orig", "dest", "amount_cents")])
+    return tx(spark, d).withColumn("id", sid).select("tx_id", "id", C.event_millis(1700000000000, F.col("tx_id"), F.col("id")).alias("event_ms"), "amount_cents")
+
+
+# joins
+@query("SELECT o_orderkey, c_name, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey")
+def broadcast_left(spark, d):
+    c = R.enrich_left(table(spark, d, "customer"), table(spark, d, "nation").withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey")
+    return R.enrich_left(table(spark, d, "orders"), c.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey").select("o_orderkey", "c_name", "n_name")
+
+
+@query("WITH t AS (SELECT o_custkey FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3) SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT o_custkey FROM t) THEN 'yes' ELSE 'no' END AS top FROM orders")
+def top3_flag(spark, d):
+    o = table(spark, d, "orders")
+    return R.flag_members(o, "o_custkey", R.top_keys(o, "o_custkey", 3), "top").select("o_orderkey", "top")
+
+
+@query("SELECT o_orderkey, o_totalprice, c_name FROM orders JOIN customer ON o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 30")
+def top30_longest(spark, d):
+    j = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return j.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(30).select("o_orderkey", "o_totalprice", "c_name")
+
+
+@query("WITH p AS (SELECT c_custkey AS id, c_nationkey AS g, min(o_orderdate) AS s, max(o_orderdate) AS e FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2) SELECT x.id AS a, y.id AS b FROM p x JOIN p y ON x.g = y.g AND x.id < y.id AND x.s <= y.e AND y.s <= x.e")
+def interval_overlap(spark, d):
+    p = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey")).groupBy("c_custkey", "c_nationkey").agg(F.min("o_orderdate").alias("s"), F.max("o_orderdate").alias("e"))
+    return R.overlap_pairs(p, "c_custkey", "c_nationkey", "s", "e")
+
+
+@query(f"WITH {TX} , a AS (SELECT orig, sum(amount_cents)::BIGINT AS v FROM tx WHERE type = 'PAYMENT' GROUP BY 1), b AS (SELECT orig, sum(amount_cents)::BIGINT AS v FROM tx WHERE type = 'CASH_IN' GROUP BY 1) SELECT orig, coalesce(a.v, 0) AS a_value, coalesce(b.v, 0) AS b_value, coalesce(a.v, 0) - coalesce(b.v, 0) AS diff FROM a FULL JOIN b USING (orig)")
+def reconcile(spark, d):
+    one = lambda kind: tx(spark, d).where(F.col("type") == kind).groupBy("orig").agg(F.sum("amount_cents").alias("v"))
+    return R.diff_by_key(one("PAYMENT"), one("CASH_IN"), "orig", "v")
+
+
+@query("SELECT event_id AS id FROM events UNION ALL SELECT o_orderkey FROM orders")
+def union_files(spark, d):
+    return R.union_all(table(spark, d, "events").select(F.col("event_id").alias("id")), table(spark, d, "orders").select(F.col("o_orderkey").alias("id")))
+
+
+@query("SELECT user_id, min(event_id) AS event_id FROM events GROUP BY 1")
+def insert_ignore(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id")
+    return R.insert_ignore(R.insert_ignore(e.limit(0), e, ["user_id"], "event_id"), e, ["user_id"], "event_id")
+
+
+# windows, streams' batch twins
+@query(f"WITH {TRADES} SELECT date_trunc('day', ts) AS day, symbol, arg_min(price, trade_id) AS open, max(price) AS high, min(price) AS low, arg_max(price, trade_id) AS close, sum(qty)::BIGINT AS volume, coalesce(sum(qty) FILTER (WHERE side = 'buy'), 0)::BIGINT AS buy_volume, coalesce(sum(qty) FILTER (WHERE side = 'sell'), 0)::BIGINT AS sell_volume, count(*) AS trades, round(avg(price), 6) AS mean_price FROM trades GROUP BY 1, 2")
+def ohlcv(spark, d):
+    out = R.ohlcv(trades(spark, d).withColumn("day", F.date_trunc("day", "ts").cast("timestamp_ntz")), ["day", "symbol"])
+    return out.withColumn("mean_price", F.round("mean_price", 6))
+
+
+@query(f"""WITH RECURSIVE {TRADES}, h AS (SELECT symbol, price, row_number() OVER (PARTITION BY symbol ORDER BY trade_id DESC) AS back FROM trades),
+    o AS (SELECT symbol, price, row_number() OVER (PARTITION BY symbol ORDER BY back DESC) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM h WHERE back <= 50),
+    r AS (SELECT symbol, i, n, price AS ema FROM o WHERE i = 1 UNION ALL SELECT o.symbol, o.i, o.n, r.ema * 0.8 + o.price * 0.2 FROM r JOIN o ON o.symbol = r.symbol AND o.i = r.i + 1)
+    SELECT symbol, round(ema, 6) AS ema FROM r WHERE i = n AND n >= 14""")
+def ema(spark, d):
+    return indicators.ema(trades(spark, d), "symbol", "trade_id", "price").select("symbol", *r6("ema"))
+
+
+@query(f"""WITH RECURSIVE {TRADES}, h AS (SELECT symbol, price, row_number() OVER (PARTITION BY symbol ORDER BY trade_id DESC) AS back FROM trades),
+    o AS (SELECT symbol, price - lag(price) OVER (PARTITION BY symbol ORDER BY back DESC) AS x, row_number() OVER (PARTITION BY symbol ORDER BY back DESC) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM h WHERE back <= 50),
+    r AS (SELECT symbol, i, n, greatest(x, 0) AS g, greatest(-x, 0) AS l FROM o WHERE i = 2 UNION ALL SELECT o.symbol, o.i, o.n, r.g * (1 - 1.0/14) + greatest(o.x, 0) / 14, r.l * (1 - 1.0/14) + greatest(-o.x, 0) / 14 FROM r JOIN o ON o.symbol = r.symbol AND o.i = r.i + 1)
+    SELECT symbol, round(CASE WHEN l > 0 THEN 100 - 100 / (1 + g / l) WHEN g > 0 THEN 100 END, 4) AS rsi FROM r WHERE i = n AND n >= 14""")
+def rsi(spark, d):
+    return indicators.rsi(trades(spark, d), "symbol", "trade_id", "price").select("symbol", F.round("rsi", 4).alias("rsi"))
+
+
+@query(f"WITH {TRADES}, g AS (SELECT symbol, trade_id - lag(trade_id) OVER (PARTITION BY symbol ORDER BY trade_id) - 1 AS gap FROM trades) SELECT symbol, sum(greatest(gap, 0))::BIGINT AS missing, count(*) FILTER (WHERE gap > 0) AS gaps FROM g GROUP BY 1")
+def id_gaps(spark, d):
+    return R.id_gaps(trades(spark, d), "symbol", "trade_id")
+
+
+@query("WITH w AS (SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT day, event_type, n, round(n * 100.0 / max(n) OVER (PARTITION BY day), 2) AS score FROM w QUALIFY dense_rank() OVER (ORDER BY day DESC) <= 7")
+def trend_score(spark, d):
+    w = table(spark, d, "events").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type").agg(F.count("*").alias("n"))
+    return R.trend_score(R.last_n_windows(w, "day", 7), "day", "n")
+
+
+@query("SELECT s + to_seconds(o) AS start, event_type, count(*) AS n FROM (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS s FROM events), (SELECT unnest([0, -3600]) AS o) GROUP BY 1, 2")
+def sliding_counts(spark, d):
+    w = table(spark, d, "events").groupBy(F.window("ts", "2 hours", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return w.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("SELECT word, count(*) AS n, count(DISTINCT conv_id) AS users FROM (SELECT conv_id, unnest(string_split_regex(trim(text), '\\s+')) AS word FROM conversations) GROUP BY 1 ORDER BY n DESC, word LIMIT 50")
+def word_users(spark, d):
+    w = table(spark, d, "conversations").select("conv_id", F.explode(F.split(F.trim("text"), r"\s+")).alias("word"))
+    return w.groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("users")).orderBy(F.desc("n"), "word").limit(50)
+
+
+# ledger and alerts
+_SETTLED = f"""WITH RECURSIVE {TX}, {OPS}, o AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY ms, tx_id, kind) AS i FROM ops),
+    r AS (SELECT account, 0::BIGINT AS i, {OPENING}::BIGINT AS balance_cents, 0::BIGINT AS tx_id, '' AS status FROM (SELECT DISTINCT account FROM o) UNION ALL
+    SELECT o.account, o.i, CASE WHEN o.delta_cents >= 0 OR -o.delta_cents <= r.balance_cents THEN r.balance_cents + o.delta_cents ELSE r.balance_cents END, o.tx_id,
+    CASE WHEN o.delta_cents >= 0 OR -o.delta_cents <= r.balance_cents THEN 'SETTLED' ELSE 'REJECTED' END FROM r JOIN o ON o.account = r.account AND o.i = r.i + 1)"""
+
+
+@query(_SETTLED + " SELECT account, i AS apply_seq, tx_id, status, balance_cents FROM r WHERE i > 0")
+def ledger_batch(spark, d):
+    return ledger.settle(ledger.expand_ops(tx(spark, d)), OPENING).select("account", "apply_seq", "tx_id", "status", "balance_cents")
+
+
+@query(_SETTLED + " SELECT account, arg_max(balance_cents, i) AS balance_cents, count(*) AS ops FROM r WHERE i > 0 GROUP BY 1")
+def ledger_balances(spark, d):
+    return ledger.balances(ledger.settle(ledger.expand_ops(tx(spark, d)), OPENING))
+
+
+@query(f"WITH {TX} SELECT * FROM (SELECT tx_id, orig, ms, count(*) OVER w AS n, (sum(amount_cents) OVER w)::BIGINT AS total FROM tx WINDOW w AS (PARTITION BY orig ORDER BY ms RANGE BETWEEN 21600000 PRECEDING AND CURRENT ROW)) WHERE n >= 5")
+def aml_velocity(spark, d):
+    return ledger.velocity(tx(spark, d), 5, 21_600_000)
+
+
+@query(f"WITH {TX} SELECT * FROM (SELECT tx_id, orig, ms, count(*) OVER w AS n, (sum(amount_cents) OVER w)::BIGINT AS total FROM tx WHERE type = 'TRANSFER' AND amount_cents < 5000 WINDOW w AS (PARTITION BY orig ORDER BY ms RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW)) WHERE n >= 4")
+def aml_structuring(spark, d):
+    return ledger.structuring(tx(spark, d), 4, 86_400_000, 5000)
+
+
+@query(f"WITH {TX}, t AS (SELECT * FROM tx WHERE type IN ('TRANSFER', 'PAYMENT') AND orig <> dest) SELECT e.tx_id AS tx1, l.tx_id AS tx2, l.orig AS a, l.dest AS b, e.amount_cents + l.amount_cents AS total FROM t l JOIN t e ON e.orig = l.dest AND e.dest = l.orig AND e.ms <= l.ms AND e.ms >= l.ms - 86400000 AND e.tx_id <> l.tx_id WHERE e.amount_cents + l.amount_cents >= 1000")
+def aml_cycles(spark, d):
+    return ledger.cycles(tx(spark, d).where(F.col("type").isin("TRANSFER", "PAYMENT")), 86_400_000, 1000)
+
+
+# graph
+@query(f"WITH {BOTH} SELECT src, dst FROM u")
+def graph_edges(spark, d):
+    return graph.clean_edges(edges(spark, d), directed=False)
+
+
+@query(f"WITH {EDGES}, v AS (SELECT src AS id FROM e UNION SELECT dst FROM e) SELECT id, count(e.src) AS degree FROM v LEFT JOIN e ON e.src = id GROUP BY 1")
+def out_degree(spark, d):
+    return graph.out_degrees(edges(spark, d))
+
+
+_ROUND = lambda a, b: f"{b} AS (SELECT {a}.id, coalesce(w.label, {a}.label) AS label FROM {a} LEFT JOIN (SELECT src, label FROM (SELECT u.src, {a}.label, row_number() OVER (PARTITION BY u.src ORDER BY count(*) DESC, {a}.label) AS i FROM u JOIN {a} ON {a}.id = u.dst GROUP BY 1, 2) WHERE i = 1) w ON w.src = {a}.id)"
+
+
+@query(f"WITH {BOTH}, l0 AS (SELECT DISTINCT src AS id, src AS label FROM u), {_ROUND('l0', 'l1')}, {_ROUND('l1', 'l2')}, {_ROUND('l2', 'l3')} SELECT id, label FROM l3")
+def lpa_k(spark, d):
+    return graph.label_propagation(graph.clean_edges(edges(spark, d), directed=False), 3)[0]
+
+
+@query(f"WITH RECURSIVE {BOTH}, c(id, root) AS (SELECT src, src FROM u UNION SELECT u.dst, c.root FROM c JOIN u ON u.src = c.id), m AS (SELECT id, min(root) AS r FROM c GROUP BY 1) SELECT count(*) AS n FROM m GROUP BY r ORDER BY n DESC LIMIT 1")
+def lcc_size(spark, d):
+    return graph.largest_component(edges(spark, d)).agg(F.count("*").alias("n"))
+
+
+# recommenders
+@query(f"WITH {RATINGS}, g AS (SELECT p_partkey AS item, p_type AS genre FROM part UNION SELECT p_partkey, p_brand FROM part), m AS (SELECT user, genre, count(*) AS paths FROM ratings JOIN g USING (item) WHERE rating >= 4 AND user <= 20 GROUP BY 1, 2), s AS (SELECT user, item, sum(paths)::BIGINT AS score, count(*) AS genres FROM m JOIN g USING (genre) WHERE NOT EXISTS (SELECT 1 FROM ratings x WHERE x.user = m.user AND x.item = g.item) GROUP BY 1, 2) SELECT user, item, score, genres, CAST(i AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user ORDER BY score DESC, item) AS i FROM s) WHERE i <= 10")
+def recommend_genre(spark, d):
+    p = table(spark, d, "part")
+    genres = p.select(F.col("p_partkey").alias("item"), F.explode(F.array_distinct(F.array("p_type", "p_brand"))).alias("genre"))
+    return recommend.by_genre(ratings(spark, d).where("user <= 20"), genres)
+
+
+@query(f"WITH {RATINGS}, l AS (SELECT * FROM ratings WHERE rating >= 4), p AS (SELECT a.user, b.user AS other, count(*) AS shared FROM l a JOIN l b ON a.item = b.item AND a.user <> b.user WHERE a.user <= 20 GROUP BY 1, 2), s AS (SELECT p.user, l.item, count(*) AS similar_users, sum(l.rating * shared) / sum(shared) AS mean_rating FROM p JOIN l ON l.user = p.other WHERE NOT EXISTS (SELECT 1 FROM ratings x WHERE x.user = p.user AND x.item = l.item) GROUP BY 1, 2) SELECT user, item, similar_users, round(mean_rating, 6) AS mean_rating, CAST(i AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user ORDER BY similar_users DESC, round(mean_rating, 6) DESC, item) AS i FROM s) WHERE i <= 10")
+def recommend_collab(spark, d):
+    r = ratings(spark, d)
+    return recommend.collaborative(r, r.select("user").where("user <= 20").distinct()).withColumn("mean_rating", F.round("mean_rating", 6))
