@@ -157,8 +157,8 @@ def _calibrated(rows: DataFrame, queries: DataFrame, tree: Tree, k: int, probes:
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, id: str = "vec_id", vector: str = "embedding", k: int = 20, recall: float = 0.97,
-    sample_rows: int = 20_000, branches: int = 8, leaf_rows: int = 64, probes: int = 200, chunk: int = 4_000,
+    vectors: DataFrame, queries: DataFrame, id: str = "vec_id", vector: str = "embedding", k: int = 20, recall: float = 0.95,
+    sample_rows: int = 20_000, branches: int = 8, leaf_rows: int = 400, probes: int = 200, chunk: int = 4_000,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k rows with the largest inner product found for each query, but for its own id."""
     spark = vectors.sparkSession
