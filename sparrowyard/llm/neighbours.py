@@ -182,33 +182,47 @@ def search(
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                at, leaf, piece = [], [], []
+                at, leaf, piece, first = [], [], [], []
                 for i, q in enumerate(_matrix(part.column(1))):
                     seen = 0
                     for n, x in enumerate(tree.best_first(q)):
                         if n >= visits and seen > k:
                             break
-                        seen += held.get(x, 0)
                         for c in range(parts.get(x, 0)):
                             at.append(i)
                             leaf.append(x)
                             piece.append(c)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), part.column(1).take(pa.array(at, pa.int64())), pa.array(leaf, pa.int64()), pa.array(piece, pa.int32())], ["qid", "q", "leaf", "piece"])
+                            first.append(seen <= k)
+                        seen += held.get(x, 0)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), part.column(1).take(pa.array(at, pa.int64())), pa.array(leaf, pa.int64()), pa.array(piece, pa.int32()), pa.array(first, pa.bool_())], ["qid", "q", "leaf", "piece", "first"])
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"q": [], "id": [], "score": []})
         a, b, s = _best(left["qid"].to_numpy(), np.stack(left["q"].to_list()), right["id"].to_numpy(), np.stack(right["v"].to_list()), k)
-        return pd.DataFrame({"q": a.astype("i8"), "id": b.astype("i8"), "score": s})
+        bound = dict(zip(left["qid"].to_list(), left["least"].to_list(), strict=True))
+        good = s >= np.array([bound[i] for i in a.tolist()], float) if len(a) else np.zeros(0, bool)
+        return pd.DataFrame({"q": a[good].astype("i8"), "id": b[good].astype("i8"), "score": s[good]})
 
     # queries of a piece come in blocks of their own, so neither side of a group grows with the input
     blocks = max(1, -(-asked.count() // 20_000))
     block = F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")
-    wanted = asked.mapInArrow(visit, "qid long, q array<double>, leaf long, piece int").withColumn("block", block)
+    wanted = asked.mapInArrow(visit, "qid long, q array<double>, leaf long, piece int, first boolean").withColumn("block", block)
     n_parts = F.create_map(*[F.lit(int(z)) for pair in parts.items() for z in pair])
     pieces = index.withColumn("piece", F.pmod(F.xxhash64("id"), n_parts[F.col("leaf").cast("int")]).cast("int"))
     pieces = pieces.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keys = ["leaf", "piece", "block"]
-    found = wanted.groupBy(*keys).cogroup(pieces.groupBy(*keys)).applyInPandas(nearest, "q long, id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    keys, columns = ["leaf", "piece", "block"], ["qid", "q", "leaf", "piece", "block", "least"]
+
+    def met(who: DataFrame) -> DataFrame:
+        return who.select(*columns).groupBy(*keys).cogroup(pieces.groupBy(*keys)).applyInPandas(nearest, "q long, id long, score double")
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+
+    # the best bins first: their k-th score is what rows of later bins have to reach
+    lowest = F.lit(float("-inf"))
+    start = written(best(met(wanted.where("first").withColumn("least", lowest))), "nearest")
+    least = start.groupBy(F.col("q").alias("qid")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(lowest).alias("least"))
+    later = wanted.where("not first").join(least, "qid", "left").withColumn("least", F.coalesce("least", lowest))
+    ranked = best(start.select("q", "id", "score").unionByName(met(later)))
     return ranked.select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
