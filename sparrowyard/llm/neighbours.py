@@ -192,7 +192,7 @@ def search(
                             at.append(i)
                             leaf.append(x)
                             piece.append(c)
-                            first.append(seen <= k)
+                            first.append(seen <= 100 * k)
                         seen += held.get(x, 0)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), part.column(1).take(pa.array(at, pa.int64())), pa.array(leaf, pa.int64()), pa.array(piece, pa.int32()), pa.array(first, pa.bool_())], ["qid", "q", "leaf", "piece", "first"])
 
