@@ -53,3 +53,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def near(a: Column, b: Column, eps: float = 1e-6) -> Column:
     return F.abs(a - b) < eps
+
+
+def initials(text: Column) -> Column:
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.upper(F.substring(w, 1, 1))), "")

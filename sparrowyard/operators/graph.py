@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparrowyard.operators.relational import induced
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Written to the cluster's shared folder and read back: survives lost executors, ends the plan's growth."""
@@ -95,9 +97,89 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str = "w", max_
     return best
 
 
-def communities(labels: DataFrame) -> DataFrame:
-    """Rank, id and size of each community: by size, then id. One row per community meets in the rank's window."""
-    from pyspark.sql import Window
+def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+    """Row numbers from 1 in a total order without one task for all rows.
+
+    Rows are range-partitioned and written with their partition; a partition's numbers start after the rows of
+    those before it, whose counts are one small row each.
+    """
+    dealt = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_n")).alias("_before"))
+    numbered = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return numbered.join(F.broadcast(before), "_part").withColumn(name, F.col("_i") + F.col("_before")).drop("_part", "_i", "_before")
+
 
+def communities(labels: DataFrame) -> DataFrame:
+    """Rank, id and size of each community: by size, then id."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
-    return sizes.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("size"), "label")))
+    return global_rank(sizes, [F.desc("size"), F.col("label")])
+
+
+def min_parallel_edges(edges: DataFrame, weight: str = "w") -> DataFrame:
+    return edges.groupBy("src", "dst").agg(F.min(weight).alias(weight))
+
+
+def compare_distances(a: DataFrame, b: DataFrame, rel: float = 1e-4) -> DataFrame:
+    """One row: pairs, pairs that only one side reaches, greatest relative error, and whether they agree.
+
+    The inputs hold one row for each reachable ``source, node``.
+    """
+    j = a.select("source", "node", F.col("dist").alias("x")).join(b.select("source", "node", F.col("dist").alias("y")), ["source", "node"], "full_outer")
+    error = F.abs(F.col("x") - F.col("y")) / F.greatest(F.abs("x"), F.lit(1e-12))
+    one = j.agg(F.count("*").alias("pairs"), F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("one_sided"), F.coalesce(F.max(error), F.lit(0.0)).alias("max_error"))
+    return one.withColumn("same", (F.col("one_sided") == 0) & (F.col("max_error") <= rel))
+
+
+def bfs_sample(edges: DataFrame, start: int, pct: float, seed: int = 42) -> DataFrame:
+    """A connected sample of ``max(1, int(n * pct / 100))`` nodes: layers from the start, the last one cut in seeded hash order.
+
+    With fewer nodes in reach of the start, all of these.
+    """
+    both = cut(clean_edges(edges, directed=False))
+    want = max(1, int(node_set(both).count() * pct / 100))
+    seen = front = cut(node_set(both).where(F.col("id") == start))
+    have = seen.count()
+    while have < want:
+        near = front.join(both.withColumnRenamed("src", "id"), "id").select(F.col("dst").alias("id")).distinct()
+        front = cut(near.join(seen, "id", "left_anti"))
+        n = front.count()
+        if n > want - have:
+            front = global_rank(front, [F.xxhash64("id", F.lit(seed)), F.col("id")]).where(F.col("rank") <= want - have).select("id")
+        if not n:
+            break
+        seen, have = cut(seen.union(front)), have + n
+    return seen
+
+
+def pregel(vertices: DataFrame, edges: DataFrame, message, combine, update, max_iter: int = 20) -> DataFrame:
+    """Vertex programs on ``vertices(id, state)``: each round sends, combines and updates until no state changes.
+
+    ``message(state, edge_columns...)`` is a column over ``state`` and the edge's columns (null sends nothing),
+    ``combine`` an aggregate over ``message``, ``update(state, message)`` the new state; ``message`` is null where none came.
+    """
+    now = cut(vertices.select("id", "state"))
+    for _ in range(max_iter):
+        sent = edges.join(now.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), message(F.col("state")).alias("message")).where("message is not null")
+        inbox = sent.groupBy("id").agg(combine(F.col("message")).alias("message"))
+        new = now.join(inbox, "id", "left").select("id", update(F.col("state"), F.col("message")).alias("state"), F.col("state").alias("was"))
+        new = cut(new.withColumn("moved", ~F.col("state").eqNullSafe(F.col("was"))))
+        now = new.select("id", "state")
+        if not new.where("moved").head(1):
+            break
+    return now
+
+
+def load_graph(edges: DataFrame, pct: float = 100.0, start: int | None = None, seed: int = 42, directed: bool = False, whole: bool = False) -> DataFrame:
+    """Clean edges of the largest component, or of a connected sample of it; ``whole`` skips the component."""
+    clean = cut(clean_edges(edges, directed))
+    if not whole:
+        clean = cut(induced(clean, largest_component(clean)))
+    if pct >= 100:
+        return clean
+    if start is None:
+        low = node_set(clean).agg(F.min("id")).first()[0]
+        if low is None:
+            return clean
+        start = low
+    return induced(clean, largest_component(induced(clean, bfs_sample(clean, start, pct, seed))))

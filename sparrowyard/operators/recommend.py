@@ -29,3 +29,43 @@ def collaborative(ratings: DataFrame, users: DataFrame, n: int = 10, liked: floa
     found = paths.join(likes.select(F.col("user").alias("other"), "item", "rating"), "other").join(ratings.select("user", "item"), ["user", "item"], "left_anti")
     scored = found.groupBy("user", "item").agg(F.count("*").alias("similar_users"), (F.sum(F.col("rating") * F.col("shared")) / F.sum("shared")).alias("mean_rating"))
     return _top(scored, n, F.desc("similar_users"), F.desc(F.round("mean_rating", 6)))
+
+
+def by_tags(ratings: DataFrame, tags: DataFrame, n: int = 10, n_tags: int = 20, min_score: float = 0.5, liked: float = 4.0) -> DataFrame:
+    """Per user: the tags with the best mean score over liked items, then unseen items by matched tags and mean score."""
+    strong = tags.where(F.col("score") >= min_score)
+    mine = ratings.where(F.col("rating") >= liked).join(strong, "item").groupBy("user", "tag").agg(F.round(F.avg("score"), 9).alias("relevance"))
+    w = Window.partitionBy("user").orderBy(F.desc("relevance"), "tag")
+    kept = mine.withColumn("i", F.row_number().over(w)).where(F.col("i") <= n_tags).select("user", "tag")
+    found = kept.join(strong, "tag").join(ratings.select("user", "item"), ["user", "item"], "left_anti")
+    scored = found.groupBy("user", "item").agg(F.countDistinct("tag").alias("matched_tags"), F.round(F.avg("score"), 9).alias("avg_tag_score"))
+    return _top(scored, n, F.desc("matched_tags"), F.desc("avg_tag_score"))
+
+
+def items_with_genres(genres: DataFrame) -> DataFrame:
+    return genres.select("item", "genre").distinct().groupBy("item").agg(F.sort_array(F.collect_list("genre")).alias("genres"))
+
+
+def user_ratings(ratings: DataFrame, user: int, n: int = 50) -> DataFrame:
+    return ratings.where(F.col("user") == user).orderBy(F.desc("rating"), "item").limit(n)
+
+
+def build_catalog(movies: DataFrame, tag_scores: DataFrame) -> dict[str, DataFrame]:
+    """Nodes and edges of the catalog from ``movies(item, title, genres, at)`` and ``tag_scores(item, tag, score, at)``.
+
+    The row with the greatest ``at`` wins per key; genres are split at ``|``; tag edges need their item.
+    """
+    last = lambda df, keys: df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), "at").alias("r")).select("r.*").drop("at")
+    items = last(movies, ["item"])
+    genres = items.select("item", F.explode(F.split("genres", r"\|")).alias("genre")).where("genre <> ''").distinct()
+    tags = last(tag_scores, ["item", "tag"]).join(items.select("item"), "item", "left_semi")
+    return {"item": items.drop("genres"), "genre": genres.select("genre").distinct(), "tag": tags.select("tag").distinct(), "has_genre": genres, "has_tag": tags}
+
+
+def catalog_counts(catalog: dict[str, DataFrame]) -> DataFrame:
+    """Rows of each label."""
+    one = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("label"), "n") for name, df in catalog.items()]
+    out = one[0]
+    for df in one[1:]:
+        out = out.union(df)
+    return out

@@ -13,11 +13,10 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def read_csv_strict(spark: SparkSession, paths: list[str], n_cols: int) -> DataFrame:
-    """Rows of text files with exactly ``n_cols`` comma-separated fields, without header lines, as array ``fields``."""
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    header = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    body = lines.join(header, "file").where(F.col("value") != F.col("header"))
-    return body.select(F.split("value", ",", -1).alias("fields")).where(F.size("fields") == n_cols)
+    """Rows with exactly ``n_cols`` unquoted comma-separated fields, without each file's header, as array ``fields``."""
+    names = [f"c{i}" for i in range(n_cols)]
+    reader = spark.read.options(header=True, quote="", mode="DROPMALFORMED").schema(", ".join(f"{c} string" for c in names))
+    return reader.csv(paths).select(F.array(*[F.coalesce(c, F.lit("")) for c in names]).alias("fields"))
 
 
 def read_ndjson(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -56,6 +55,77 @@ def parse_sse(lines: DataFrame, schema: str) -> DataFrame:
     return data.where("d is not null").select("d.*").dropna(how="all")
 
 
+def read_words(spark: SparkSession, path: str) -> DataFrame:
+    """Headerless, possibly compressed CSV with one column, as ``word``."""
+    return spark.read.csv(path).withColumnRenamed("_c0", "word")
+
+
+# Column names of the four vendor layouts (pickup, dropoff, zones, distance, fare).
+LAYOUTS = {
+    "fhvhv": ("pickup_datetime", "dropoff_datetime", "PULocationID", "DOLocationID", "trip_miles", "base_passenger_fare"),
+    "yellow": ("tpep_pickup_datetime", "tpep_dropoff_datetime", "PULocationID", "DOLocationID", "trip_distance", "fare_amount"),
+    "green": ("lpep_pickup_datetime", "lpep_dropoff_datetime", "PULocationID", "DOLocationID", "trip_distance", "fare_amount"),
+    "fhv": ("pickup_datetime", "dropOff_datetime", "PUlocationID", "DOlocationID", None, None),
+}
+
+
+def infer_layout(path: str) -> str | None:
+    """The layout that a file's name begins with; longer names first, so ``fhvhv`` is no ``fhv``."""
+    name = path.rsplit("/", 1)[-1].lower()
+    return next((k for k in sorted(LAYOUTS, key=len, reverse=True) if name.startswith(k)), None)
+
+
+def to_canonical(df: DataFrame, layout: str) -> DataFrame:
+    """Trips in one schema; a column that the layout or the file lacks is null."""
+    names = [("pickup_datetime", "timestamp"), ("dropoff_datetime", "timestamp"), ("pu_location_id", "bigint"), ("do_location_id", "bigint"), ("trip_distance", "double"), ("fare_amount", "double")]
+    cells = [(F.col(c).cast(kind) if c in df.columns else F.lit(None).cast(kind)).alias(n) for (n, kind), c in zip(names, LAYOUTS[layout], strict=True)]
+    out = df.select(F.lit(layout).alias("service_type"), *cells)
+    return out.withColumn("trip_duration_s", F.unix_timestamp("dropoff_datetime") - F.unix_timestamp("pickup_datetime"))
+
+
+def label_from_name(path, prefixes: dict[str, str], default: str | None = None):
+    """The label of the first prefix that a path's file name begins with, without regard to case."""
+    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    out = F.lit(default)
+    for prefix, label in reversed(prefixes.items()):
+        out = F.when(name.startswith(prefix.lower()), label).otherwise(out)
+    return out
+
+
+def read_graphml(spark: SparkSession, path: str, max_keys: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Vertices ``ext, lat, lon`` and edges ``src, dst, length_m, travel_time_s`` of a GraphML file.
+
+    Keys are named by their ``attr.name``. Edges without both ends or with no positive length are dropped;
+    travel time defaults to the length. Ids stay the file's own strings: ``operators.graph.global_rank`` makes
+    dense ones and ``operators.reports.remap_ids`` carries them over.
+    """
+    tag = lambda t, schema: spark.read.format("xml").option("rowTag", t).schema(schema).load(path)
+    found = tag("key", "_id string, `_attr.name` string").limit(max_keys + 1).collect()
+    if len(found) > max_keys:
+        raise ValueError(f"more than {max_keys} keys")
+    cells = "data array<struct<_VALUE: string, _key: string>>"
+
+    def value(name: str):
+        ids = [k for k, n in found if n == name] or [name]
+        return F.get(F.filter("data", lambda x: x["_key"].isin(ids)), F.lit(0))["_VALUE"].try_cast("double")
+
+    v = tag("node", f"_id string, {cells}").select(F.col("_id").alias("ext"), value("y").alias("lat"), value("x").alias("lon"))
+    e = tag("edge", f"_source string, _target string, {cells}").select(F.col("_source").alias("src"), F.col("_target").alias("dst"), value("length").alias("length_m"), value("travel_time").alias("t"))
+    ends = v.select("ext")
+    e = e.where("length_m > 0").join(ends.withColumnRenamed("ext", "src"), "src", "left_semi").join(ends.withColumnRenamed("ext", "dst"), "dst", "left_semi")
+    return v, e.select("src", "dst", "length_m", F.coalesce("t", "length_m").alias("travel_time_s"))
+
+
+def read_socket(spark: SparkSession, host: str, port: int) -> DataFrame:
+    """Lines of a socket, as a stream."""
+    return spark.readStream.format("socket").options(host=host, port=port).load()
+
+
+def read_kafka(spark: SparkSession, options: dict[str, str]) -> DataFrame:
+    """A topic's rows, as a stream (see ``kafka_options``); needs Spark's Kafka package."""
+    return spark.readStream.format("kafka").options(**options).load()
+
+
 def kafka_options(servers: str, topic: str, starting: str = "latest", per_trigger: int | None = None) -> dict[str, str]:
     out = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": starting, "failOnDataLoss": "false"}
     return out | ({"maxOffsetsPerTrigger": str(per_trigger)} if per_trigger else {})
