@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparrowyard.operators.graph import cut, global_rank
+
 
 def _top(scored: DataFrame, n: int, *order) -> DataFrame:
     w = Window.partitionBy("user").orderBy(*order, F.col("item"))
@@ -15,10 +17,28 @@ def _top(scored: DataFrame, n: int, *order) -> DataFrame:
 
 
 def by_genre(ratings: DataFrame, genres: DataFrame, n: int = 10, liked: float = 4.0) -> DataFrame:
-    """Unseen items by the number of (liked item, shared genre) paths, per user."""
-    mine = ratings.where(F.col("rating") >= liked).join(genres, "item").groupBy("user", "genre").agg(F.count("*").alias("paths"))
-    found = mine.join(genres, "genre").join(ratings.select("user", "item"), ["user", "item"], "left_anti")
-    return _top(found.groupBy("user", "item").agg(F.sum("paths").alias("score"), F.count("*").alias("genres")), n, F.desc("score"))
+    """Unseen items by the number of (liked item, shared genre) paths, per user.
+
+    Items with the same set of genres have the same score for a user, so users are scored against sets. Of a
+    set only its first unseen items can be among the n best: as many as n plus what the user has seen of it. They
+    are fetched by blocks of n items, so a large set is never paired with all users.
+    """
+    one = genres.select("item", "genre").distinct()
+    sets = cut(one.groupBy("item").agg(F.sort_array(F.collect_list("genre")).alias("genres")).withColumn("set", F.sha1(F.to_json("genres").cast("binary"))))
+    sizes = cut(sets.groupBy("set").agg(F.any_value("genres").alias("genres"), F.count("*").alias("size")))
+    mine = ratings.where(F.col("rating") >= liked).join(one, "item").groupBy("user", "genre").agg(F.count("*").alias("paths"))
+    scores = mine.join(sizes.select("set", F.explode("genres").alias("genre")), "genre").groupBy("user", "set").agg(F.sum("paths").alias("score"), F.count("*").alias("genres"))
+    seen = ratings.select("user", "item").distinct()
+    past = seen.join(sets.select("item", "set"), "item").groupBy("user", "set").agg(F.count("*").alias("seen"))
+    left = scores.join(past, ["user", "set"], "left").join(sizes.select("set", "size"), "set").withColumn("seen", F.coalesce("seen", F.lit(0)))
+    better = Window.partitionBy("user").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, -1)
+    kept = left.withColumn("better", F.coalesce(F.sum(F.col("size") - F.col("seen")).over(better), F.lit(0))).where(F.col("better") < n)
+    wanted = kept.select("user", "set", "score", "genres", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("seen") + n - 1) / n))).alias("block"))
+    placed = global_rank(sets.select("set", "item"), [F.col("set"), F.col("item")])
+    first = placed.groupBy("set").agg(F.min("rank").alias("first"))
+    blocks = placed.join(first, "set").select("set", "item", F.floor((F.col("rank") - F.col("first")) / n).alias("block"))
+    found = wanted.join(blocks, ["set", "block"]).join(seen, ["user", "item"], "left_anti")
+    return _top(found.select("user", "item", "score", "genres"), n, F.desc("score"))
 
 
 def collaborative(ratings: DataFrame, users: DataFrame, n: int = 10, liked: float = 4.0) -> DataFrame:

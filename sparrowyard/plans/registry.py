@@ -385,14 +385,14 @@ def lcc_size(spark, d):
 
 
 # recommenders
-@query(f"WITH {RATINGS}, g AS (SELECT p_partkey AS item, p_type AS genre FROM part UNION SELECT p_partkey, p_brand FROM part), m AS (SELECT user, genre, count(*) AS paths FROM ratings JOIN g USING (item) WHERE rating >= 4 AND user <= 20 GROUP BY 1, 2), s AS (SELECT user, item, sum(paths)::BIGINT AS score, count(*) AS genres FROM m JOIN g USING (genre) WHERE NOT EXISTS (SELECT 1 FROM ratings x WHERE x.user = m.user AND x.item = g.item) GROUP BY 1, 2) SELECT user, item, score, genres, CAST(i AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user ORDER BY score DESC, item) AS i FROM s) WHERE i <= 10")
+@query(f"WITH {RATINGS}, g AS (SELECT p_partkey AS item, p_type AS genre FROM part UNION SELECT p_partkey, p_brand FROM part), m AS (SELECT user, genre, count(*) AS paths FROM ratings JOIN g USING (item) WHERE rating >= 4 GROUP BY 1, 2), s AS (SELECT user, item, sum(paths)::BIGINT AS score, count(*) AS genres FROM m JOIN g USING (genre) WHERE NOT EXISTS (SELECT 1 FROM ratings x WHERE x.user = m.user AND x.item = g.item) GROUP BY 1, 2) SELECT user, item, score, genres, CAST(i AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user ORDER BY score DESC, item) AS i FROM s) WHERE i <= 10")
 def recommend_genre(spark, d):
     p = table(spark, d, "part")
     genres = p.select(F.col("p_partkey").alias("item"), F.explode(F.array_distinct(F.array("p_type", "p_brand"))).alias("genre"))
-    return recommend.by_genre(ratings(spark, d).where("user <= 20"), genres)
+    return recommend.by_genre(ratings(spark, d), genres)
 
 
-@query(f"WITH {RATINGS}, l AS (SELECT * FROM ratings WHERE rating >= 4), p AS (SELECT a.user, b.user AS other, count(*) AS shared FROM l a JOIN l b ON a.item = b.item AND a.user <> b.user WHERE a.user <= 20 GROUP BY 1, 2), s AS (SELECT p.user, l.item, count(*) AS similar_users, sum(l.rating * shared) / sum(shared) AS mean_rating FROM p JOIN l ON l.user = p.other WHERE NOT EXISTS (SELECT 1 FROM ratings x WHERE x.user = p.user AND x.item = l.item) GROUP BY 1, 2) SELECT user, item, similar_users, round(mean_rating, 6) AS mean_rating, CAST(i AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user ORDER BY similar_users DESC, round(mean_rating, 6) DESC, item) AS i FROM s) WHERE i <= 10")
+@query(f"WITH {RATINGS}, l AS (SELECT * FROM ratings WHERE rating >= 4), p AS (SELECT a.user, b.user AS other, count(*) AS shared FROM l a JOIN l b ON a.item = b.item AND a.user <> b.user GROUP BY 1, 2), s AS (SELECT p.user, l.item, count(*) AS similar_users, sum(l.rating * shared) / sum(shared) AS mean_rating FROM p JOIN l ON l.user = p.other WHERE NOT EXISTS (SELECT 1 FROM ratings x WHERE x.user = p.user AND x.item = l.item) GROUP BY 1, 2) SELECT user, item, similar_users, round(mean_rating, 6) AS mean_rating, CAST(i AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user ORDER BY similar_users DESC, round(mean_rating, 6) DESC, item) AS i FROM s) WHERE i <= 10")
 def recommend_collab(spark, d):
     r = ratings(spark, d)
-    return recommend.collaborative(r, r.select("user").where("user <= 20").distinct()).withColumn("mean_rating", F.round("mean_rating", 6))
+    return recommend.collaborative(r, r.select("user").distinct()).withColumn("mean_rating", F.round("mean_rating", 6))
