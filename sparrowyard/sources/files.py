@@ -39,6 +39,7 @@ def read_logs(spark: SparkSession, path: str, number: str = r"-(\d+)\.txt") -> D
 
 
 def read_blobs(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Files with their content, subfolders included; Spark's reader leaves out files of no bytes."""
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
 
 
