@@ -164,9 +164,15 @@ def last_n_windows(df: DataFrame, window: str, n: int) -> DataFrame:
 
 
 def trailing(df: DataFrame, key: str, ms: str, span: int, value: str) -> DataFrame:
-    """Count and sum over the trailing ``span`` milliseconds of each key, peers included."""
-    w = Window.partitionBy(key).orderBy(ms).rangeBetween(-span, 0)
-    return df.withColumn("n_trailing", F.count("*").over(w)).withColumn("sum_trailing", F.sum(value).over(w))
+    """Count and sum over the trailing ``span`` milliseconds of each key, peers included.
+
+    Rows are dealt out by key and period of ``span``, each row also as history of the next period, so a key's
+    rows are spread over its periods instead of meeting in one task.
+    """
+    period = F.floor(F.col(ms) / span)
+    dealt = df.withColumn("_at", F.explode(F.array(F.struct(period.alias("k"), F.lit(False).alias("past")), F.struct((period + 1).alias("k"), F.lit(True).alias("past")))))
+    w = Window.partitionBy(key, "_at.k").orderBy(ms).rangeBetween(-span, 0)
+    return dealt.withColumn("n_trailing", F.count("*").over(w)).withColumn("sum_trailing", F.sum(value).over(w)).where("not _at.past").drop("_at")
 
 
 def id_gaps(df: DataFrame, key: str, id: str) -> DataFrame:
