@@ -186,6 +186,21 @@ def top_keys(df: DataFrame, col: str, n: int) -> DataFrame:
     return df.groupBy(col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), col).limit(n)
 
 
+def newest(df: DataFrame, ts: str, tie: str, n: int = 100) -> DataFrame:
+    """The newest rows with a time; equal times by ``tie``, largest first."""
+    return df.where(F.col(ts).isNotNull()).orderBy(F.desc(ts), F.desc(tie)).limit(n)
+
+
+def head(df: DataFrame, n: int, *order) -> DataFrame:
+    """The first rows of an order; without one, any rows."""
+    return (df.orderBy(*order) if order else df).limit(n)
+
+
+def sort_within(df: DataFrame, file: str, ts: str, *tie: str) -> DataFrame:
+    """Each file's rows in order of time, files kept apart: rows of a file share a partition, which Spark sorts with spilling."""
+    return df.repartition(file).sortWithinPartitions(file, ts, *tie)
+
+
 def union_all(*dfs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
 

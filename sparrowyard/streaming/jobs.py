@@ -125,6 +125,11 @@ def with_metrics(name: str, write: Callable[[DataFrame, int], None], report: Cal
     return run
 
 
+def sorted_complete(counts: DataFrame, *order) -> DataFrame:
+    """An aggregate in order: on a stream it needs the complete output mode, whose whole result is written each time."""
+    return counts.orderBy(*order)
+
+
 # running
 class ProgressListener(StreamingQueryListener):
     """Appends one JSON line a micro-batch to a file of the driver."""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparrowyard.functions import columns as C
 from sparrowyard.functions import udfs
 from sparrowyard.operators import graph, ledger, recommend
+from sparrowyard.operators import relational as R
 from sparrowyard.operators import reports as P
 from sparrowyard.sources import files, sinks
 from sparrowyard.streaming import jobs, state, windows
@@ -77,6 +78,25 @@ def test_words_and_meanings(spark, tmp_path):
     assert {r.user_id: r.meanings for r in jobs.meanings_per_request(jobs.words_of(lines), meanings, ["user_id"]).collect()} == {1: ["B", "A"], 2: ["A"]}
 
 
+def test_orders_of_rows(spark, tmp_path):
+    df = spark.createDataFrame([("a", 3, 1), ("a", 1, 2), ("b", 2, 3), ("b", None, 4), ("a", 3, 5)], "file string, ts int, id int")
+    assert [r.id for r in R.newest(df, "ts", "id", 3).collect()] == [5, 1, 3]
+    assert [r.id for r in R.head(df, 2, "id").collect()] == [1, 2] and R.head(df, 9).count() == 5
+    rows = [(r.file, r.id) for r in R.sort_within(df.where("ts is not null"), "file", "ts", "id").collect()]
+    assert [i for f, i in rows if f == "a"] == [2, 1, 5] and [i for f, i in rows if f == "b"] == [3]
+    stream = fed(spark, df, 1, str(tmp_path / "in"), "id")
+    job = lambda x: jobs.sorted_complete(x.groupBy("file").agg(F.count("*").alias("n")), F.desc("n"))
+    assert [tuple(r) for r in ran(job(stream), "counted", tmp_path, "complete").collect()] == [("a", 3), ("b", 2)]
+
+
+def test_trailing_counts_across_periods(spark):
+    rows = [(k, 1 if k % 3 else 2, (k * 37) % 500 - 50, k) for k in range(150)]
+    got = {r.id: (r.n_trailing, r.sum_trailing) for r in R.trailing(spark.createDataFrame(rows, "id int, g int, ms long, v int"), "g", "ms", 60, "v").collect()}
+    for k, g, ms, _ in rows:
+        near = [v for _, h, t, v in rows if h == g and ms - 60 <= t <= ms]
+        assert got[k] == (len(near), sum(near))
+
+
 def test_orders_latency_and_options(spark):
     schema = "id int, items array<struct<name: string, n: int>>"
     df = spark.createDataFrame([('{"id": 1, "items": [{"name": "p", "n": 2}, {"name": "q", "n": 1}]}',), ('{"id": 2}',), ("{broken",)], "value string")
