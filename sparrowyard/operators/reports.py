@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,6 +126,29 @@ def first_last_row(df: DataFrame, order: str) -> DataFrame:
     return one.select(*[F.col(f"{s}.{c}").alias(f"{n}_{c}") for s, n in (("f", "first"), ("l", "last")) for c in df.columns])
 
 
+# Patterns that a text is tried against.
+DATE_PATTERNS = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy", "MM/dd/yyyy HH:mm:ss", "dd-MM-yyyy")
+
+
+def date_columns(df: DataFrame, order: str) -> DataFrame:
+    """Text columns that hold dates, as ``column, sample``: the first value has a separator and a digit, the first three parse.
+
+    The first values are those by ``order`` that are not null; a column without any holds no dates.
+    """
+    parts = []
+    for c in [c for c, kind in df.dtypes if kind == "string" and c != order]:
+        first = df.where(F.col(c).isNotNull()).select(F.col(order).alias("o"), F.col(c).alias("v")).orderBy("o", "v").limit(3)
+        parsed = F.coalesce(*[F.try_to_timestamp("v", F.lit(p)) for p in DATE_PATTERNS]).isNotNull()
+        one = first.agg(F.min_by("v", F.struct("o", "v")).alias("sample"), F.bool_and(parsed).alias("ok"))
+        parts.append(one.where("ok").where(F.col("sample").rlike("[-/ ]") & F.col("sample").rlike("[0-9]")).select(F.lit(c).alias("column"), "sample"))
+    return reduce(DataFrame.union, parts) if parts else df.sparkSession.createDataFrame([], "column string, sample string")
+
+
+def with_lineage(df: DataFrame) -> DataFrame:
+    """Rows of a file source with their file and the time of the query."""
+    return df.select("*", F.col("_metadata.file_path").alias("source_file"), F.current_timestamp().alias("loaded_at"))
+
+
 # copies and samples
 def amplify(df: DataFrame, factor: int, id_cols: list[str]) -> DataFrame:
     """``factor`` copies of each row; ids of all but the first copy end in ``#`` and the copy's number."""

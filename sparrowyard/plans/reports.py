@@ -303,3 +303,17 @@ def compare_distances(spark, d):
     o = table(spark, d, "orders").select(F.lit(0).alias("source"), F.col("o_orderkey").alias("node"), F.col("o_totalprice").alias("dist"))
     out = graph.compare_distances(o, o.where("node % 100 <> 1").withColumn("dist", F.col("dist") * 1.00001))
     return out.select("pairs", "one_sided", *r6("max_error"), "same")
+
+
+# times
+@query("SELECT 'ordered' AS \"column\", strftime(arg_min(o_orderdate, o_orderkey), '%Y-%m-%d') AS sample FROM orders")
+def date_columns(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("ordered"), "o_orderpriority", F.lit(None).cast("string").alias("nothing"))
+    return P.date_columns(o, "o_orderkey")
+
+
+@query("SELECT event_id, strftime(ts, '%H:%M') AS clock, CAST(hour(ts) AS INTEGER) AS hour, date_trunc('second', ts) AS second, epoch_us(ts) // 1000000 - 1704067200 AS since_s FROM events")
+def time_parse(spark, d):
+    text = F.date_format("ts", "yy/MM/dd HH:mm:ss")
+    at = F.try_to_timestamp(text, F.lit("yy/MM/dd HH:mm:ss"))
+    return table(spark, d, "events").select("event_id", F.date_format(at, "HH:mm").alias("clock"), F.hour(at).alias("hour"), F.date_trunc("second", at).cast("timestamp_ntz").alias("second"), (F.unix_timestamp(at) - 1704067200).alias("since_s"))

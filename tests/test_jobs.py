@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sparrowyard import jobs as J
 from sparrowyard.functions import udfs
+from sparrowyard.operators import reports
 from sparrowyard.sources import files
 from sparrowyard.streaming import jobs, windows
 
@@ -33,6 +34,15 @@ def test_profile(spark):
     assert J.profile(df.limit(0)).where("metric = 'total' and value = '0'").count() == 3
 
 
+def test_dates_and_lineage(spark, tmp_path):
+    df = spark.createDataFrame([(1, None, "1-2", "x"), (2, "2024-01-02", "2024-01-03", "y"), (3, "03/04/2024", "z", "2024-01-01")], "k int, a string, b string, c string")
+    assert [tuple(r) for r in reports.date_columns(df, "k").collect()] == [("a", "2024-01-02")]
+    assert reports.date_columns(df.limit(0), "k").count() == 0 and reports.date_columns(df.select("k"), "k").count() == 0
+    df.write.parquet(f"{tmp_path}/p")
+    row = reports.with_lineage(spark.read.parquet(f"{tmp_path}/p")).first()
+    assert row.source_file.endswith(".parquet") and row.loaded_at is not None
+
+
 def test_payments(spark):
     rows = [(1, 1, 2, 0, 500, "TRANSFER"), (2, 2, 3, 10, 600, "TRANSFER"), (3, 3, 1, 20, 700, "TRANSFER"), (4, 2, 1, 30, 900, "TRANSFER"), (5, 9, 9, 31, 5, "PAYMENT")]
     tx = spark.createDataFrame(rows, "tx_id long, orig long, dest long, ms long, amount_cents long, type string")
