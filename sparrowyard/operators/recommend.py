@@ -52,14 +52,20 @@ def collaborative(ratings: DataFrame, users: DataFrame, n: int = 10, liked: floa
 
 
 def by_tags(ratings: DataFrame, tags: DataFrame, n: int = 10, n_tags: int = 20, min_score: float = 0.5, liked: float = 4.0) -> DataFrame:
-    """Per user: the tags with the best mean score over liked items, then unseen items by matched tags and mean score."""
+    """Per user: the tags with the best mean score over liked items, then unseen items by matched tags and mean score.
+
+    Rows of an item and tag are added up first. Candidates are dealt out by user once: what a user has seen
+    comes along as a mark, so removing it, scoring and ranking need no further shuffle.
+    """
     strong = tags.where(F.col("score") >= min_score)
     mine = ratings.where(F.col("rating") >= liked).join(strong, "item").groupBy("user", "tag").agg(F.round(F.avg("score"), 9).alias("relevance"))
     w = Window.partitionBy("user").orderBy(F.desc("relevance"), "tag")
     kept = mine.withColumn("i", F.row_number().over(w)).where(F.col("i") <= n_tags).select("user", "tag")
-    found = kept.join(strong, "tag").join(ratings.select("user", "item"), ["user", "item"], "left_anti")
-    scored = found.groupBy("user", "item").agg(F.countDistinct("tag").alias("matched_tags"), F.round(F.avg("score"), 9).alias("avg_tag_score"))
-    return _top(scored, n, F.desc("matched_tags"), F.desc("avg_tag_score"))
+    pairs = strong.groupBy("tag", "item").agg(F.sum(F.col("score").cast("double")).alias("total"), F.count("score").alias("rows"))
+    seen = ratings.select("user", "item", F.lit(None).cast("double").alias("total"), F.lit(None).cast("long").alias("rows"))
+    dealt = kept.join(pairs, "tag").select("user", "item", "total", "rows").unionByName(seen).repartition("user")
+    scored = dealt.groupBy("user", "item").agg(F.count("rows").alias("matched_tags"), F.count("*").alias("all"), F.round(F.sum("total") / F.sum("rows"), 9).alias("avg_tag_score"))
+    return _top(scored.where(F.col("all") == F.col("matched_tags")).drop("all"), n, F.desc("matched_tags"), F.desc("avg_tag_score"))
 
 
 def items_with_genres(genres: DataFrame) -> DataFrame:
