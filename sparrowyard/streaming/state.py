@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
@@ -35,6 +36,8 @@ class Settlement(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new: dict[int, list[str]] = {}
+        if key[0] is None or key[0] != key[0]:  # beats, and operations of no account
+            return iter(())
         for f in rows:
             for ms, tx, kind, delta in zip(f["ms"].tolist(), f["tx_id"].tolist(), f["kind"].tolist(), f["delta_cents"].tolist(), strict=True):
                 new.setdefault(ms, []).append(f"{tx}\t{kind}\t{delta}")
@@ -62,18 +65,27 @@ class Settlement(StatefulProcessor):
         pass
 
 
-def settle_stream(ops: DataFrame, delay: str = "5 seconds", opening: int = 500_000_000) -> DataFrame:
+def settle_stream(ops: DataFrame, delay: str = "5 seconds", opening: int = 500_000_000, beats: DataFrame | None = None) -> DataFrame:
     """Outcomes of a stream of operations, equal to ``ledger.settle`` on all that came before the watermark.
 
     The delay must exceed the input's disorder: rows below the watermark are dropped by Spark. Operations at or
-    above the last watermark wait; a later row of any account moves it and so drains them.
+    above the last watermark wait; a later row of any account moves it and so drains them. ``beats``, a stream
+    with ``ms`` (the clock less the idle time, say, see ``clock``), moves it too when no operations come in.
+    Operations of a null account are left out.
     """
-    from pyspark.sql import functions as F
-
+    ops = ops.select("tx_id", "ms", "account", "delta_cents", "kind")
+    if beats is not None:
+        ops = ops.unionByName(beats.select(F.col("ms").cast("long").alias("ms")), allowMissingColumns=True)
     timed = windows.with_event_time(ops.withColumn("ts", F.timestamp_millis("ms")), "ts", delay)
     return timed.groupBy("account").transformWithStateInPandas(Settlement(opening), OUTCOME, outputMode="Append", timeMode="EventTime")
 
 
+def clock(spark: SparkSession, idle: int = 30) -> DataFrame:
+    """Beats for ``settle_stream``: one row a second, the wall clock less so many idle seconds, for times that follow it."""
+    beats = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return beats.select((F.unix_millis("timestamp") - idle * 1000).alias("ms"))
+
+
 class Trailing(StatefulProcessor):
     """Counts and sums an origin's transactions of the trailing span; older ones leave the state."""
 

@@ -51,6 +51,17 @@ def test_settle_stream_equals_batch(rocks, tmp_path):
     assert sorted(map(tuple, got.where("account < 99").select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
 
 
+def test_beats_drain_an_idle_ledger(rocks, tmp_path):
+    schema = "tx_id long, ms long, account long, delta_cents long, kind string"
+    ops = rocks.createDataFrame([(1, 1_000_000, 5, -3, "debit"), (2, 1_000_500, 5, 4, "credit"), (3, 1_000_700, None, 4, "credit")], schema)
+    beats = rocks.createDataFrame([(1_000_000,), (1_040_000,)], "ms long")
+    stream = fed(rocks, ops, 1, str(tmp_path / "in"), "tx_id")
+    clock = fed(rocks, beats, 2, str(tmp_path / "beats"), "ms")
+    got = ran(state.settle_stream(stream, "5 seconds", 10, clock), "drained", tmp_path)
+    assert sorted((r.tx_id, r.balance_cents, r.apply_seq) for r in got.collect()) == [(1, 7, 1), (2, 11, 2)]
+    assert state.clock(rocks).isStreaming and state.clock(rocks).columns == ["ms"]
+
+
 def test_aml_stream_equals_batch(rocks, tmp_path):
     rng = random.Random(5)
     rows = [(k, rng.randrange(3), k * 1000 + 5, rng.randint(1, 90)) for k in range(120)]
