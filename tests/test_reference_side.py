@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparrowyard.operators import graph, ledger
+from sparrowyard.operators import graph, ledger, recommend
 from sparrowyard.operators import relational as R
 from sparrowyard.sources import files
 from sparrowyard.streaming import windows
@@ -106,3 +106,41 @@ def test_upsert_is_idempotent(spark, tmp_path):
     for n, batch in ((0, a), (1, b), (1, b)):
         put(batch, n)
     assert {r.k: r.v for r in windows.snapshot(spark, str(tmp_path / "t")).collect()} == {1: "c", 2: "b"}
+
+
+def test_cycles_of_three_match_plain_loop(spark):
+    """A busy account, ties in time, repeated pairs and loops."""
+    rng = random.Random(11)
+    rows = [(k, *((0, rng.randrange(1, 9)) if k % 3 == 0 else (rng.randrange(1, 9), 0) if k % 3 == 1 else (rng.randrange(9), rng.randrange(9))), rng.randrange(40) * 50, rng.randint(1, 100)) for k in range(150)]
+    tx = spark.createDataFrame(rows, "tx_id long, orig long, dest long, ms long, amount_cents long")
+    got = ledger.cycles3(tx, 300, 120).select("tx1", "tx2", "tx3", "a", "b", "c", "total").collect()
+    want = []
+    for t3, a, b, ms, m in rows:
+        early = [r for r in rows if ms - 300 <= r[3] <= ms and r[1] != r[2]]
+        for t1, o1, c, _, m1 in early:
+            if a != b and o1 == b and c not in (a, b):
+                want += [(t1, r[0], t3, a, b, c, m + m1 + r[4]) for r in early if r[1] == c and r[2] == a and m + m1 + r[4] >= 120]
+    assert sorted(map(tuple, got)) == sorted(want) != []
+    assert ledger.cycles3(tx.limit(0), 300, 120).count() == 0
+
+
+def test_by_tags_matches_plain_loop(spark):
+    """Repeated ratings and tag rows, null scores, users who have seen all."""
+    rng = random.Random(12)
+    ratings = [(u, rng.randrange(12), float(rng.randint(1, 5))) for u in range(6) for _ in range(9)] + [(7, i, 5.0) for i in range(12)]
+    tags = [(rng.randrange(12), f"t{rng.randrange(5)}", rng.choice([None, 0.25, 0.5, 0.75, 1.0])) for _ in range(60)]
+    got = recommend.by_tags(spark.createDataFrame(ratings, "user long, item long, rating double"), spark.createDataFrame(tags, "item long, tag string, score double"), 3, 2)
+    strong = [t for t in tags if t[2] is not None and t[2] >= 0.5]
+    want = []
+    for u in sorted({r[0] for r in ratings}):
+        by_tag, by_item = {}, {}
+        for _, item, _ in (r for r in ratings if r[0] == u and r[2] >= 4):
+            for _, tag, score in (t for t in strong if t[0] == item):
+                by_tag.setdefault(tag, []).append(score)
+        best = sorted(by_tag, key=lambda t: (-round(sum(by_tag[t]) / len(by_tag[t]), 9), t))[:2]
+        for item, tag, score in strong:
+            if tag in best and item not in {r[1] for r in ratings if r[0] == u}:
+                by_item.setdefault(item, []).append((tag, score))
+        scored = [(u, i, len({t for t, _ in x}), round(sum(s for _, s in x) / len(x), 9)) for i, x in by_item.items()]
+        want += [(*r, k + 1) for k, r in enumerate(sorted(scored, key=lambda r: (-r[2], -r[3], r[1]))[:3])]
+    assert sorted(map(tuple, got.select("user", "item", "matched_tags", "avg_tag_score", "rank").collect())) == sorted(want) != []
