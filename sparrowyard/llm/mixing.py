@@ -83,12 +83,18 @@ def balance(rows: DataFrame, goals: DataFrame, cap: float = 3.0, rounds: int = 4
     return state.select(*goals.columns, "lam")
 
 
+#: Rates are rounded to 2 ** -20 before they become copies.
+UNIT_BITS = 20
+
+
 def rounded(rows: DataFrame, goals: DataFrame, cap: int = 3, bins: int = 64, exchanges: int = 4) -> DataFrame:
     """Whole copies per document from rates: ``id, src, size, source_size, target, copies, taken``.
 
     ``rows`` has ``id``, ``src``, ``size``, ``base``; ``goals`` has ``src``, ``source_size``, ``target``, ``lam``.
     """
     rate = F.when(F.col("target") > 0, F.least(F.col("base") * F.exp("lam"), F.lit(float(cap)))).otherwise(0.0)
+    # whole units, so that running sums are exact: neither the order of rows nor their number changes the result
+    rate = F.round(rate * (1 << UNIT_BITS)).cast("long")
     rated = rows.join(goals, "src").select(
         "id", "src", "size", "source_size", "target", rate.alias("rate"),
         (-F.floor(F.log2(F.col("size") + 1) * 8)).cast("int").alias("sweep"),
@@ -99,9 +105,9 @@ def rounded(rows: DataFrame, goals: DataFrame, cap: int = 3, bins: int = 64, exc
     within = Window.partitionBy(*cell).orderBy("id", "size", "rate").rowsBetween(Window.unboundedPreceding, 0)
     along = Window.partitionBy("src").orderBy("sweep", "bin").rowsBetween(Window.unboundedPreceding, -1)
     cells = rated.groupBy(*cell).agg(F.sum("rate").alias("cell"))
-    before = cells.select(*cell, F.coalesce(F.sum("cell").over(along), F.lit(0.0)).alias("before"))
-    edge = F.col("before") + F.col("upto") + 0.5 + 1e-9
-    copies = F.greatest(F.lit(0), F.least(F.lit(cap), F.floor(edge) - F.floor(edge - F.col("rate")))).cast("int")
+    before = cells.select(*cell, F.coalesce(F.sum("cell").over(along), F.lit(0).cast("long")).alias("before"))
+    edge = F.col("before") + F.col("upto") + (1 << UNIT_BITS - 1)
+    copies = (F.shiftright(edge, UNIT_BITS) - F.shiftright(edge - F.col("rate"), UNIT_BITS)).cast("int")
     result = written(
         rated.withColumn("upto", F.sum("rate").over(within)).join(before, cell).select("id", "src", "size", "source_size", "target", copies.alias("copies")),
         "copies",
