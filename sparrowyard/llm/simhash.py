@@ -27,7 +27,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparrowyard.llm.common import written
@@ -187,11 +187,22 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     return rows.join(by_print, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row per component, the one with the smallest id; rows that repeat an id are one document. Columns as given."""
-    found = near_duplicates(docs, id, text, **how)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(id).alias("i"))
-    joined = rows.join(stay.hint("shuffle_hash"), F.col("i").eqNullSafe(F.col("stay")), "left_semi")
-    first = joined.withColumn("o", F.row_number().over(Window.partitionBy("i").orderBy("i"))).where("o = 1")
-    return first.select("row.*")
+def one_per_group(docs: DataFrame, found: DataFrame, id: str, text: str) -> DataFrame:
+    """One row of ``docs`` per ``root`` of ``found`` (``id``, ``h``, ``root``; ``h`` is the text's xxhash64), columns as given.
+
+    The row has the group's smallest id, null last, then the smallest hash. Rows of null or repeated ids
+    stay apart unless their texts are in one group.
+    """
+    stay = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("m")).select(F.col("m.id").alias("i"), F.col("m.h").alias("h"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id).alias("id"), F.xxhash64(text).alias("k"))
+    joined = rows.join(stay.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("i")) & (F.col("k") == F.col("h")), "left_semi")
+    return joined.groupBy("id", "k").agg(F.first("row").alias("row")).select("row.*")
+
+
+def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 4, distance: int = 4, blocks: int = 7) -> DataFrame:
+    """One row per component, chosen as ``one_per_group`` defines. Columns as given."""
+    keyed = docs.select(F.struct(F.col(id).alias("id"), F.xxhash64(text).alias("h")).alias("key"), F.col(text).alias("text"))
+    rows = written(fingerprints(keyed, "key", "text", size), "fingerprints")
+    roots = components(links_of(rows.select("fp").distinct(), distance, blocks))
+    found = rows.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("id.id", "id.h", F.coalesce("root", "fp").alias("root"))
+    return one_per_group(docs, found, id, text)

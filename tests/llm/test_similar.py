@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparrowyard.llm import similar
+from sparrowyard.llm import simhash, similar
 
 SCHEMA = "doc_id long, text string"
 
@@ -71,3 +71,12 @@ def test_blank_and_short_texts(spark):
     kept = similar.deduplicated(df)
     assert sorted(r.doc_id for r in kept.collect()) == [0, 3, 5, 6] and kept.columns == df.columns
     assert similar.deduplicated(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("module", [similar, simhash])
+def test_null_and_repeated_ids_lose_no_other_text(spark, module):
+    rng = random.Random(6)
+    a, b, c, d = (" ".join(text_of(rng, 80)) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (8, d), (7, c), (None, c)]
+    kept = module.deduplicated(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, a), (0, b), (7, c), (7, d)])
