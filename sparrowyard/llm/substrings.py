@@ -8,7 +8,9 @@ tree over all suffixes of a corpus does not fit anywhere, so:
    per anchor (about one in 18 words) finds them.
 2. Partitioning. The remaining suffixes are dealt out by their anchor. Before that, each batch of documents
    settles what repeats inside it: of equal paths only the one with the smallest id travels on, so a passage
-   in a third of all documents arrives once per batch, and the groups are memory-sized.
+   in a third of all documents arrives once per batch. The paths of a shorter line in many surroundings all
+   differ, so the suffixes of an anchor that occurs over ``group_limit`` times are dealt out by their whole
+   path, which equal windows share. So the groups are memory-sized.
 3. Subtrees. Within an anchor's group suffixes are sorted by path; paths that agree to depth W are the leaves
    below one deep internal node, and all leaves but those of the smallest id are repeats. Repeats at
    neighbouring positions join into maximal ones.
@@ -99,7 +101,10 @@ OUT = "anchor long, id long, k long, at int, n int, paths binary"
 
 
 def _suffixes(docs: DataFrame, window: int, k: int, batch_words: int = 600_000) -> DataFrame:
-    """Suffixes by anchor (``paths`` has 8 bytes each), and ranges already known to repeat (``paths`` null, ``n`` words)."""
+    """Suffixes by anchor (``paths`` has 8 bytes each), and ranges already known to repeat (``paths`` null, ``n`` words).
+
+    ``starts`` has the windows to take; those of a frequent anchor are given as -1 - start.
+    """
 
     def settle(rows: list) -> pa.RecordBatch:
         owner = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
@@ -112,14 +117,16 @@ def _suffixes(docs: DataFrame, window: int, k: int, batch_words: int = 600_000)
         who, start, end = _runs(owner[repeat], at[repeat], window)
         keep = np.flatnonzero(first)
         o, a, p, x = owner[keep], anchor[keep], path[keep], at[keep]
+        frequent = np.concatenate([np.repeat(r[6], r[4]) for r in rows])[keep]
+        a[frequent] = _mixed(a[frequent] ^ p[frequent])
         new = np.flatnonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (a[1:] != a[:-1]) | (x[1:] != x[:-1] + 1)])) if len(o) else np.zeros(0, int)
         sizes = np.diff(np.append(new, len(o)))
         raw, ends = p.tobytes(), np.cumsum(sizes) * 8
         lists = [raw[b - 8 * n : b] for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
         return pa.RecordBatch.from_arrays(
             [
-                # known ranges may go anywhere; the document's key spreads them
-                pa.array(np.concatenate([keys[who], a[new].view(np.int64)])),
+                # known ranges may go anywhere; the document's id spreads them, which copies of a text do not share
+                pa.array(np.concatenate([ids[who], a[new].view(np.int64)])),
                 pa.array(np.concatenate([ids[who], ids[o[new]]])),
                 pa.array(np.concatenate([keys[who], keys[o[new]]])),
                 pa.array(np.concatenate([start, x[new]]).astype(np.int32)),
@@ -135,10 +142,11 @@ def _suffixes(docs: DataFrame, window: int, k: int, batch_words: int = 600_000)
             for id, key, text, starts in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
                 paths = Paths(text.encode().split())
                 anchor, first, n = anchors(paths, window, k)
-                mine = np.isin(first, np.array(starts))
+                starts = np.array(starts)
+                mine = np.isin(first, np.where(starts < 0, -1 - starts, starts))
                 anchor, first, n = anchor[mine], first[mine], n[mine]
                 at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                rows.append((id, key, anchor, paths.of(window)[at], n, at))
+                rows.append((id, key, anchor, paths.of(window)[at], n, at, np.isin(first, -1 - starts)))
                 size += len(at)
                 if size >= batch_words:
                     yield settle(rows)
@@ -193,8 +201,8 @@ def _subtrees(suffixes: DataFrame, window: int, batch_rows: int = 40_000) -> Dat
     return dealt.mapInArrow(run, "id long, k long, start int, end int")
 
 
-def repeated_ranges(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, k: int = 16) -> DataFrame:
-    """Word ranges (``id, k, start, end``) covered by windows that also start in a document with a smaller id; ``k`` is the text's hash."""
+def _dealt(docs: DataFrame, id: str, text: str, window: int, k: int, group_limit: int) -> DataFrame:
+    """The suffixes whose anchors several documents have, by the key that deals them out."""
     rows = docs.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("k"), F.col(text).alias("t"))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,10 +218,20 @@ def repeated_ranges(docs: DataFrame, id: str = "doc_id", text: str = "text", win
 
     found = rows.mapInArrow(sample, "anchor long, id long, k long, at int")
     found = written(found, "anchors")
-    shared = found.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("anchor")
-    starts = found.join(shared, "anchor").groupBy("id", "k").agg(F.collect_set("at").alias("starts"))
+    counted = found.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("c")).where("a < b")
+    shared = written(counted.select("anchor", (F.col("c") > group_limit).alias("frequent")), "shared")
+    # at most one row in group_limit is a frequent anchor, so they fit anywhere; joined by key each would be one task's
+    frequent = F.broadcast(shared.where("frequent").select("anchor"))
+    often = found.join(frequent, "anchor").withColumn("at", -1 - F.col("at"))
+    seldom = found.join(frequent, "anchor", "left_anti").join(shared.where("not frequent").select("anchor"), "anchor")
+    starts = seldom.unionByName(often).groupBy("id", "k").agg(F.collect_set("at").alias("starts"))
     wanted = rows.join(starts.hint("shuffle_hash"), ["id", "k"]).select("id", "k", "t", "starts")
-    return _subtrees(_suffixes(wanted, window, k), window)
+    return _suffixes(wanted, window, k)
+
+
+def repeated_ranges(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, k: int = 16, group_limit: int = 20_000) -> DataFrame:
+    """Word ranges (``id, k, start, end``) covered by windows that also start in a document with a smaller id; ``k`` is the text's hash."""
+    return _subtrees(_dealt(docs, id, text, window, k, group_limit), window)
 
 
 def without_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, k: int = 16) -> DataFrame:
