@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of characters other than ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from ``spark.checkpoint.dir``; one is set only where none is."""
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``.
+
+    Where none is set, a local master gets a temporary folder; on a cluster its machines would not share one, so that raises.
+    """
     sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
-        where = sc.getCheckpointDir()
-        if not where:
-            where = tempfile.mkdtemp(prefix="spark-")
-            sc.setCheckpointDir(where)
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        where = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(where)
     return where
 
 
@@ -30,6 +33,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI, on the file system that Spark would take for it."""
+    if "://" in path or path.startswith("file:"):
+        return path
+    store = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return f"{store.rstrip('/') if not store.startswith('file:') else 'file://'}{path}"
+
+
+def integer_id(df: DataFrame, id: str) -> None:
+    """Raise TypeError unless the id column holds integers."""
+    kind = df.select(id).schema[0].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"ids must be integers, {id} is {kind.simpleString()}")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
 
@@ -47,7 +65,3 @@ def words_of(text: Column) -> Column:
 
 def n_words_of(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
-
-
-def local_path(uri: str) -> str:
-    return uri[len("file:"):].replace("//", "/", 1) if uri.startswith("file:") else os.path.abspath(uri) if "://" not in uri else uri

@@ -12,19 +12,18 @@ empty. ``encode`` keeps all columns of its input in struct ``row``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparrowyard.llm.chunks import ChunkTable
+from sparrowyard.llm.chunks import ChunkTable, slices
 
 MARK = "▁"
-CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _loaded: dict[str, tuple] = {}
 
 
@@ -38,43 +37,63 @@ def check_model(sp) -> None:
         raise ValueError("the model's normalizer does more than mark spaces")
 
 
-def _table(path: str) -> tuple:
+class PieceTable(ChunkTable):
+    """Ids and decoded text of each distinct chunk."""
+
+    def __init__(self, sp):
+        self.sp, self.end = sp, sp.eos_id()
+        self.lead, self.bare = sp.piece_to_id("a"), [sp.piece_to_id(MARK)]
+        super().__init__(self._segment)
+
+    def clear(self) -> None:
+        super().clear()
+        self.decoded = pa.array([], pa.string())
+
+    def _segment(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # the library puts the first marker back; a lone marker would be an empty text to it
+        found = self.sp.encode([c[1:] for c in chunks], num_threads=1)
+        ids = [self.bare if c == MARK else x for c, x in zip(chunks, found, strict=True)]
+        texts = [x[1:] for x in self.sp.decode([[self.lead, *i] for i in ids], num_threads=1)]
+        self.decoded = pa.concat_arrays([self.decoded, pa.array(texts, pa.string())])
+        return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
+
+
+def _table(path: str) -> PieceTable:
     if path not in _loaded:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         check_model(sp)
-        lead = sp.piece_to_id("a")
-        bare = [sp.piece_to_id(MARK)]
-
-        def encode(chunks: list[str]) -> list[list[int]]:
-            # the library puts the first marker back; a lone marker would be an empty text to it
-            return [bare if c == MARK else ids for c, ids in zip(chunks, sp.encode([c[1:] for c in chunks], num_threads=1), strict=True)]
+        _loaded[path] = PieceTable(sp)
+    return _loaded[path]
 
-        def decode(ids: list[list[int]]) -> list[bytes]:
-            return [x[1:].encode() for x in sp.decode([[lead, *i] for i in ids], num_threads=1)]
 
-        _loaded[path] = ChunkTable(encode, decode), sp.eos_id()
-    return _loaded[path]
+def marked_chunks(texts: pa.Array) -> pa.ListArray:
+    """The chunks of each text, an empty one first; each other one begins with a run of markers."""
+    texts = pc.fill_null(texts, "")
+    cut = next(c for c in map(chr, range(0xE000, 0xF8FF)) if not pc.any(pc.match_substring(texts, c)).as_py())
+    marked = pc.replace_substring(pc.binary_join_element_wise(MARK, texts, ""), " ", MARK)
+    # a cut before each marker, then none within a run of them
+    return pc.split_pattern(pc.replace_substring(pc.replace_substring(marked, MARK, cut + MARK), MARK + cut, MARK), cut)
 
 
-def encode_batch(texts: list[str | None], path: str) -> tuple[pa.Array, pa.Array]:
+def encode_batch(texts: pa.Array, path: str) -> tuple[pa.Array, pa.Array]:
     """Lists of ids, each with the end id last, and the decoded texts."""
-    table, end = _table(path)
-    chunks: list[str] = []
-    cuts = [0]
-    for t in texts:
-        if t:
-            chunks += CHUNK.findall(MARK + t.replace(" ", MARK))
-        cuts.append(len(chunks))
-    numbers = table.numbered(chunks)
+    table, chunks = _table(path), marked_chunks(texts)
+    cuts = chunks.offsets.to_numpy() - chunks.offsets[0].as_py()
+    d = chunks.flatten().dictionary_encode()
+    # without text there is a marker of no word, and the library gives it no id
+    empty = pc.equal(pc.fill_null(texts, ""), "").to_numpy(zero_copy_only=False)
+    numbers = table.numbered(d.dictionary.to_pylist(), distinct=True)[d.indices.to_numpy()] if len(d) else np.zeros(0, np.int64)
     ids, n = table.ids(numbers)
-    upto = np.concatenate([[0], np.cumsum(n)])[np.array(cuts)]
-    ids = np.insert(ids, upto[1:], end)
-    offsets = upto + np.arange(len(cuts))
-    pieces = [table.decoded[i] for i in numbers.tolist()]
-    decoded = [b"".join(pieces[a:b])[1:].decode() for a, b in zip(cuts, cuts[1:], strict=False)]
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), pa.array(decoded, pa.string())
+    words = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), table.decoded.take(pa.array(numbers))), "")
+    decoded = pc.utf8_slice_codeunits(words, 1)
+    if empty.any():
+        keep = np.repeat(~empty, np.diff(cuts))
+        ids, n = ids[np.repeat(keep, n)], np.where(keep, n, 0)
+    upto = np.concatenate([[0], np.cumsum(n)])[cuts]
+    ids, offsets = np.insert(ids, upto[1:], table.end), upto + np.arange(len(cuts))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())), decoded
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -84,9 +103,8 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: list[str] | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids, decoded = encode_batch(part.column(1).to_pylist(), model)
+            for part in slices(batch, 1, 4_000_000):
+                ids, decoded = encode_batch(part.column(1), model)
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, decoded], ["row", "ids", "decoded"])
 
     return packed.mapInArrow(run, schema)

@@ -102,6 +102,23 @@ def test_sentencepiece_equals_library(docs, rows, empty):
     assert sentencepieces.encode(empty, path).count() == 0
 
 
+def test_token_files_with_null_and_repeated_ids(spark, tmp_path):
+    path, to = queries.tokenizer_path("word_bpe_49k.json"), str(tmp_path / "ids")
+    texts = [f"text {i} of the null ones" for i in range(40)]
+    rows = [(None, x) for x in texts] + [(7, f"seven {i}") for i in range(40)] + [(i, "plain" if i != 3 else None) for i in range(5)] + [(8, "a " * 200_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    manifest = token_files.write(df, to, path, 2, rows_per_file=10)
+    got = sorted(token_files.read(spark, to, manifest).collect(), key=lambda r: r.start)
+    t = Tokenizer.from_file(path)
+    ids = lambda x: np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, bytes(r.ids)) for r in got) == sorted((i is not None, i or 0, ids(x)) for i, x in rows)
+    order = [(r.doc_id is not None, r.doc_id or 0) for r in got]
+    assert order == sorted(order) and [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
+    assert len(manifest) > 6 and max(m["docs"] for m in manifest) < 40
+    with pytest.raises(TypeError):
+        token_files.write(df.withColumn("doc_id", F.lit("x")), to, path, 2)
+
+
 def test_token_files_round_trip(spark, docs, rows, empty):
     path, to = queries.tokenizer_path("word_bpe_49k.json"), scratch_path(spark, "ids")
     manifest = token_files.write(docs, to, path, 2, rows_per_file=7)
@@ -111,7 +128,7 @@ def test_token_files_round_trip(spark, docs, rows, empty):
         want[i] = (start, len(ids), np.array(ids, "<u4").tobytes())
         start += len(ids)
     assert {r[0]: (r[1], r[2], bytes(r[3])) for r in token_files.read(spark, to, manifest).collect()} == want and len(manifest) > 1
-    some = token_files.read_ids(to, manifest[0]["path"], {0, 3})
+    some = token_files.read_ids(spark, to, manifest[0]["path"], {0, 3})
     assert {i: x.tobytes() for i, x in some.items()} == {i: want[i][2] for i in (0, 3)}
     with open(manifest[0]["path"], "r+b") as f:  # the frame's checksum notices a flipped bit
         f.seek(20)
@@ -119,7 +136,7 @@ def test_token_files_round_trip(spark, docs, rows, empty):
         f.seek(20)
         f.write(bytes([byte[0] ^ 1]))
     with pytest.raises(Exception):
-        token_files.read_ids(to, manifest[0]["path"], set(range(8)))
+        token_files.read_ids(spark, to, manifest[0]["path"], set(range(8)))
     assert token_files.read(spark, to, token_files.write(empty, to, path, 2)).count() == 0
 
 
