@@ -25,7 +25,7 @@ def log_metrics(spark: SparkSession, src: str, out: str) -> None:
 
 
 def profile(df: DataFrame, max_ndv: int = 50) -> DataFrame:
-    """``column, metric, value`` (text): rows, nulls, figures of numbers, ends of dates, counts of columns with few values."""
+    """``column, metric, value`` (text): rows, nulls, figures and distinct counts of numbers, ends of dates, counts or samples of texts."""
     kinds = dict(df.dtypes)
     numeric = [c for c in df.columns if kinds[c].split("(")[0] in NUMBERS]
     dated = [c for c in df.columns if kinds[c].startswith(("date", "timestamp"))]
@@ -45,6 +45,9 @@ def profile(df: DataFrame, max_ndv: int = 50) -> DataFrame:
     if texts:
         counts = R.value_counts(df, texts, max_ndv)
         parts.append(counts.select("column", F.concat(F.lit("count of "), F.coalesce("value", F.lit("null"))).alias("metric"), F.col("n").cast("string").alias("value")))
+        some = R.unique_values(df, texts, max_ndv)
+        parts.append(some.select("column", F.lit("ndv").alias("metric"), F.col("ndv").cast("string").alias("value")))
+        parts.append(some.select("column", F.posexplode("values").alias("i", "value")).select("column", F.concat(F.lit("sample "), F.col("i") + 1).alias("metric"), "value"))
     if not parts:
         raise ValueError("a table without columns has no profile")
     return R.union_all(*parts)
@@ -86,10 +89,9 @@ def bike_trips(fields: DataFrame, started: int = 2, ended: int = 3, station: int
     }
 
 
-def run_report(runs: DataFrame, config: str, workers: str, metric: str, base: int, z: float = 1.96) -> DataFrame:
-    """Mean, deviation, confidence interval and speedup per configuration and worker count."""
-    stats = R.config_stats(runs, [config, workers], metric).withColumn("ci", F.lit(z) * F.col("std") / F.sqrt("runs"))
-    return R.speedup(stats, config, workers, base).withColumn("efficiency", F.col("speedup") * base / F.col(workers))
+def run_report(runs: DataFrame, config: str, workers: str, metric: str, base: int, work: Column | None = None) -> DataFrame:
+    """Mean, deviation, 95 % confidence half-width, speedup, efficiency and (of ``work`` units a run) throughput per configuration and worker count."""
+    return R.speedup(R.half_width(R.config_stats(runs, [config, workers], metric)), config, workers, base, work)
 
 
 # streams

@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowyard.operators.relational import induced
+from sparrowyard.session import shared_dir
+
+
+class NotConverged(RuntimeError):
+    """A loop reached its limit of rounds before its result was final."""
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Written to the cluster's shared folder and read back: survives lost executors, ends the plan's growth."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(where)
-    path = f"{where.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -71,8 +70,8 @@ def connected_components(edges: DataFrame, max_iter: int = 100) -> DataFrame:
         labels_new = cut(jump.select("id", F.least("component", "far").alias("component"), (F.least("component", "far") != F.col("was")).alias("moved")))
         labels = labels_new.select("id", "component")
         if not labels_new.where("moved").head(1):
-            break
-    return labels
+            return labels
+    raise NotConverged(f"components still change after {max_iter} rounds")
 
 
 def largest_component(edges: DataFrame) -> DataFrame:
@@ -82,8 +81,16 @@ def largest_component(edges: DataFrame) -> DataFrame:
     return labels.join(top, "component", "left_semi").select("id")
 
 
+def component_report(edges: DataFrame) -> DataFrame:
+    """One row: nodes of the graph, nodes of the largest component, nodes dropped, and the component's clean edges."""
+    kept = cut(largest_component(edges))
+    nodes = node_set(edges).agg(F.count("*").alias("nodes")).join(kept.agg(F.count("*").alias("kept")))
+    inside = induced(clean_edges(edges), kept).agg(F.count("*").alias("edges"))
+    return nodes.withColumn("dropped", F.col("nodes") - F.col("kept")).join(inside)
+
+
 def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str = "w", max_iter: int = 1000) -> DataFrame:
-    """``source, node, dist``: frontier relaxation of all sources at once until nothing improves."""
+    """``source, node, dist``: frontier relaxation of all sources at once until nothing improves; weights must not be negative."""
     best = cut(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0.0).alias("dist")))
     front = best
     for _ in range(max_iter):
@@ -93,8 +100,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str = "w", max_
         front = both.where(better).select("source", "node", F.col("new").alias("dist"))
         best = both.select("source", "node", F.when(better, F.col("new")).otherwise(F.col("dist")).alias("dist"))
         if not front.head(1):
-            break
-    return best
+            return best
+    raise NotConverged(f"distances still improve after {max_iter} rounds")
 
 
 def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:

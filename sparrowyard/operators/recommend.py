@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparrowyard.operators.graph import cut, global_rank
+from sparrowyard.operators.relational import unseen
 
 
 def _top(scored: DataFrame, n: int, *order) -> DataFrame:
@@ -37,7 +38,7 @@ def by_genre(ratings: DataFrame, genres: DataFrame, n: int = 10, liked: float =
     placed = global_rank(sets.select("set", "item"), [F.col("set"), F.col("item")])
     first = placed.groupBy("set").agg(F.min("rank").alias("first"))
     blocks = placed.join(first, "set").select("set", "item", F.floor((F.col("rank") - F.col("first")) / n).alias("block"))
-    found = wanted.join(blocks, ["set", "block"]).join(seen, ["user", "item"], "left_anti")
+    found = unseen(wanted.join(blocks, ["set", "block"]), seen, ["user", "item"])
     return _top(found.select("user", "item", "score", "genres"), n, F.desc("score"))
 
 
@@ -46,7 +47,7 @@ def collaborative(ratings: DataFrame, users: DataFrame, n: int = 10, liked: floa
     likes = ratings.where(F.col("rating") >= liked)
     mine = likes.join(users.select("user"), "user").select("user", "item")
     paths = mine.join(likes.select(F.col("user").alias("other"), "item"), "item").where("user <> other").groupBy("user", "other").agg(F.count("*").alias("shared"))
-    found = paths.join(likes.select(F.col("user").alias("other"), "item", "rating"), "other").join(ratings.select("user", "item"), ["user", "item"], "left_anti")
+    found = unseen(paths.join(likes.select(F.col("user").alias("other"), "item", "rating"), "other"), ratings.select("user", "item"), ["user", "item"])
     scored = found.groupBy("user", "item").agg(F.count("*").alias("similar_users"), (F.sum(F.col("rating") * F.col("shared")) / F.sum("shared")).alias("mean_rating"))
     return _top(scored, n, F.desc("similar_users"), F.desc(F.round("mean_rating", 6)))
 

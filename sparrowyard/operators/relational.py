@@ -91,22 +91,115 @@ def null_profile(df: DataFrame) -> DataFrame:
     return one.select(F.inline(cells))
 
 
-def numeric_profile(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Extremes, mean, both standard deviations and distinct count of numeric columns, in one scan."""
-    figures = {"min": F.min, "max": F.max, "mean": F.avg, "std_samp": F.stddev_samp, "std_pop": F.stddev_pop}
+def numeric_profile(df: DataFrame, cols: list[str], rsd: float = 0.05, exact: bool = False) -> DataFrame:
+    """Extremes, mean, both standard deviations and distinct count of numeric columns, in one scan.
+
+    The distinct count is approximate unless ``exact``, which shuffles the distinct values.
+    """
+    ndv = F.count_distinct if exact else lambda c: F.approx_count_distinct(c, rsd)
+    figures = {"min": F.min, "max": F.max, "mean": F.avg, "std_samp": F.stddev_samp, "std_pop": F.stddev_pop, "ndv": ndv}
     one = df.agg(*[f(F.col(c).cast("double")).alias(f"{n}_{i}") for i, c in enumerate(cols) for n, f in figures.items()])
     cells = F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{n}_{i}").alias(n) for n in figures]) for i, c in enumerate(cols)])
     return one.select(F.inline(cells))
 
 
-def value_counts(df: DataFrame, cols: list[str], max_ndv: int = 50) -> DataFrame:
-    """Counts of the values of columns with few of them: one pass for all columns."""
+def _few(df: DataFrame, cols: list[str], most: int) -> dict[str, int]:
+    """Approximate distinct values of the columns that may have up to ``most``, by a margin of six deviations."""
+    if not cols:
+        return {}
+    one = df.agg(*[F.approx_count_distinct(F.col(c).cast("string"), 0.02).alias(f"n_{i}") for i, c in enumerate(cols)]).first()
+    return {c: n for c, n in zip(cols, one, strict=True) if n <= most * 1.12 + 2}
+
+
+def _values(df: DataFrame, cols: list[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])
-    counts = df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count("*").alias("n"))
+    return df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count("*").alias("n"))
+
+
+def value_counts(df: DataFrame, cols: list[str], max_ndv: int = 50) -> DataFrame:
+    """Counts of the values of columns with few of them: one pass for all columns.
+
+    An approximate count rules columns of many values out first, so their values are never shuffled; the exact
+    limit is tested on the rest.
+    """
+    cols = [*_few(df, cols, max_ndv)]
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, value string, n bigint")
+    counts = _values(df, cols)
     few = counts.groupBy("column").agg(F.count("*").alias("ndv")).where(F.col("ndv") <= max_ndv)
     return counts.join(few, "column", "left_semi")
 
 
+def unique_values(df: DataFrame, cols: list[str], max_listed: int = 20, sample: int = 5) -> DataFrame:
+    """``column, listed, ndv, values`` (as text, in order, without null): all values if there are few, else the first few.
+
+    ``ndv`` is exact for listed columns and approximate for others.
+    """
+    about = df.agg(*[F.approx_count_distinct(F.col(c).cast("string"), 0.02).alias(f"n_{i}") for i, c in enumerate(cols)]).first()
+    parts = []
+    for c, n in zip(cols, about, strict=True):
+        # the rows that are kept are max_listed + 1 at most, by partial limits
+        first = df.select(F.col(c).cast("string").alias("value")).where("value is not null").distinct().orderBy("value").limit(max(max_listed + 1, sample))
+        one = first.agg(F.count("*").alias("k"), F.array_sort(F.collect_list("value")).alias("v"))
+        listed = F.col("k") <= max_listed
+        parts.append(one.select(F.lit(c).alias("column"), listed.alias("listed"), F.when(listed, F.col("k")).otherwise(F.lit(n).cast("long")).alias("ndv"), F.when(listed, F.col("v")).otherwise(F.slice("v", 1, sample)).alias("values")))
+    return union_all(*parts)
+
+
+def bucket_quantile(hist: DataFrame, keys: list[str], q: float) -> DataFrame:
+    """Quantile from cumulative buckets (``le``, ``n``), linear within a bucket, the first of which begins at 0.
+
+    The widest bucket's count is the total. A quantile in an infinite bucket is the greatest finite bound; no rows give null.
+    """
+    w = Window.partitionBy(*keys).orderBy("le")
+    swept = hist.select(*keys, "le", "n", F.lag("le", 1, 0.0).over(w).alias("low"), F.lag("n", 1, 0).over(w).alias("before"), (F.max("n").over(Window.partitionBy(*keys)) * q).alias("rank"))
+    inside = F.col("low") + (F.col("le") - F.col("low")) * F.try_divide(F.col("rank") - F.col("before"), F.col("n") - F.col("before"))
+    at = F.when(F.col("le") == float("inf"), F.col("low")).otherwise(inside)
+    return swept.groupBy(*keys).agg(F.min_by(F.when(F.col("rank") > 0, at), F.when(F.col("n") >= F.col("rank"), F.col("le"))).alias("quantile"))
+
+
+def group_stats(df: DataFrame, keys: list[str], measure: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(measure).alias("mean"), F.sum(measure).alias("total"))
+
+
+def percentiles(df: DataFrame, keys: list[str], col: str, ps: list[float]) -> DataFrame:
+    """Interpolated percentiles, as ``p50`` and so on."""
+    return df.groupBy(*keys).agg(*[F.percentile(col, F.lit(p)).alias(f"p{round(p * 100)}") for p in ps])
+
+
+def status_counts(df: DataFrame, col: str, done: str) -> DataFrame:
+    """Rows, rows with the final status, and rows with another one."""
+    return df.agg(F.count("*").alias("n"), F.count_if(F.col(col) == done).alias("done"), F.count_if(F.col(col) != done).alias("still_open"))
+
+
+def trip_stats(df: DataFrame, col: str, least: float) -> DataFrame:
+    """Trips, those below the least plausible value, those without one, and the mean."""
+    return df.agg(F.count("*").alias("trips"), F.count_if(F.col(col) < least).alias("anomalies"), F.count_if(F.col(col).isNull()).alias("invalid"), F.avg(col).alias("mean"))
+
+
+def pivot_mean(df: DataFrame, key: str, col: str, values: list, measure: str) -> DataFrame:
+    """One column of means per given value."""
+    return df.groupBy(key).pivot(col, values).agg(F.avg(measure))
+
+
+def distinct_counts(df: DataFrame, cols: dict[str, str]) -> DataFrame:
+    return df.agg(*[F.count_distinct(c).alias(n) for n, c in cols.items()])
+
+
+def approx_distinct(df: DataFrame, cols: dict[str, str], rsd: float = 0.05) -> DataFrame:
+    return df.agg(*[F.approx_count_distinct(c, rsd).alias(n) for n, c in cols.items()])
+
+
+def users_per_value(df: DataFrame, value: str, user: str) -> DataFrame:
+    """Rows and distinct users of each value."""
+    return df.groupBy(value).agg(F.count("*").alias("n"), F.count_distinct(user).alias("users"))
+
+
+def duration_by_class(df: DataFrame, kind: str, minutes: Column) -> DataFrame:
+    """Trips and mean minutes per class of rider."""
+    return df.groupBy(kind).agg(F.count("*").alias("n"), F.avg(minutes).alias("minutes"))
+
+
 def bucket_histogram(df: DataFrame, keys: list[str], col: str, bounds: list[float]) -> DataFrame:
     """Cumulative counts of values up to each bound."""
     one = df.groupBy(*keys).agg(*[F.sum((F.col(col) <= b).cast("bigint")).alias(f"b_{i}") for i, b in enumerate(bounds)])
@@ -119,10 +212,26 @@ def config_stats(runs: DataFrame, keys: list[str], metric: str) -> DataFrame:
     return runs.groupBy(*keys).agg(F.count("*").alias("runs"), F.avg(metric).alias("mean"), F.coalesce(F.stddev_samp(metric), F.lit(0.0)).alias("std"), F.stddev_pop(metric).alias("std_pop"))
 
 
-def speedup(stats: DataFrame, config: str, workers: str, base) -> DataFrame:
-    """Time of the base worker count over each time, and efficiency."""
+#: Two-sided 95 % quantiles of Student's t for 1 to 30 degrees of freedom; beyond them 1.96.
+T_95 = (
+    12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131,
+    2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069, 2.064, 2.060, 2.056, 2.052, 2.048, 2.045, 2.042,
+)
+
+
+def half_width(stats: DataFrame, runs: str = "runs", std: str = "std") -> DataFrame:
+    """With ``ci``, half the 95 % confidence interval of the mean; null for one run."""
+    t = F.coalesce(F.get(F.array(*map(F.lit, T_95)), (F.col(runs) - 2).cast("int")), F.lit(1.96))
+    return stats.withColumn("ci", F.when(F.col(runs) > 1, t * F.col(std) / F.sqrt(runs)))
+
+
+def speedup(stats: DataFrame, config: str, workers: str, base, work: Column | None = None) -> DataFrame:
+    """Time of the base worker count over each time; efficiency where workers are numbers; throughput of ``work`` units a run."""
     first = stats.where(F.col(workers) == base).select(config, F.col("mean").alias("base_mean"))
-    return stats.join(first, config).withColumn("speedup", F.col("base_mean") / F.col("mean"))
+    out = stats.join(first, config).withColumn("speedup", F.col("base_mean") / F.col("mean"))
+    if not isinstance(base, str):
+        out = out.withColumn("efficiency", F.col("speedup") * base / F.col(workers))
+    return out if work is None else out.withColumn("throughput", F.try_divide(work, F.col("mean")))
 
 
 def nearest_rank(df: DataFrame, keys: list[str], col: str, ps: list[float]) -> DataFrame:
@@ -177,8 +286,11 @@ def trailing(df: DataFrame, key: str, ms: str, span: int, value: str) -> DataFra
 
 def id_gaps(df: DataFrame, key: str, id: str) -> DataFrame:
     """Ids missing between consecutive ids of a key."""
-    before = F.lag(id).over(Window.partitionBy(key).orderBy(id))
-    return df.select(key, (F.col(id) - before - 1).alias("gap")).groupBy(key).agg(F.sum(F.greatest("gap", F.lit(0))).alias("missing"), F.sum((F.col("gap") > 0).cast("bigint")).alias("gaps"))
+    ids = df.select(key, F.col(id).alias("_id")).where("_id is not null").distinct()
+    # an id that does not follow another begins a run; runs meet at gaps. No key's ids need to meet in one task.
+    begun = ids.join(ids.select(key, (F.col("_id") + 1).alias("_id")), [key, "_id"], "left_anti").groupBy(key).agg((F.count("*") - 1).alias("gaps"))
+    span = ids.groupBy(key).agg((F.max("_id") - F.min("_id") + 1 - F.count("*")).alias("missing"))
+    return span.join(begun, key)
 
 
 # top-k and sets

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sparrowyard.functions import columns as C
 from sparrowyard.operators import graph, indicators, ledger, recommend
 from sparrowyard.operators import relational as R
+from sparrowyard.streaming import windows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,7 +40,7 @@ TX = """tx AS (SELECT event_id AS tx_id, user_id % 60 AS orig, (event_id * 7 + u
 OPS = """ops AS (SELECT tx_id, ms, type, orig AS account, CASE WHEN type = 'CASH_IN' THEN amount_cents ELSE -amount_cents END AS delta_cents,
     CASE WHEN type = 'CASH_IN' THEN 'credit' ELSE 'debit' END AS kind FROM tx UNION ALL
     SELECT tx_id, ms, type, dest, amount_cents, 'credit' FROM tx WHERE type = 'TRANSFER')"""
-EDGES = "e AS (SELECT DISTINCT l_partkey AS src, 1000000 + l_suppkey AS dst FROM lineitem WHERE l_quantity >= 48)"
+EDGES = "e AS (SELECT DISTINCT l_partkey AS src, 1000000 + l_suppkey AS dst FROM lineitem)"
 BOTH = EDGES + ", u AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
 RATINGS = "ratings AS (SELECT o_custkey AS user, l_partkey AS item, avg(l_quantity) / 10 AS rating FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)"
 OPENING = 20_000
@@ -63,7 +64,7 @@ def tx(spark, d):
 
 
 def edges(spark, d):
-    e = table(spark, d, "lineitem").where("l_quantity >= 48").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst"))
+    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst"))
     return e.distinct()
 
 
@@ -93,7 +94,8 @@ def rank_vs_performance(spark, d):
 
 @query("SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, round(avg(l_extendedprice), 4) AS mean, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1, 2, 3")
 def side_advantage(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(F.count("*").alias("n"), F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+    keys = ["l_returnflag", "l_linestatus", "l_linenumber"]
+    return R.group_stats(table(spark, d, "lineitem"), keys, "l_extendedprice").select(*keys, "n", F.round("mean", 4).alias("mean"), F.round("total", 2).alias("total"))
 
 
 @query("SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS \"column\", unnest([count(*) - count(c_custkey), count(*) - count(c_name), count(*) - count(c_nationkey), count(*) - count(c_acctbal), count(*) - count(c_mktsegment)]) AS nulls, count(*) AS total FROM customer")
@@ -101,12 +103,12 @@ def null_profile(spark, d):
     return R.null_profile(table(spark, d, "customer"))
 
 
-_NUM = lambda c: f"SELECT '{c}' AS \"column\", CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std_samp, round(stddev_pop({c}), 4) AS std_pop FROM part"
+_NUM = lambda c: f"SELECT '{c}' AS \"column\", CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std_samp, round(stddev_pop({c}), 4) AS std_pop, count(DISTINCT {c}) AS ndv FROM part"
 
 
 @query(" UNION ALL ".join(map(_NUM, ("p_size", "p_retailprice"))))
 def numeric_profile(spark, d):
-    return R.numeric_profile(table(spark, d, "part"), ["p_size", "p_retailprice"]).select("column", "min", "max", *[F.round(c, 4).alias(c) for c in ("mean", "std_samp", "std_pop")])
+    return R.numeric_profile(table(spark, d, "part"), ["p_size", "p_retailprice"], exact=True).select("column", "min", "max", *[F.round(c, 4).alias(c) for c in ("mean", "std_samp", "std_pop")], "ndv")
 
 
 @query("SELECT 'event_type' AS \"column\", event_type AS value, count(*) AS n FROM events GROUP BY 2")
@@ -114,14 +116,17 @@ def value_counts(spark, d):
     return R.value_counts(table(spark, d, "events"), ["event_type", "event_id"])
 
 
-@query("SELECT p_brand, list_sort(list(DISTINCT p_size)) AS sizes, count(DISTINCT p_type) AS types FROM part GROUP BY 1")
+_UNIQUE = lambda c: f"SELECT '{c}' AS \"column\", n <= 20 AS listed, CASE WHEN n <= 20 THEN n END AS ndv, CASE WHEN n <= 20 THEN v ELSE v[1:5] END AS \"values\" FROM (SELECT count(DISTINCT {c}) AS n, list_sort(list(DISTINCT CAST({c} AS VARCHAR))) AS v FROM part)"
+
+
+@query(" UNION ALL ".join(map(_UNIQUE, ("p_brand", "p_size", "p_type", "p_name"))))
 def unique_values(spark, d):
-    return table(spark, d, "part").groupBy("p_brand").agg(F.sort_array(F.collect_set("p_size")).alias("sizes"), F.countDistinct("p_type").alias("types"))
+    return R.unique_values(table(spark, d, "part"), ["p_brand", "p_size", "p_type", "p_name"]).withColumn("ndv", F.when(F.col("listed"), F.col("ndv")))
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY 1")
 def latency_linear(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(*[F.round(F.percentile("value", F.lit(p)), 6).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    return R.percentiles(table(spark, d, "events"), ["event_type"], "value", [0.5, 0.95, 0.99]).select("event_type", *r6("p50", "p95", "p99"))
 
 
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
@@ -137,7 +142,7 @@ def latency_histogram(spark, d):
 
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS done, count(*) FILTER (WHERE o_orderstatus <> 'F') AS still_open FROM orders")
 def status_counts(spark, d):
-    return table(spark, d, "orders").agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("done"), F.count_if(F.col("o_orderstatus") != "F").alias("still_open"))
+    return R.status_counts(table(spark, d, "orders"), "o_orderstatus", "F")
 
 
 _RUNS = "SELECT l_linenumber AS config, l_linestatus AS workers, count(*) AS runs, avg(l_quantity) AS mean, coalesce(stddev_samp(l_quantity), 0) AS std, stddev_pop(l_quantity) AS std_pop FROM lineitem GROUP BY 1, 2"
@@ -159,13 +164,13 @@ def speedup(spark, d):
 
 @query("SELECT l_linenumber AS config, round(avg(l_quantity) FILTER (WHERE l_linestatus = 'F'), 6) AS \"F\", round(avg(l_quantity) FILTER (WHERE l_linestatus = 'O'), 6) AS \"O\" FROM lineitem GROUP BY 1")
 def pivot_config(spark, d):
-    p = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("config")).pivot("l_linestatus", ["F", "O"]).agg(F.avg("l_quantity"))
+    p = R.pivot_mean(table(spark, d, "lineitem").withColumnRenamed("l_linenumber", "config"), "config", "l_linestatus", ["F", "O"], "l_quantity")
     return p.select("config", *r6("F", "O"))
 
 
 @query("SELECT count(*) AS trips, count(*) FILTER (WHERE value < 1) AS anomalies, count(*) FILTER (WHERE value IS NULL) AS invalid, round(avg(value), 6) AS mean FROM events")
 def trip_stats(spark, d):
-    return table(spark, d, "events").agg(F.count("*").alias("trips"), F.count_if(F.col("value") < 1).alias("anomalies"), F.count_if(F.col("value").isNull()).alias("invalid"), F.round(F.avg("value"), 6).alias("mean"))
+    return R.trip_stats(table(spark, d, "events"), "value", 1).select("trips", "anomalies", "invalid", *r6("mean"))
 
 
 @query("SELECT CAST(hour(ts) AS INTEGER) AS hour, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, hour LIMIT 1")
@@ -175,12 +180,12 @@ def peak_hour(spark, d):
 
 @query("SELECT count(DISTINCT l_partkey) AS parts, count(DISTINCT l_suppkey) AS suppliers FROM lineitem")
 def distinct_count(spark, d):
-    return table(spark, d, "lineitem").agg(F.countDistinct("l_partkey").alias("parts"), F.countDistinct("l_suppkey").alias("suppliers"))
+    return R.distinct_counts(table(spark, d, "lineitem"), {"parts": "l_partkey", "suppliers": "l_suppkey"})
 
 
 @query()
 def approx_distinct(spark, d):
-    return table(spark, d, "lineitem").agg(F.approx_count_distinct("l_partkey", 0.05).alias("parts"), F.approx_count_distinct("l_orderkey", 0.05).alias("orders"))
+    return R.approx_distinct(table(spark, d, "lineitem"), {"parts": "l_partkey", "orders": "l_orderkey"})
 
 
 # projections and scalars
@@ -318,14 +323,14 @@ def trend_score(spark, d):
 
 @query("SELECT s + to_seconds(o) AS start, event_type, count(*) AS n FROM (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS s FROM events), (SELECT unnest([0, -3600]) AS o) GROUP BY 1, 2")
 def sliding_counts(spark, d):
-    w = table(spark, d, "events").groupBy(F.window("ts", "2 hours", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    return w.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    w = windows.counts(windows.with_event_time(table(spark, d, "events"), "ts", "1 hour"), "ts", ["event_type"], "2 hours", "1 hour")
+    return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @query("SELECT word, count(*) AS n, count(DISTINCT conv_id) AS users FROM (SELECT conv_id, unnest(string_split_regex(trim(text), '\\s+')) AS word FROM conversations) GROUP BY 1 ORDER BY n DESC, word LIMIT 50")
 def word_users(spark, d):
     w = table(spark, d, "conversations").select("conv_id", F.explode(F.split(F.trim("text"), r"\s+")).alias("word"))
-    return w.groupBy("word").agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("users")).orderBy(F.desc("n"), "word").limit(50)
+    return R.users_per_value(w, "word", "conv_id").orderBy(F.desc("n"), "word").limit(50)
 
 
 # ledger and alerts
@@ -379,7 +384,10 @@ def lpa_k(spark, d):
     return graph.label_propagation(graph.clean_edges(edges(spark, d), directed=False), 3)[0]
 
 
-@query(f"WITH RECURSIVE {BOTH}, c(id, root) AS (SELECT src, src FROM u UNION SELECT u.dst, c.root FROM c JOIN u ON u.src = c.id), m AS (SELECT id, min(root) AS r FROM c GROUP BY 1) SELECT count(*) AS n FROM m GROUP BY r ORDER BY n DESC LIMIT 1")
+_COMPONENTS = f"WITH RECURSIVE {BOTH}, c(id, root) USING KEY (id) AS (SELECT DISTINCT src, src FROM u UNION SELECT u.dst, min(c.root) FROM c JOIN u ON u.src = c.id JOIN recurring.c AS old ON old.id = u.dst WHERE c.root < old.root GROUP BY 1), top AS (SELECT root FROM c GROUP BY 1 ORDER BY count(*) DESC, root LIMIT 1)"
+
+
+@query(f"{_COMPONENTS} SELECT count(*) AS n FROM c WHERE root = (SELECT root FROM top)")
 def lcc_size(spark, d):
     return graph.largest_component(edges(spark, d)).agg(F.count("*").alias("n"))
 

@@ -15,7 +15,7 @@ LINES = """lines AS (SELECT user_id % 20 AS file, strftime(ts, '%y/%m/%d %H:%M:%
     UNION ALL SELECT user_id % 20, 'SubgraphOptimization ' || (event_id % 5) || ' ElapsedTimeMs=' || event_id || ' BestSubgraph=x cost=' || (event_id % 97) || '.0 nvertices=' || (user_id % 20) || ' nedges=' || (user_id % 20 + 1) FROM events WHERE event_type = 'error'
     UNION ALL SELECT DISTINCT user_id % 20, 'args is set to ''/data/g' || (user_id % 20) || ' 10 20 -1 3000 density grasp' FROM events
     UNION ALL SELECT DISTINCT user_id % 20, 'submit --executor-cores ' || (user_id % 20 % 4 + 1) FROM events WHERE user_id % 20 <> 3)"""
-W_EDGES = "e AS (SELECT l_partkey AS src, 1000000 + l_suppkey AS dst, l_extendedprice AS w FROM lineitem WHERE l_quantity >= 48)"
+W_EDGES = "e AS (SELECT l_partkey AS src, 1000000 + l_suppkey AS dst, l_extendedprice AS w FROM lineitem)"
 TAGS = "tags AS (SELECT l_partkey AS item, l_suppkey AS tag, round(avg(l_discount) * 10, 6) AS score FROM lineitem GROUP BY 1, 2)"
 GENRES = "g AS (SELECT p_partkey AS item, p_type AS genre FROM part UNION SELECT p_partkey, p_brand FROM part)"
 WORDS = "words AS (SELECT conv_id, turn, unnest(string_split_regex(trim(text), '\\s+')) AS word FROM conversations WHERE text IS NOT NULL)"
@@ -62,8 +62,7 @@ def log_etl(spark, d):
 
 @query(f"WITH {LINES}, {_BEST} SELECT * FROM hit")
 def time_to_best(spark, d):
-    rows = lines(spark, d)
-    return logs.time_to_best(rows, logs.best_per_file(rows))
+    return logs.time_to_best(lines(spark, d))
 
 
 @query(f"WITH {LINES} SELECT lower(split_part(value, ' ', 3)) AS level, split_part(split_part(value, ' ', 4), ':', 1) AS class, count(*) AS lines, sum(length(value))::BIGINT AS chars FROM lines WHERE value LIKE '% core.%' GROUP BY 1, 2")
@@ -89,7 +88,7 @@ def prefix_excluded(spark, d):
 
 @query(f"WITH {W_EDGES} SELECT src, dst, min(w) AS w FROM e GROUP BY 1, 2")
 def graph_min_edges(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity >= 48").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst"), F.col("l_extendedprice").alias("w"))
+    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst"), F.col("l_extendedprice").alias("w"))
     return graph.min_parallel_edges(rows)
 
 
@@ -123,10 +122,7 @@ def key_union(spark, d):
 
 @query(f"WITH {TX}, v AS (SELECT orig, ms, count(*) OVER w AS n FROM tx WINDOW w AS (PARTITION BY orig ORDER BY ms RANGE BETWEEN 21600000 PRECEDING AND CURRENT ROW)) SELECT 'VELOCITY' AS rule, count(*) FILTER (WHERE n >= 5) AS n FROM v UNION ALL SELECT 'CASH', count(*) FROM tx WHERE type = 'CASH_OUT' AND amount_cents > 10000")
 def aml_alerts(spark, d):
-    t = tx(spark, d)
-    fast = ledger.velocity(t, 5, 21_600_000).select(F.lit("VELOCITY").alias("rule"), "tx_id")
-    cash = t.where("type = 'CASH_OUT' and amount_cents > 10000").select(F.lit("CASH").alias("rule"), "tx_id")
-    return R.union_all(fast, cash).groupBy("rule").agg(F.count("*").alias("n"))
+    return ledger.alert_counts(tx(spark, d), 5, 21_600_000, "CASH_OUT", 10000)
 
 
 @query(f"WITH {TX}, t AS (SELECT * FROM tx WHERE type IN ('TRANSFER', 'PAYMENT') AND orig <> dest) SELECT x.tx_id AS tx1, y.tx_id AS tx2, l.tx_id AS tx3, l.orig AS a, l.dest AS b, x.dest AS c, l.amount_cents + x.amount_cents + y.amount_cents AS total FROM t l JOIN t x ON x.orig = l.dest AND x.dest <> l.orig AND x.ms BETWEEN l.ms - 86400000 AND l.ms AND x.tx_id <> l.tx_id JOIN t y ON y.orig = x.dest AND y.dest = l.orig AND y.ms BETWEEN l.ms - 86400000 AND l.ms AND y.tx_id <> l.tx_id WHERE l.amount_cents + x.amount_cents + y.amount_cents >= 1000")
@@ -287,15 +283,12 @@ def recommend_tags(spark, d):
 
 
 # distances
-_HOP = lambda a, b: f"{b} AS (SELECT source, node, min(dist) AS dist FROM (SELECT * FROM {a} UNION ALL SELECT source, dst, dist + w FROM {a} JOIN m ON m.src = node) GROUP BY 1, 2)"
-
-
-@query(f"WITH {W_EDGES}, m AS (SELECT src, dst, min(w) AS w FROM (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e) GROUP BY 1, 2), d0 AS (SELECT DISTINCT src AS source, src AS node, 0.0::DOUBLE AS dist FROM m WHERE src IN (1000001, 1000002, 1000003, 1000004)), {', '.join(_HOP(f'd{i}', f'd{i + 1}') for i in range(4))} SELECT source, node, round(dist, 4) AS dist FROM d4")
+@query(f"WITH RECURSIVE {W_EDGES}, m AS (SELECT src, dst, min(w) AS w FROM (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e) GROUP BY 1, 2), r(source, node, dist) USING KEY (source, node) AS (SELECT DISTINCT src, src, 0.0::DOUBLE FROM m WHERE src IN (1000001, 1000002, 1000003, 1000004) UNION SELECT r.source, m.dst, min(r.dist + m.w) FROM r JOIN m ON m.src = r.node LEFT JOIN recurring.r AS old ON old.source = r.source AND old.node = m.dst WHERE old.dist IS NULL OR r.dist + m.w < old.dist GROUP BY 1, 2) SELECT source, node, round(dist, 4) AS dist FROM r")
 def sssp_4(spark, d):
-    rows = table(spark, d, "lineitem").where("l_quantity >= 48").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst"), F.col("l_extendedprice").alias("w"))
+    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 1000000).alias("dst"), F.col("l_extendedprice").alias("w"))
     e = graph.min_parallel_edges(rows.union(rows.select("dst", "src", "w")))
     sources = graph.node_set(e).where(F.col("id").isin(1000001, 1000002, 1000003, 1000004))
-    return graph.shortest_paths(e, sources, max_iter=4).select("source", "node", F.round("dist", 4).alias("dist"))
+    return graph.shortest_paths(e, sources).select("source", "node", F.round("dist", 4).alias("dist"))
 
 
 @query("SELECT count(*) AS pairs, count(*) FILTER (WHERE x IS NULL OR y IS NULL) AS one_sided, round(coalesce(max(abs(x - y) / abs(x)), 0), 6) AS max_error, count(*) FILTER (WHERE x IS NULL OR y IS NULL) = 0 AND coalesce(max(abs(x - y) / abs(x)), 0) <= 0.0001 AS same FROM (SELECT o_orderkey AS k, o_totalprice AS x FROM orders) FULL JOIN (SELECT o_orderkey AS k, o_totalprice * 1.00001 AS y FROM orders WHERE o_orderkey % 100 <> 1) USING (k)")

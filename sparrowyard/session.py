@@ -18,6 +18,21 @@ def build_session(app: str = "sparrowyard", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``.
+
+    Where none is set, a local master gets a temporary one; machines of a cluster would not share it, so there it raises.
+    """
+    sc = spark.sparkContext
+    where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not where:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        where = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
 _sent: set[str] = set()
 
 

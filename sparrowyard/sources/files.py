@@ -19,8 +19,16 @@ def read_csv_strict(spark: SparkSession, paths: list[str], n_cols: int) -> DataF
     return reader.csv(paths).select(F.array(*[F.coalesce(c, F.lit("")) for c in names]).alias("fields"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or pattern names anything, on the file system that Spark takes for it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
+    return found is not None and len(found) > 0
+
+
 def read_ndjson(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    """Rows of lines of JSON, blank ones skipped; a missing file has no rows."""
+    return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 import time
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -60,6 +61,17 @@ def latency(df: DataFrame, began: str, ended: str, keys: list[str]) -> DataFrame
     return rows.groupBy(*keys).agg(F.count("ms").alias("n"), F.avg("ms").alias("mean_ms"), *[F.percentile("ms", F.lit(p / 100)).alias(f"p{p}") for p in (50, 95, 99)])
 
 
+def daily_peaks(trips: DataFrame, ts: str) -> DataFrame:
+    """Trips per day."""
+    return windows.counts(trips, ts, [], "1 day")
+
+
+def avg_by_zone(trips: DataFrame, ts: str, zone: str, seconds: str, zones: DataFrame, size: str = "1 day") -> DataFrame:
+    """Mean minutes (two places, halves up) and trips per window and zone, with the zone's columns where it is known."""
+    out = windows.averages(trips, ts, zone, seconds, size, zones)
+    return out.withColumn("mean", F.round((F.col("mean") / 60).cast("decimal(38,10)"), 2).cast("double"))
+
+
 def candles(trades: DataFrame, ts: str, key: str, size: str, delay: str) -> DataFrame:
     """Candles per window and key; appended once the watermark passes a window on a stream."""
     out = R.ohlcv(windows.with_event_time(trades, ts, delay).withColumnRenamed(key, "_key").withColumn("_w", F.window(ts, size)), ["_w", "_key"])
@@ -158,6 +170,23 @@ def start_all(jobs: dict[str, DataFrame], out: str, checkpoint: str) -> list[Str
     return [windows.start_parquet(df, name, f"{out}/{name}", f"{checkpoint}/{name}") for name, df in jobs.items()]
 
 
+def restartable(start: Callable[[str], StreamingQuery], checkpoint: str, attempts: int = 3) -> StreamingQuery:
+    """Runs ``start(checkpoint)`` to its end; a query that fails is started again from its checkpoint.
+
+    The checkpoint repeats the batch that failed with the same rows, so a sink that is idempotent by batch
+    (files, ``upsert_latest``) neither loses nor doubles any. The last failure is raised.
+    """
+    for left in reversed(range(attempts)):
+        query = start(checkpoint)
+        try:
+            query.awaitTermination()
+            return query
+        except StreamingQueryException:
+            if not left:
+                raise
+    raise ValueError("attempts must be 1 or more")
+
+
 def run_until_idle(queries: list[StreamingQuery], polls: int = 3, every: float = 1.0, timeout: float = 600.0) -> bool:
     """Waits until all queries have ended or had no new rows for ``polls`` polls, then stops them; false on timeout."""
     until, quiet, batches = time.time() + timeout, 0, None

@@ -65,6 +65,64 @@ class Settlement(StatefulProcessor):
         pass
 
 
+class IdleSettlement(Settlement):
+    """As ``Settlement``, but on the clock: operations wait until the account's newest one is ``delay_ms`` ahead of them,
+    and all that still wait are applied once the account has had no input for ``idle_ms``."""
+
+    def __init__(self, opening: int, delay_ms: int, idle_ms: int) -> None:
+        super().__init__(opening)
+        self.delay_ms, self.idle_ms = delay_ms, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.clock = handle.getValueState("clock", StructType([StructField("newest", LongType()), StructField("timer", LongType())]))
+
+    def _apply(self, key, upto: int | None) -> Iterator[pd.DataFrame]:
+        due = sorted(ms for (ms,), _ in self.waiting.iterator() if upto is None or ms <= upto)
+        balance, seq = self.held.get() if self.held.exists() else (self.opening, 0)
+        out = []
+        for ms in due:
+            for tx, kind, delta in sorted((int(t), k, int(d)) for t, k, d in (line.split("\t") for line in self.waiting.getValue((ms,))[0].split("\n"))):
+                ok = delta >= 0 or -delta <= balance
+                balance, seq = balance + (delta if ok else 0), seq + 1
+                out.append((tx, ms, key[0], delta, kind, "SETTLED" if ok else "REJECTED", balance, seq))
+            self.waiting.removeKey((ms,))
+        if out:
+            self.held.update((balance, seq))
+            yield pd.DataFrame(out, columns=OUTCOME.names)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is None or key[0] != key[0]:
+            return
+        newest, timer = self.clock.get() if self.clock.exists() else (None, None)
+        for f in rows:
+            for ms, tx, kind, delta in zip(f["ms"].tolist(), f["tx_id"].tolist(), f["kind"].tolist(), f["delta_cents"].tolist(), strict=True):
+                old = [self.waiting.getValue((ms,))[0]] if self.waiting.containsKey((ms,)) else []
+                self.waiting.updateValue((ms,), ("\n".join([*old, f"{tx}\t{kind}\t{delta}"]),))
+                newest = ms if newest is None else max(newest, ms)
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        timer = timerValues.getCurrentProcessingTimeInMs() + self.idle_ms
+        self.handle.registerTimer(timer)
+        self.clock.update((newest, timer))
+        yield from self._apply(key, newest - self.delay_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.clock.update((self.clock.get()[0], None))
+        yield from self._apply(key, None)
+
+
+def settle_when_idle(ops: DataFrame, delay_ms: int = 5000, idle_ms: int = 30_000, opening: int = 500_000_000) -> DataFrame:
+    """Outcomes of a stream of operations without a watermark: the rest is applied after an account's idle time.
+
+    Equal to ``ledger.settle`` where an account's operations are out of order by less than ``delay_ms`` and no
+    older one comes after an idle drain; such a late operation is applied when it comes. The clock's timers need a
+    query that keeps running (any trigger but availableNow).
+    """
+    rows = ops.select("tx_id", "ms", "account", "delta_cents", "kind")
+    return rows.groupBy("account").transformWithStateInPandas(IdleSettlement(opening, delay_ms, idle_ms), OUTCOME, outputMode="Append", timeMode="ProcessingTime")
+
+
 def settle_stream(ops: DataFrame, delay: str = "5 seconds", opening: int = 500_000_000, beats: DataFrame | None = None) -> DataFrame:
     """Outcomes of a stream of operations, equal to ``ledger.settle`` on all that came before the watermark.
 

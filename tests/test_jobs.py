@@ -31,6 +31,7 @@ def test_profile(spark):
     df = spark.createDataFrame([(1, "a", None), (3, "a", None), (None, None, None)], "n int, s string, d date")
     got = {(r.column, r.metric): r.value for r in J.profile(df).collect()}
     assert got["n", "nulls"] == "1" and got["n", "max"] == "3.0" and got["s", "count of a"] == "2" and got["s", "count of null"] == "1" and got["d", "min"] is None
+    assert got["n", "ndv"] == "2" and got["s", "ndv"] == "1" and got["s", "sample 1"] == "a"
     assert J.profile(df.limit(0)).where("metric = 'total' and value = '0'").count() == 3
 
 
@@ -68,8 +69,8 @@ def test_bike_trips_and_report(spark):
     assert {r.rider: r.minutes for r in out["minutes"].collect()} == {"member": 10.0, "casual": 10.0}
     assert {(r.station, r.starting_station_top3) for r in out["trips"].collect()} == {("A", "yes"), ("B", "yes"), ("C", "yes"), ("D", "no"), (None, "no")}
     runs = spark.createDataFrame([("c", 1, 8.0), ("c", 1, 12.0), ("c", 2, 5.0)], "c string, w int, t double")
-    got = {r.w: (r.speedup, r.efficiency, round(r.ci, 3)) for r in J.run_report(runs, "c", "w", "t", 1).collect()}
-    assert got == {1: (1.0, 1.0, 3.92), 2: (2.0, 1.0, 0.0)}
+    got = {r.w: (r.speedup, r.efficiency, r.ci and round(r.ci, 3), r.throughput) for r in J.run_report(runs, "c", "w", "t", 1, F.lit(20.0)).collect()}
+    assert got == {1: (1.0, 1.0, 25.412, 2.0), 2: (2.0, 1.0, None, 4.0)}  # t of one degree of freedom is 12.706
 
 
 def test_taxi_stream(spark, tmp_path):
