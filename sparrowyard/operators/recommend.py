@@ -42,11 +42,20 @@ def by_genre(ratings: DataFrame, genres: DataFrame, n: int = 10, liked: float =
     return _top(found.select("user", "item", "score", "genres"), n, F.desc("score"))
 
 
-def collaborative(ratings: DataFrame, users: DataFrame, n: int = 10, liked: float = 4.0) -> DataFrame:
-    """Items that users with shared likes like and the user has not rated: similar users, then mean rating over paths."""
-    likes = ratings.where(F.col("rating") >= liked)
-    mine = likes.join(users.select("user"), "user").select("user", "item")
-    paths = mine.join(likes.select(F.col("user").alias("other"), "item"), "item").where("user <> other").groupBy("user", "other").agg(F.count("*").alias("shared"))
+def collaborative(ratings: DataFrame, users: DataFrame, n: int = 10, liked: float = 4.0, block: int = 2000) -> DataFrame:
+    """Items that users with shared likes like and the user has not rated: similar users, then mean rating over paths.
+
+    The score counts every other user who shares a like, so a popular item does bring all its users together.
+    Its users are cut into blocks of about ``block``, and pairs of blocks meet in tasks of their own, with counts
+    added up before the shuffle; so no task holds more than the pairs of two blocks of an item.
+    """
+    likes = ratings.where(F.col("rating") >= liked).select("user", "item", "rating")
+    degree = likes.groupBy("item").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = likes.join(degree, "item").withColumn("own", F.pmod(F.xxhash64("user"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    mine = dealt.join(users.select("user"), "user", "left_semi").select("user", "item", F.col("own").alias("a"), every.alias("b"))
+    others = dealt.select(F.col("user").alias("other"), "item", every.alias("a"), F.col("own").alias("b"))
+    paths = mine.join(others, ["item", "a", "b"]).where("user <> other").groupBy("user", "other").agg(F.count("*").alias("shared"))
     found = unseen(paths.join(likes.select(F.col("user").alias("other"), "item", "rating"), "other"), ratings.select("user", "item"), ["user", "item"])
     scored = found.groupBy("user", "item").agg(F.count("*").alias("similar_users"), (F.sum(F.col("rating") * F.col("shared")) / F.sum("shared")).alias("mean_rating"))
     return _top(scored, n, F.desc("similar_users"), F.desc(F.round("mean_rating", 6)))

@@ -164,3 +164,25 @@ def test_shared_folder_and_days(spark):
     assert sorted((str(r.start)[:10], r.n) for r in jobs.daily_peaks(trips, "t").collect()) == [("2024-01-01", 2), ("2024-01-02", 1)]
     zones = spark.createDataFrame([(1, "A")], "zone long, name string")
     assert sorted((r.zone, r["mean"], r.n, r.name) for r in jobs.avg_by_zone(trips, "t", "zone", "s", zones).collect()) == [(1, 2.0, 2, "A"), (2, 0.17, 1, None)]
+
+
+@pytest.mark.parametrize("block", [3, 2000])
+def test_collaborative_matches_plain_loop(spark, block):
+    from sparrowyard.operators import recommend
+
+    rng = random.Random(8)
+    rated = {(rng.randrange(12), rng.randrange(9)): float(rng.randint(2, 5)) for _ in range(60)}
+    rated |= {(u, 0): 5.0 for u in range(12)}  # an item that all like
+    df = spark.createDataFrame([(u, i, r) for (u, i), r in rated.items()], "user long, item long, rating double")
+    likes = {k: r for k, r in rated.items() if r >= 4}
+    want = []
+    for u in range(12):
+        shared = {o: n for o in range(12) if o != u and (n := sum((o, i) in likes for i in range(9) if (u, i) in likes))}
+        scored = []
+        for i in range(9):
+            by = [o for o in shared if (o, i) in likes]
+            if by and (u, i) not in rated:
+                scored.append((-len(by), -round(sum(likes[o, i] * shared[o] for o in by) / sum(shared[o] for o in by), 6), i))
+        want += [(u, i, -n, -m, k) for k, (n, m, i) in enumerate(sorted(scored)[:3], 1)]
+    got = recommend.collaborative(df, df.select("user").distinct(), 3, block=block).collect()
+    assert sorted((r.user, r.item, r.similar_users, round(r.mean_rating, 6), r["rank"]) for r in got) == want
