@@ -6,6 +6,7 @@ Each applies its operator to the whole of its table and derives digest columns f
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,10 +51,20 @@ def op3_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _table(spark, sf_dir, "conversations")
-    model = transcripts.fit(turns)
-    marked = turns.withColumn("text", F.concat(F.coalesce(F.concat("role", F.lit(": ")), F.lit("")), F.coalesce("text", F.lit(""))))
-    found = transcripts.rendered(transcripts.roles_of(transcripts.lines_of(marked), model))
+    """Roles of all conversations, each half read by a model that was fitted on the other half.
+
+    One row in four keeps a marker of its speaker, under one of the names that transcripts use; the others show none.
+    """
+    turns = _table(spark, sf_dir, "conversations").withColumn("half", F.pmod(F.xxhash64("conv_id"), F.lit(2)))
+    draw = F.pmod(F.xxhash64("conv_id", "turn", F.lit("marker")), F.lit(8))
+    names = F.create_map(*[x for r, n in transcripts.NAMES.items() for x in (F.lit(r), F.array(F.lit(n[0].capitalize()), F.lit(n[1].upper())))])
+    marker = F.when(draw < 2, F.concat(F.element_at(names, F.col("role"))[draw.cast("int")], F.lit(": ")))
+    found = None
+    for half in (0, 1):
+        model = transcripts.fit(turns.where(F.col("half") != half))
+        shown = turns.where(F.col("half") == half).withColumn("text", F.concat(F.coalesce(marker, F.lit("")), F.coalesce("text", F.lit(""))))
+        read = transcripts.rendered(transcripts.roles_of(transcripts.lines_of(shown), model))
+        found = read if found is None else found.unionByName(read)
     return found.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "part", "role", "n_lines", "continues", "rendered")
 
 
@@ -101,23 +112,27 @@ QUERIES = {f.__name__: f for f in (
 
 def _quality_sql() -> str:
     words = lambda t: f"list_filter(string_split_regex({t}, '{SPACE}'), lambda x: x <> '')"
-    q = lambda names: ", ".join(f"'{n}'" for n in names)
+    q = lambda names: ", ".join("'" + n.replace("'", "''") + "'" for n in names)
     part = r"[^|»>\s]+(?:\s[^|»>\s]+){0,2}"
+    run = " OR ".join("(" + " AND ".join(f"coalesce(lead(label, {a + k}) OVER (PARTITION BY doc_id ORDER BY i), false)" for k in range(quality.MENU_LINES)) + ")" for a in range(1 - quality.MENU_LINES, 1))
+    run = re.sub(r"lead\(label, (-?)(\d+)\)", lambda m: f"{'lag' if m[1] else 'lead'}(label, {m[2]})", run)
     return rf"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
     w AS (SELECT doc_id, t, {words("t")} AS w FROM d),
     pos AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3),
     tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM pos),
     rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM tri WHERE n > 1) GROUP BY 1),
-    l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
-    f AS (SELECT doc_id, line, len({words("line")}) AS n, lower(trim(line)) AS low, length(line) - length(translate(line, '{quality.SYMBOLS}!', '')) AS marks FROM l),
-    judged AS (SELECT doc_id, line, n, n > 0 AND (
-        (n >= 10 AND marks * 2 >= n)
+    l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+    f AS (SELECT doc_id, i, line, len({words("line")}) AS n, lower(trim(line)) AS low, length(line) - length(translate(line, '{quality.SYMBOLS}!', '')) AS marks FROM l),
+    g AS (SELECT *, n BETWEEN 1 AND 3 AND length(translate(line, '{quality._LABEL_MARKS}', '')) = length(line) AS label FROM f),
+    m AS (SELECT *, label AND ({run}) AS in_menu FROM g),
+    judged AS (SELECT doc_id, line, n, n > 0 AND (in_menu
+        OR (n >= 10 AND marks * 2 >= n)
         OR (length(trim(line)) >= 3 AND NOT regexp_matches(line, '[\p{{L}}\p{{N}}]'))
         OR (n >= 40 AND NOT regexp_matches(line, '[\p{{P}}]'))
-        OR low IN ({q(quality.NAVIGATION)})
+        OR (n <= 3 AND low IN ({q(quality.NAVIGATION)}))
         OR (n <= 40 AND regexp_matches(low, '^{part}(?:\s?[|»>]\s?{part}){{2,}}$'))
-        OR (n <= 25 AND regexp_matches(low, '{"|".join(quality.BOILERPLATE)}'))) AS bad FROM f),
+        OR (n <= 25 AND regexp_matches(low, '{quality.FURNITURE.replace("'", "''")}'))) AS bad FROM m),
     lost AS (SELECT doc_id, coalesce(sum(length(line)) FILTER (WHERE bad), 0) AS lost, sum(length(line)) AS chars,
         count(*) FILTER (WHERE n > 0) - count(DISTINCT line) FILTER (WHERE n > 0) AS n_dup_lines FROM judged GROUP BY 1),
     r AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
