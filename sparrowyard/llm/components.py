@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from sparrowyard.llm.common import written
 
 
+class NotConverged(RuntimeError):
+    """The stars still changed in the last round, so links would be missing."""
+
+
 def _to_least(pairs: DataFrame, larger_only: bool) -> DataFrame:
     """Each node ``u`` of ``pairs`` (u, v) hands its least neighbour, or itself, to its neighbours.
 
@@ -37,5 +41,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
+    else:
+        raise NotConverged(f"components still change after {rounds} rounds")
     # every node now points straight at its root
     return links.select("u", F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct())

@@ -87,9 +87,9 @@ def _lengths(k: str) -> Column:
     return F.transform(f"m_{k}", lambda x, i: F.length(F.get(f"g_{k}", i)) + F.length(x))
 
 
-def _block_sums(k: str) -> Column:
-    """Sums of 64 lengths each, so that the place of each of many matches takes few additions."""
-    return F.transform(F.sequence(F.lit(0), F.floor(F.size(f"l_{k}") / 64).cast("int")), lambda b: _total(F.slice(f"l_{k}", b * 64 + 1, F.lit(64))))
+def _sums_of_64(a: str) -> Column:
+    """Sums of 64 numbers each, so that the place of each of many matches takes few additions; over two levels, 64 each and one in 4,096."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / 64).cast("int")), lambda b: _total(F.slice(a, b * 64 + 1, F.lit(64))))
 
 
 def _spans(k: str) -> Column:
@@ -97,8 +97,8 @@ def _spans(k: str) -> Column:
     gap = lambda i: F.get(f"g_{k}", i)
 
     def span(x: Column, i: Column) -> Column:
-        full = F.floor(i / 64).cast("int")
-        s = _total(F.slice(f"b_{k}", F.lit(1), full)) + _total(F.slice(f"l_{k}", full * 64 + 1, i % 64)) + F.length(gap(i))
+        full, far = F.floor(i / 64).cast("int"), F.floor(i / 4096).cast("int")
+        s = _total(F.slice(f"c_{k}", F.lit(1), far)) + _total(F.slice(f"b_{k}", far * 64 + 1, full % 64)) + _total(F.slice(f"l_{k}", full * 64 + 1, i % 64)) + F.length(gap(i))
         return F.struct(
             s.alias("s"), (s + F.length(x)).alias("e"), x.alias("m"),
             F.substring(gap(i), -CONTEXT, CONTEXT).alias("pre"), F.substring(gap(i + 1), 1, 12).alias("post"),
@@ -170,7 +170,8 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.select("row", *[find(p, wanted[k]).alias(f"m_{k}") for k, p in patterns.items()])
     df = df.select("*", *[F.when(F.size(f"m_{k}") > 0, F.split(t, p, -1)).otherwise(none).alias(f"g_{k}") for k, p in patterns.items()])
     df = df.select("*", *[_lengths(k).alias(f"l_{k}") for k in patterns])
-    df = df.select("*", *[_block_sums(k).alias(f"b_{k}") for k in patterns])
+    df = df.select("*", *[_sums_of_64(f"l_{k}").alias(f"b_{k}") for k in patterns])
+    df = df.select("*", *[_sums_of_64(f"b_{k}").alias(f"c_{k}") for k in patterns])
     df = df.select("row", *[_spans(k).alias(k) for k in patterns])
     named = lambda x, kind: F.struct(kind.alias("kind"), *[x[c] for c in ("s", "e", "m", "pre", "post")])
     valid = lambda k: F.transform(F.filter(k, lambda x: _valid(k, x["m"])), lambda x: named(x, F.lit(k)))

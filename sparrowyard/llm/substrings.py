@@ -17,8 +17,8 @@ tree over all suffixes of a corpus does not fit anywhere, so:
 
 Paths are compared by two 64-bit hashes (of the anchor and of the whole window). Texts are taken whole.
 Defined results: null and empty texts have no words; texts under W words keep all; a document with a null
-id is no earlier document and loses nothing; rows that repeat an id do not remove each other's words; an
-empty table stays empty.
+id is no earlier document and loses nothing; rows that repeat an id do not remove each other's words; ids are
+of an integer type, others raise TypeError; other columns are kept in ``row``; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparrowyard.llm.common import written
+from sparrowyard.llm.common import integer_id, written
 
 _B = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
@@ -203,6 +203,7 @@ def _subtrees(suffixes: DataFrame, window: int, batch_rows: int = 40_000) -> Dat
 
 def _dealt(docs: DataFrame, id: str, text: str, window: int, k: int, group_limit: int) -> DataFrame:
     """The suffixes whose anchors several documents have, by the key that deals them out."""
+    integer_id(docs, id)
     rows = docs.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("k"), F.col(text).alias("t"))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
