@@ -6,12 +6,14 @@ looks like code or a list, and whether it is the first of its row. Start, transi
 lines, aggregated in Spark into a table of states x symbols; markers are masked in a share of the counts, so
 that missing markers are no surprise.
 
-Viterbi is exact for conversations of any length: lines come in blocks of ``block`` turns; a block's effect
-is a states x states table of best scores, the tables of a conversation are chained in order, and each block
-is then decoded between the states that the chain chose. Only a block's lines are ever held together.
-
-Defined results: null texts are one empty line; a null role is no marker; lines of turns with equal numbers
-keep the order of their texts; a null conversation id is a conversation of its own; empty tables stay empty.
+Viterbi is exact for conversations of any length: lines are range-partitioned in order of conversation, turn and
+line, and a conversation's lines in one range are a block, so neither a long turn nor a third of all rows in one
+conversation (or none) is one task's. A block's effect is a states x states table of best scores, the tables of a
+conversation are chained in order, and each block is then decoded between the states that the chain chose.
+
+Defined results: null texts are one empty line; a null role is no marker; null turns come first; rows of turns
+with equal numbers keep the order of their texts, repeated rows follow each other; a null conversation id is a
+conversation of its own; other columns are ignored; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparrowyard.llm.common import written
+
 ROLES = ("user", "assistant", "system", "tool")
 #: Speaker names as transcripts write them.
 NAMES = {
@@ -44,13 +48,14 @@ def marker_class(name: Column) -> Column:
     return F.coalesce(out, F.lit(0))
 
 
-def lines_of(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", block: int = 256) -> DataFrame:
-    """Lines of transcript rows: ``conv, block, turn, line, text`` (marker cut off) and ``symbol``."""
-    rows = turns.select(F.col(conv).cast("string").alias("conv"), F.coalesce(F.col(turn).cast("long"), F.lit(0)).alias("turn"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = rows.select("conv", F.floor(F.col("turn") / block).alias("block"), "turn", F.xxhash64("t").alias("tie"), F.posexplode(F.split("t", "\n")).alias("line", "raw"))
+def lines_of(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text", keep: str | None = None) -> DataFrame:
+    """Lines of transcript rows: ``conv, turn, tie, line, text`` (marker cut off) and ``symbol``, with column ``keep`` of the row."""
+    kept = [F.col(keep)] if keep else []
+    rows = turns.select(F.col(conv).cast("string").alias("conv"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(text), F.lit("")).alias("t"), *kept)
+    rows = rows.select("conv", "turn", F.xxhash64("t").alias("tie"), *kept, F.posexplode(F.split("t", "\n")).alias("line", "raw"))
     mark = marker_class(F.regexp_extract("raw", MARKER, 1))
     body = F.when(mark > 0, F.regexp_replace("raw", MARKER, "")).otherwise(F.col("raw"))
-    rows = rows.select("conv", "block", "turn", "tie", "line", mark.alias("mark"), body.alias("text"))
+    rows = rows.select("conv", "turn", "tie", "line", *kept, mark.alias("mark"), body.alias("text"))
     size = F.length("text")
     length = F.when(size == 0, 0).when(size < 40, 1).when(size < 160, 2).otherwise(3)
     code = F.col("text").rlike(r"^(?:\s{4}|\t|```|[-*] |[0-9]+[.)] )").cast("int")
@@ -74,7 +79,7 @@ def fit(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
     rank = marker_class(F.col(role))
     known = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), rank.alias("k"), F.col(text).alias("text")).where("k > 0")
     marked = known.withColumn("text", F.concat(F.element_at(F.array(*map(F.lit, ROLES)), F.col("k")), F.lit(": "), F.coalesce("text", F.lit(""))))
-    lines = lines_of(marked).join(known.select(F.col("conv_id").cast("string").alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), "k").distinct(), ["conv", "turn"])
+    lines = lines_of(marked, keep="k")
     state = (F.col("k") - 1) * 2 + F.when(F.col("line") > 0, 1).otherwise(0)
     seen = lines.groupBy(state.alias("state"), "symbol").count().collect()  # at most states x symbols rows
     n = 2 * len(ROLES)
@@ -87,8 +92,11 @@ def fit(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
     # a row may hold several turns, so its first line is evidence of a new turn, not proof
     shape, place = shape / shape.sum(1, keepdims=True), np.clip(place / place.sum(1, keepdims=True), 0.05, 0.95)
     emit = (shape[:, :, None] * place[:, None, :]).reshape(n, -1)
-    follows = known.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("k").alias("before"))
-    pairs = known.join(follows, ["conv_id", "turn"]).groupBy("before", "k").count().collect()  # roles x roles
+    # rows of a turn are counted first, so repeated rows are no pairs of rows
+    counted = known.groupBy("conv_id", "turn", "k").agg(F.count("*").alias("n"))
+    follows = counted.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("k").alias("before"), F.col("n").alias("m"))
+    both = counted.join(follows, ["conv_id", "turn"]).groupBy("before", "k").agg(F.sum(F.col("n").cast("double") * F.col("m")))
+    pairs = both.collect()  # roles x roles
     first = known.groupBy("conv_id").agg(F.min_by("k", "turn").alias("k")).groupBy("k").count().collect()
     inside = sum(c for s, _, c in seen if s % 2) / max(1, sum(c for _, _, c in seen))
     stay = min(0.98, max(0.02, inside))
@@ -137,8 +145,32 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]
         yield pa.concat_tables(held)
 
 
-def roles_of(lines: DataFrame, model: RoleModel) -> DataFrame:
-    """``lines`` as turns: ``conv_id, turn, part, role, n_lines, continues, text``; a row of the input may hold several."""
+def best_path(model: RoleModel, symbols: np.ndarray) -> list[int]:
+    """States of one sequence held whole."""
+    score, back = _forward(model, symbols[1:], (model.start + model.emit[:, symbols[0]])[None])
+    path = [int(score[0].argmax())]
+    for b in back[::-1]:
+        path.append(int(b[0, path[-1]]))
+    return path[::-1]
+
+
+def blocks_of(lines: DataFrame, rows: int = 20_000) -> DataFrame:
+    """The lines with ``block``, which ascends along a conversation's order; a block has about this many lines at most."""
+    n = max(1, -(-lines.count() // rows))
+    ranged = lines.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in ORDER]).withColumn("block", F.spark_partition_id().cast("long"))
+    return written(ranged, "lines")
+
+
+#: The order of lines.
+ORDER = ("conv", "turn", "tie", "line")
+
+
+def roles_of(lines: DataFrame, model: RoleModel, block_rows: int = 20_000) -> DataFrame:
+    """``lines`` as turns: ``conv_id, turn, part, role, n_lines, continues, text``; a row of the input may hold several.
+
+    ``part`` is the line of the row at which the turn begins; ``continues``: its role began in lines before it.
+    """
+    lines = blocks_of(lines, block_rows)
     n = model.states
     whole = np.where(np.eye(n, dtype=bool), 0.0, -1e18)
 
@@ -170,13 +202,11 @@ def roles_of(lines: DataFrame, model: RoleModel) -> DataFrame:
             for b in back[:0:-1]:
                 path.append(int(b[0, path[-1]]))
             path = path[::-1]
-            turns, texts = g.column("turn").to_pylist(), g.column("text").to_pylist()
-            rows, part = [], 0
+            turns, at, texts = (g.column(c).to_pylist() for c in ("turn", "line", "text"))
+            rows = []
             for i, s in enumerate(path):
-                new_row = i == 0 or turns[i] != turns[i - 1]
-                if new_row or s % 2 == 0:
-                    part = 0 if new_row else part + 1
-                    rows.append([turns[i], part, ROLES[s // 2], s % 2 == 1, []])
+                if i == 0 or at[i] == 0 or s % 2 == 0:
+                    rows.append([turns[i], at[i], ROLES[s // 2], s % 2 == 1, []])
                 rows[-1][4].append(texts[i])
             conv = g.column("conv")[0].as_py()
             yield pa.RecordBatch.from_arrays(
@@ -187,13 +217,13 @@ def roles_of(lines: DataFrame, model: RoleModel) -> DataFrame:
                 ["conv_id", "turn", "part", "role", "n_lines", "continues", "text"],
             )
 
-    order = ["conv", "block", "turn", "tie", "line"]
+    order = ["conv", "block", *ORDER[1:]]
     symbols = lines.select(*order, "symbol").repartition("conv", "block").sortWithinPartitions(*order).select("conv", "block", "symbol")
     tables = symbols.mapInArrow(effects, "conv string, block long, effect array<double>")
     ends = tables.repartition("conv").sortWithinPartitions("conv", "block").mapInArrow(chained, "conv string, block long, into int, out int")
     ends = ends.select(F.col("conv").alias("c"), F.col("block").alias("b"), "into", "out")
     joined = lines.join(ends, F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).select(*order, "symbol", "text", "into", "out")
-    dealt = joined.repartition("conv", "block").sortWithinPartitions(*order).select("conv", "block", "turn", "symbol", "text", "into", "out")
+    dealt = joined.repartition("conv", "block").sortWithinPartitions(*order).select("conv", "block", "turn", "line", "symbol", "text", "into", "out")
     return dealt.mapInArrow(decoded, "conv_id string, turn long, part int, role string, n_lines long, continues boolean, text string")
 
 
