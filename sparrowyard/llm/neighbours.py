@@ -3,18 +3,21 @@
 * Fit: a bounded sample (``sample_rows`` rows with the smallest hash of their id, 20,000 by default) is split
   by k-means into ``branches`` parts, and each part again, until a part has ``leaf_rows`` sample rows or fewer.
 * Index: every row descends to its leaf. The tree (at most two nodes per sample row) is shipped with the tasks.
-* Search: each query walks the tree with a priority queue, the node with the largest inner product with its
-  centre first, and so lists leaves from best to worst. It visits as many as calibration asks for, and more
-  until they hold enough rows.
+* Search: each query walks the tree with a priority queue and so lists leaves from best to worst. A leaf's
+  priority is the query's inner product with its centre, plus twice the leaf's spread along one direction; a node's
+  is that of the best leaf below it. A query visits as many leaves as calibration asks for, and more until they
+  hold enough rows.
 * Calibration: ``probes`` queries (bounded) are compared with ALL rows by brute force in blocks; the number of
   visits is widened until their mean recall reaches ``recall``.
 
-Rows and queries of a leaf meet in chunks of bounded size (leaf, row chunk, query chunk), so a leaf with a
-third of all rows is many tasks, and each chunk hands on its best k per query only. Scores are sums over the
-components in order, in double precision, so equal vectors tie exactly.
+Rows and queries of a leaf meet in chunks of bounded size (leaf, row chunk, query block), so a leaf with a
+third of all rows is many tasks, and each chunk hands on its best k per query only. Blocks are made of queries whose
+best leaves are neighbours in the tree, and a row goes only to the blocks that visit its leaf. Scores are sums over
+the components in order, in double precision, so equal vectors tie exactly.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part; repeated
-rows are candidates of their own but never of a query with their id; empty tables give empty results.
+rows are candidates of their own but never of a query with their id; a query id that is repeated is asked once,
+with the vector that is smallest in order; other columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ class Tree:
 
     centres: np.ndarray
     kids: list[list[int]]
+    spread: np.ndarray
 
     def leaves_of(self, x: np.ndarray) -> np.ndarray:
         """Leaf of each row: the nearest child at every level."""
@@ -57,14 +61,26 @@ class Tree:
 
     def best_first(self, q: np.ndarray) -> Iterator[int]:
         """Leaves by best-bin-first traversal."""
+        worth = self.centres @ q + 2 * self.spread * np.sqrt(q @ q)
+        for node in range(len(self.kids) - 1, -1, -1):  # children come after their parents
+            if self.kids[node]:
+                worth[node] = max(worth[k] for k in self.kids[node])
         queue = [(0.0, 0)]
-        dots = self.centres @ q
         while queue:
             _, node = heapq.heappop(queue)
             if not self.kids[node]:
                 yield node
             for kid in self.kids[node]:
-                heapq.heappush(queue, (-float(dots[kid]), kid))
+                heapq.heappush(queue, (-float(worth[kid]), kid))
+
+    def in_order(self) -> list[int]:
+        """Leaves in depth-first order, so that neighbours in the list are neighbours in the tree."""
+        out, todo = [], [0]
+        while todo:
+            node = todo.pop()
+            out += [] if self.kids[node] else [node]
+            todo += self.kids[node][::-1]
+        return out
 
 
 def _k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -78,6 +94,8 @@ def _k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12)
 
 def grow_tree(x: np.ndarray, branches: int, leaf_rows: int, seed: int = 7) -> Tree:
     rng, centres, kids, todo = np.random.default_rng(seed), [x.mean(0) if len(x) else np.zeros(x.shape[1])], [[]], [(0, np.arange(len(x)))]
+    wide = lambda rows, c: float(np.sqrt(((x[rows] - c) ** 2).mean())) if len(rows) else 0.0
+    spread = [wide(np.arange(len(x)), centres[0])]
     while todo:
         node, rows = todo.pop()
         if len(rows) <= leaf_rows:
@@ -90,8 +108,9 @@ def grow_tree(x: np.ndarray, branches: int, leaf_rows: int, seed: int = 7) -> Tr
             kids[node].append(len(centres))
             todo.append((len(centres), g))
             centres.append(x[g].mean(0))
+            spread.append(wide(g, centres[-1]))
             kids.append([])
-    return Tree(np.array(centres), kids)
+    return Tree(np.array(centres), kids, np.array(spread))
 
 
 def _matrix(column) -> np.ndarray:
@@ -157,12 +176,15 @@ def _calibrated(rows: DataFrame, queries: DataFrame, tree: Tree, k: int, probes:
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, id: str = "vec_id", vector: str = "embedding", k: int = 20, recall: float = 0.95,
-    sample_rows: int = 20_000, branches: int = 8, leaf_rows: int = 400, probes: int = 200, chunk: int = 4_000,
+    vectors: DataFrame, queries: DataFrame, id: str = "vec_id", vector: str = "embedding", k: int = 20, recall: float = 0.93,
+    sample_rows: int = 20_000, branches: int = 8, leaf_rows: int = 120, probes: int = 200, chunk: int = 4_000, block: int = 20_000, report: dict | None = None,
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the k rows with the largest inner product found for each query, but for its own id."""
+    """``query_id, rank, vec_id, score``: the k rows with the largest inner product found for each query, but for its own id.
+
+    ``report`` receives the number of leaves, the visits and the mean share of all rows that a query's leaves hold.
+    """
     spark = vectors.sparkSession
-    rows, asked = usable(vectors, id, vector), usable(queries, id, vector)
+    rows, asked = usable(vectors, id, vector), usable(queries, id, vector).groupBy("id").agg(F.min("v").alias("v"))
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas()
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -182,19 +204,23 @@ def search(
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                at, leaf, piece, first = [], [], [], []
+                at, home, leaf, piece, first = [], [], [], [], []
                 for i, q in enumerate(_matrix(part.column(1))):
                     seen = 0
                     for n, x in enumerate(tree.best_first(q)):
+                        if n == 0:
+                            best = x
                         if n >= visits and seen > k:
                             break
                         for c in range(parts.get(x, 0)):
                             at.append(i)
+                            home.append(best)
                             leaf.append(x)
                             piece.append(c)
                             first.append(seen <= 100 * k)
                         seen += held.get(x, 0)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), part.column(1).take(pa.array(at, pa.int64())), pa.array(leaf, pa.int64()), pa.array(piece, pa.int32()), pa.array(first, pa.bool_())], ["qid", "q", "leaf", "piece", "first"])
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(home, pa.int64()), pa.array(leaf, pa.int64()), pa.array(piece, pa.int32()), pa.array(first, pa.bool_())], ["qid", "q", "home", "leaf", "piece", "first"])
 
     def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -204,13 +230,26 @@ def search(
         good = s >= np.array([bound[i] for i in a.tolist()], float) if len(a) else np.zeros(0, bool)
         return pd.DataFrame({"q": a[good].astype("i8"), "id": b[good].astype("i8"), "score": s[good]})
 
-    # queries of a piece come in blocks of their own, so neither side of a group grows with the input
-    blocks = max(1, -(-asked.count() // 20_000))
-    block = F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")
-    wanted = asked.mapInArrow(visit, "qid long, q array<double>, leaf long, piece int, first boolean").withColumn("block", block)
+    walked = written(asked.mapInArrow(visit, "qid long, q array<double>, home long, leaf long, piece int, first boolean"), "visits")
+    if report is not None:
+        n_of = F.create_map(*[F.lit(int(z)) for pair in held.items() for z in pair])
+        seen = walked.where("piece = 0").groupBy("qid").agg(F.sum(n_of[F.col("leaf").cast("int")]).alias("n")).agg(F.avg("n")).first()[0]
+        report |= {"leaves": len(held), "visits": visits, "share": (seen or 0) / sum(held.values())}
+    # queries whose best leaves are neighbours make a block, so neither side of a group grows with the input
+    at_home = {r.home: r.n for r in walked.groupBy("home").agg(F.count_distinct("qid").alias("n")).collect()}  # a row per leaf at most
+    cuts, full, last = {}, 0, 0
+    for leaf in tree.in_order():
+        n = at_home.get(leaf, 0)
+        if n and full + n > block and full:
+            full, last = 0, last + 1
+        cuts[leaf] = (last, max(1, -(-n // block)))
+        full, last = (full + n, last) if n <= block else (0, last + cuts[leaf][1])
+    first_of, many = (F.create_map(*[F.lit(int(z)) for leaf, c in cuts.items() for z in (leaf, c[k])])[F.col("home").cast("int")] for k in (0, 1))
+    wanted = walked.withColumn("block", (first_of + F.pmod(F.xxhash64("qid"), many)).cast("int"))
     n_parts = F.create_map(*[F.lit(int(z)) for pair in parts.items() for z in pair])
     pieces = index.withColumn("piece", F.pmod(F.xxhash64("id"), n_parts[F.col("leaf").cast("int")]).cast("int"))
-    pieces = pieces.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    visited = wanted.groupBy("leaf", "piece", "block").count().select(F.col("leaf").alias("l"), F.col("piece").alias("p"), F.col("block").alias("b"))
+    pieces = pieces.join(visited, (F.col("leaf") == F.col("l")) & (F.col("piece") == F.col("p"))).select("id", "v", F.col("l").alias("leaf"), F.col("p").alias("piece"), F.col("b").alias("block"))
     keys, columns = ["leaf", "piece", "block"], ["qid", "q", "leaf", "piece", "block", "least"]
 
     def met(who: DataFrame) -> DataFrame:
