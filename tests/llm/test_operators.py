@@ -175,9 +175,31 @@ def test_quality_figures(docs, rows, empty):
 
 
 def test_lines_that_fail(spark):
-    cases = {"Home | About us | Contact": True, "All rights reserved.": True, "!!! ---": True, "A line of plain prose, with a stop.": False, "": False, "w$$$ " * 12: True, "menu": True}
-    df = spark.createDataFrame(list(cases.items()), "line string, bad boolean")
-    assert df.where(quality.line_fails(F.col("line")) != F.col("bad")).count() == 0
+    cases = {
+        "Home | About us | Contact": True, "All rights reserved.": True, "!!! ---": True, "A line of plain prose, with a stop.": False, "": False, "w$$$ " * 12: True, "menu": True,
+        "Tous droits réservés, 2024": True, "(Alle Rechte vorbehalten)": True, "Haz clic aquí para ver": True, "Accueil": True, "Über uns": True, "volver arriba": True,
+        "unterfolgen sie uns allen": False, "Il est à propos de lui.": False, "Inicio » Ropa » Zapatos": True,
+    }
+    df = spark.createDataFrame(list(cases.items()), "line string, bad boolean").withColumn("x", F.get(quality.sized(F.array("line")), F.lit(0))).withColumn("about", quality.facts(F.col("line")))
+    wrong = df.where(quality.line_fails(F.col("line"), F.col("x.n"), F.col("about")) != F.col("bad")).collect()
+    assert not wrong
+    prose = "Here is a sentence of plain prose which goes on for a while, and ends.\n" * 6
+    rows = [(1, prose + "Alpha\nBeta gamma\nDelta\nLast one\n" + "x"), (2, prose + "Alpha\nBeta gamma\n\nDelta\nLast one"), (3, prose + "Alpha.\nBeta, gamma\nDelta\nLast\none")]
+    out = {r.doc_id: r.t for r in quality.figures(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", F.col("q.cleaned").alias("t")).collect()}
+    assert out[1] == prose.rstrip("\n") and [out[i] == t for i, t in rows[1:]] == [True, True]
+
+
+def test_windows_of_equal_hash_are_told_apart_by_words(spark):
+    text = "a b c x a b c y q r s z q r s " * 2
+    w = F.split(F.trim("text"), " ")
+    df = spark.createDataFrame([(text,)], "text string").select(w.alias("w"))
+    by_words = df.select(quality._by_words(F.col("w")).alias("s")).first().s
+    t = [tuple(text.split()[i : i + 3]) for i in range(len(text.split()) - 2)]
+    assert by_words == [i for i, x in enumerate(t) if t.count(x) > 1]
+    # all hashes alike: the packed form must notice it
+    packed, same, words, _ = quality._packed_windows(F.col("w"), F.array_repeat(F.lit(5 << 30), len(t)))
+    clash = df.withColumn("s", packed).select(F.exists(F.transform("s", lambda x, k: same(x, F.get("s", k - 1)) & ~words(x, F.get("s", k - 1))), lambda x: x).alias("c")).first().c
+    assert clash
 
 
 def test_personal_data(docs, empty, spark):
@@ -262,11 +284,45 @@ def test_mix(docs, rows, empty):
     assert mixing.mixed_documents(docs).count() == sum(r.copies for r in got) and mixing.mix(empty).count() == 0
 
 
-def test_newton_with_unequal_base_rates(spark):
-    rows = spark.createDataFrame([("s", i, 10 * i, 0.2 + 0.1 * i) for i in range(1, 40)], "src string, id long, size long, base double")
-    goals = rows.groupBy("src").agg(F.sum("size").alias("source_size")).withColumn("target", F.col("source_size") * 2.5)
-    lam = mixing.balance(rows, goals).first().lam
-    assert sum(10 * i * min(3, (0.2 + 0.1 * i) * np.exp(lam)) for i in range(1, 40)) == pytest.approx(7800 * 2.5)
+def test_coupled_newton_meets_the_conditions_of_the_optimum(spark):
+    rng = random.Random(11)
+    sizes = [rng.randint(1, 4000) if rng.random() < 0.5 else rng.randint(1, 100) for _ in range(90)]
+    data = [("ab"[rng.random() < 0.3] if n > 300 else "abc"[rng.randrange(3)], i, n, 0.2 + rng.random()) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(data, "src string, id long, size long, base double").withColumn("cls", mixing.length_class(F.col("size")))
+    rows = [(r.src, r.id, r["size"], r.cls, r.base) for r in df.collect()]
+    assert {r[3] for r in rows} >= {0, 1, 2, 5, 6, 7} and all(r[3] == min(7, max(0, int(np.floor(np.log2(r[2] / 32))) + 1)) for r in rows)
+    size = {s: sum(r[2] for r in rows if r[0] == s) for s in "abc"}
+    goals = {"a": 1.3 * size["a"], "b": 0.4 * size["b"], "c": 2.2 * size["c"]}
+    table = spark.createDataFrame([(s, size[s], g) for s, g in goals.items()], "src string, source_size long, target double")
+    solved, mu = mixing.balance(df, table, 3.0, 0.05)
+    lam = {r.src: r.lam for r in solved.collect()}
+    # the problem is convex, so rates of the exponential form that meet all equations are the optimum, by a plain loop
+    rate = lambda s, k, base: min(3.0, base * np.exp(lam[s] + mu[k]))
+    words, total = sum(sizes), sum(goals.values())
+    for s in goals:
+        assert sum(n * rate(a, k, base) for a, _, n, k, base in rows if a == s) == pytest.approx(goals[s], rel=1e-7)
+    for c in range(mixing.CLASSES):
+        share = sum(n for _, _, n, k, _ in rows if k == c) / words
+        assert sum(n * rate(a, k, base) for a, _, n, k, base in rows if k == c) / words + 0.05 * mu[c] == pytest.approx(share * total / words, abs=1e-7)
+    assert max(map(abs, mu)) > 0.01  # the classes do count
+    made = mixing.rounded(df, solved, mu).collect()
+    for r in made:
+        assert r.rate == pytest.approx(rate(*next(x[:1] + x[3:] for x in rows if x[1] == r.id)), abs=1e-5)
+        assert abs(r.copies - r.rate) < 2 and 0 <= r.copies <= 3
+    for s in goals:
+        assert sum(r.copies * r["size"] for r in made if r.src == s) == pytest.approx(goals[s], abs=400)
+    with pytest.raises(mixing.NotSolved):
+        mixing.balance(df, table, 3.0, 0.05, rounds=1)
+
+
+def test_mixed_rows_with_equal_and_null_ids(spark):
+    rows = [(None, "a b c", "s")] * 50 + [(None, "x " * 40, "t")] * 30 + [(7, "a b c", "s"), (7, "d e f", "s"), (7, None, None), (8, "long " * 30, "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    copies = mixing.mix(df).collect()
+    out = mixing.mixed_documents(df).collect()
+    for i, s in {(r[0], r[2]) for r in rows}:
+        of = lambda r, i=i, s=s: r.doc_id == i and (r.src[1:] if r.src != "2" else None) == s
+        assert sum(r.copies for r in copies if of(r)) == sum(r.doc_id == i and r.source == s for r in out)
 
 
 def test_neighbours(spark):
@@ -275,7 +331,11 @@ def test_neighbours(spark):
     x[700:900] = x[700]
     data = [(i, v.tolist()) for i, v in enumerate(x)] + [(1500, None), (1501, [0.0] * 8), (1502, [float("nan")] * 8), (1503, [None, *[1.0] * 7])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
-    got = neighbours.search(df, df.where("vec_id % 20 = 0"), sample_rows=600, leaf_rows=32, chunk=100).toPandas()
+    about: dict = {}
+    asked = df.where("vec_id % 20 = 0")
+    asked = asked.union(asked)  # a repeated query is asked once
+    got = neighbours.search(df, asked, sample_rows=600, leaf_rows=32, chunk=100, block=10, report=about).toPandas()
+    assert 0 < about["share"] <= 1 and about["leaves"] > 8
     hit = 0
     for q, g in got.groupby("query_id"):
         s = neighbours.scores(x[[q]], x)[0]
@@ -287,21 +347,45 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_viterbi_is_the_best_of_all_paths():
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    norm = lambda x: np.log(x / x.sum(-1, keepdims=True))
+    model = transcripts.RoleModel(norm(rng.random(8)), norm(rng.random((8, 8)) ** 3), norm(rng.random((8, transcripts.N_SYMBOLS * 2)) ** 3))
+    for n in (1, 2, 4):
+        symbols = rng.integers(0, transcripts.N_SYMBOLS * 2, n)
+        score = lambda p, symbols=symbols: model.start[p[0]] + model.emit[p[0], symbols[0]] + sum(model.move[a, b] + model.emit[b, x] for a, b, x in zip(p, p[1:], symbols[1:], strict=False))
+        best = max(product(range(8), repeat=n), key=score)
+        assert score(transcripts.best_path(model, symbols)) == pytest.approx(score(best), abs=1e-9)
+
+
 def test_transcripts(spark):
     rng = random.Random(2)
     turns = [(c, k, ("user", "assistant")[k % 2], "\n".join(prose(rng, 6) + ("?" if k % 2 == 0 else ".") for _ in range(rng.randint(1, 2)))) for c in range(60) for k in range(rng.randint(2, 8))]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     model = transcripts.fit(df.where("conv_id < 40"))
     held = [(c, k, r, (f"{'Human' if r == 'user' else 'Bot'}: " if rng.random() < 0.6 else "") + t) for c, k, r, t in turns if c >= 40]
-    for block in (1, 256):  # one row a block or all at once: the same path
-        lines = transcripts.lines_of(spark.createDataFrame(held, df.schema), block=block)
-        found = {(int(r.conv_id), r.turn): r.role for r in transcripts.roles_of(lines, model).where("part = 0").collect()}
-        right = sum(found[c, k] == r for c, k, r, _ in held)
-        assert len(found) == len(held) and right / len(held) > 0.9
-        same = found if block == 1 else (found == same or pytest.fail("blocks change the path"))
-    odd = spark.createDataFrame([(None, None, None, None), (1, 0, "system", "Be brief.\nUser: hi?\nAssistant: yo")], df.schema)
-    out = transcripts.rendered(transcripts.roles_of(transcripts.lines_of(odd), model)).collect()
+    lines = transcripts.lines_of(spark.createDataFrame(held, df.schema)).cache()
+    whole = {}  # each conversation held whole
+    for r in sorted(lines.collect(), key=lambda r: (r.conv, r.turn, r.tie, r.line)):
+        whole.setdefault(r.conv, []).append(r)
+    want = {}
+    for rows in whole.values():
+        for r, s in zip(rows, transcripts.best_path(model, np.array([r.symbol for r in rows])), strict=True):
+            want[int(r.conv), r.turn, r.line] = transcripts.ROLES[s // 2]
+    for block in (5, 20_000):  # blocks of a few lines or all at once: the same path
+        out = transcripts.roles_of(lines, model, block).collect()
+        assert {(int(r.conv_id), r.turn, r.part + i): r.role for r in out for i in range(r.n_lines)} == want
+    right = sum(want[c, k, 0] == r for c, k, r, _ in held)
+    assert right / len(held) > 0.9
+    odd = spark.createDataFrame([(None, None, None, None), (1, 0, "system", "Be brief.\nUser: hi?\nAssistant: yo"), (2, None, "user", "a"), (2, None, "user", "a"), (2, 1, "user", "long\n" * 3000)], df.schema)
+    out = transcripts.rendered(transcripts.roles_of(transcripts.lines_of(odd), model, 100)).collect()
     assert {r.role for r in out if r.conv_id == "1"} >= {"user", "assistant"} and any(r.conv_id is None for r in out)
+    assert sum(r.n_lines for r in out) == 1 + 3 + 2 + 3001 and sum(r.conv_id == "2" and r.turn is None for r in out) == 2
+    copies = df.where("conv_id < 3").crossJoin(spark.range(40)).drop("id")
+    assert np.isfinite(transcripts.fit(copies).move).all()
+    assert transcripts.roles_of(transcripts.lines_of(df.limit(0)), transcripts.fit(df.limit(0))).count() == 0
 
 
 def test_pipeline_on_a_small_folder(spark, docs, tmp_path):
