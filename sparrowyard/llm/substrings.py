@@ -125,7 +125,7 @@ def _runs(owner: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, n
 OUT = "key long, id long, k long, at int, n int, words binary, path long"
 
 
-def _suffixes(docs: DataFrame, window: int, k: int, batch_words: int = 300_000) -> DataFrame:
+def _suffixes(docs: DataFrame, window: int, k: int, batch_words: int = 200_000) -> DataFrame:
     """Suffixes by key: a run of n windows with its words, or one window of a frequent anchor with its second path hash.
 
     Rows with neither are ranges of n words that are known to repeat. ``starts`` has the windows to take; those of a
@@ -202,7 +202,7 @@ def _second(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words), 97)
 
 
-def _subtrees(suffixes: DataFrame, window: int, batch_rows: int = 20_000) -> DataFrame:
+def _subtrees(suffixes: DataFrame, window: int, batch_rows: int = 12_000) -> DataFrame:
     """Word ranges that repeat: ``id, k, start, end``. A batch is whole groups."""
     dealt = suffixes.repartition("key").sortWithinPartitions("key")
 
@@ -262,6 +262,10 @@ def _copies(docs: DataFrame, id: str, text: str) -> DataFrame:
     return written(named.join(first, ["k", "sha"]).where("id > first").select("id", "k").distinct(), "copies")
 
 
+#: Frequent anchors that are broadcast at most, 8 bytes each.
+BROADCAST_ROWS = 1_000_000
+
+
 def _dealt(docs: DataFrame, copies: DataFrame, id: str, text: str, window: int, k: int, group_limit: int) -> DataFrame:
     """The suffixes of first rows whose anchors several texts have, by the key that deals them out."""
     rows = docs.where(F.col(id).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("k"), F.col(text).alias("t"))
@@ -281,8 +285,10 @@ def _dealt(docs: DataFrame, copies: DataFrame, id: str, text: str, window: int,
     found = written(found, "anchors")
     counted = found.groupBy("anchor").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("c")).where("a < b")
     shared = written(counted.select("anchor", (F.col("c") > group_limit).alias("frequent")), "shared")
-    # at most one row in group_limit is a frequent anchor, so they fit anywhere; joined by key each would be one task's
-    frequent = F.broadcast(shared.where("frequent").select("anchor"))
+    frequent = shared.where("frequent").select("anchor")
+    # a frequent anchor joined by key would be one task's, so the few of them go to every task; too many are joined by key
+    if frequent.count() <= BROADCAST_ROWS:
+        frequent = F.broadcast(frequent)
     often = found.join(frequent, "anchor").withColumn("at", -1 - F.col("at"))
     seldom = found.join(frequent, "anchor", "left_anti").join(shared.where("not frequent").select("anchor"), "anchor")
     starts = seldom.unionByName(often).groupBy("id", "k").agg(F.collect_set("at").alias("starts")).join(copies, ["id", "k"], "left_anti")
@@ -290,7 +296,7 @@ def _dealt(docs: DataFrame, copies: DataFrame, id: str, text: str, window: int,
     return _suffixes(wanted, window, k)
 
 
-def repeated_ranges(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, k: int = 16, group_limit: int = 20_000) -> DataFrame:
+def repeated_ranges(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, k: int = 16, group_limit: int = 8_000) -> DataFrame:
     """Word ranges (``id, k, start, end``) covered by windows that also start in a document with a smaller id; ``k`` is the text's hash.
 
     The range of a copy of an earlier text is given as 0 to -1: all words, if they make a window.
