@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowyard.llm import mixing, neighbours, pii, quality, sentencepieces, sharding, simhash, substrings, token_files, transcripts
+from sparrowyard.llm import merkle, mixing, neighbours, pii, quality, sentencepieces, sharding, simhash, substrings, token_files, transcripts
 from sparrowyard.llm.common import SPACE, scratch_path
 
 #: Folder of the public tokenizers' files.
@@ -104,9 +104,15 @@ def op10_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.verified(_table(spark, sf_dir, "documents"), tampered, ["doc_id", "source", "lang", "n_chars", "text"], {"n_chars": F.col("n_chars") + 1})
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_duplicates, op2_sentencepiece, op3_weighted_hash_tree, op4_transcript_roles, op5_personal_data,
     op6_repeated_passages, op7_token_files, op8_line_first_quality, op9_nearest_neighbours, op10_entropy_balanced_mix,
+    op11_merkle_proofs,
 )}
 
 
