@@ -7,9 +7,10 @@ above), the siblings passed on the way there and the ancestor's digest. A **recu
 leaf, joins the row that its link names, appends that row's siblings and folds the (perhaps tampered) hash over
 them, until the root's row, which has no parent.
 
-Work and rows: a leaf takes part in one shuffle to build each ``SPAN`` levels, of which every next one is 64 times
-smaller, and in one join for each ``SPAN`` levels of the climb. Positions come from range partitions, so no group
-is one task, and the rows near the top, which many leaves meet, are stored once per salt.
+Work and rows: a leaf takes part in one shuffle to build the lowest ``SPAN`` levels (every next stored level is 512
+times smaller) and in one join for each ``SPAN`` levels of the climb. Positions come from range partitions, so no
+group is one task. The rows above the leaves' own are counted: up to ``BROADCAST`` they are sent to all tasks, beyond
+it they are joined by key, those that many leaves meet once per salt.
 
 Defined results: null fields are hashed as ``-``; null ids come first within their group; rows of one id are
 ordered by their leaves, and rows alike in every field are leaves of their own; a null group is a group,
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 from sparrowyard.llm.common import written
 
 #: Levels between a node row and the ancestor that it links to.
-SPAN = 6
+SPAN = 9
+#: Rows above the leaves' own that are broadcast at most; a row holds some 500 bytes.
+BROADCAST = 100_000
 #: Copies of rows from the second link on, so that leaves which climb to one node meet in several tasks.
 SALTS = 64
 #: Number of the tree above all groups.
@@ -97,14 +100,14 @@ def node_rows(nodes: DataFrame, level: int, above: bool) -> DataFrame:
     blocks = blocks.select("*", left, F.col("run.digest").alias("d0"))
     for k in range(SPAN):
         blocks = blocks.withColumn(f"d{k + 1}", F.when(F.col("left") > k, _above(F.col(f"d{k}"))).otherwise(F.col(f"d{k}")))
-    rows = blocks.select("*", F.posexplode("run").alias("i", "r"))
-    at = lambda k: F.shiftright("i", k)
-    step = lambda k: F.struct((at(k) % 2 == 1).alias("before"), F.get(F.col(f"d{k}"), at(k).bitwiseXOR(F.lit(1))).alias("digest"))
+    at = lambda i, k: F.shiftright(i, k)
+    step = lambda i, k: F.struct((at(i, k) % 2 == 1).alias("before"), F.get(F.col(f"d{k}"), at(i, k).bitwiseXOR(F.lit(1))).alias("digest"))
+    steps = lambda i: F.slice(F.array(*[step(i, k) for k in range(SPAN)]), F.lit(1), F.greatest(F.lit(0), F.least(F.lit(SPAN), F.col("left"))))
+    passed = F.transform("run", lambda r, i: F.struct(r["pos"].alias("pos"), r["digest"].alias("digest"), r["more"].alias("more"), steps(i).alias("siblings")))
+    rows = blocks.select("tree", "block", "n", "left", F.get(f"d{SPAN}", F.lit(0)).alias("up"), F.explode(passed).alias("r"))
     last = F.col("left") <= SPAN
     return rows.select(
-        "tree", F.lit(level).alias("level"), F.col("r.pos").alias("pos"), "n", F.col("r.digest").alias("digest"), F.col("r.more").alias("more"),
-        F.slice(F.array(*[step(k) for k in range(SPAN)]), F.lit(1), F.greatest(F.lit(0), F.least(F.lit(SPAN), F.col("left")))).alias("siblings"),
-        F.get(f"d{SPAN}", F.lit(0)).alias("up"),
+        "tree", F.lit(level).alias("level"), F.col("r.pos").alias("pos"), "n", F.col("r.digest").alias("digest"), F.col("r.more").alias("more"), F.col("r.siblings").alias("siblings"), "up",
         F.when(~last, F.col("tree")).otherwise(F.lit(None if above else ABOVE)).cast("long").alias("to_tree"),
         F.when(last, 0).otherwise(level + 1).alias("to_level"),
         F.when(~last, F.col("block")).otherwise(F.col("tree")).cast("long").alias("to_pos"),
@@ -139,12 +142,12 @@ def _any_rows(spark: SparkSession):
 
 def _folded(hash: str, siblings: str) -> str:
     """SQL: the hash folded over siblings, each on its own side."""
-    return f"aggregate({siblings}, {hash}, (h, s) -> sha2(CAST(concat(if(s.before, lower(hex(s.digest)), ''), h, if(NOT s.before AND s.digest IS NOT NULL, lower(hex(s.digest)), '')) AS BINARY), 256))"
+    return f"aggregate({siblings}, {hash}, (h, s) -> unhex(sha2(CAST(concat(if(s.before, lower(hex(s.digest)), ''), lower(hex(h)), if(NOT s.before AND s.digest IS NOT NULL, lower(hex(s.digest)), '')) AS BINARY), 256)))"
 
 
 def _passed(siblings: str) -> str:
-    """SQL: the digests among siblings; an odd last node has none."""
-    return f"filter(transform({siblings}, s -> s.digest), d -> d IS NOT NULL)"
+    """SQL: the digests among siblings, one after another; an odd last node has none."""
+    return f"aggregate({siblings}, CAST('' AS BINARY), (p, s) -> if(s.digest IS NULL, p, concat(p, s.digest)))"
 
 
 CLIMB = f"""
@@ -153,9 +156,9 @@ WITH RECURSIVE climb AS (
         {_folded("given", "siblings")} AS folded, {_passed("siblings")} AS proof, to_tree, to_level, to_pos
     FROM {{leaves}}
     UNION ALL
-    SELECT c.doc_id, c.leaf, c.salt, coalesce(c.subroot, CASE WHEN n.to_tree = {ABOVE} THEN n.up END) AS subroot, CASE WHEN n.to_tree IS NULL THEN n.up END AS root,
+    SELECT {{how}} c.doc_id, c.leaf, c.salt, coalesce(c.subroot, CASE WHEN n.to_tree = {ABOVE} THEN n.up END) AS subroot, CASE WHEN n.to_tree IS NULL THEN n.up END AS root,
         {_folded("c.folded", "n.siblings")} AS folded, concat(c.proof, {_passed("n.siblings")}) AS proof, n.to_tree, n.to_level, n.to_pos
-    FROM climb c JOIN {{nodes}} n ON c.to_tree = n.tree AND c.to_level = n.level AND c.to_pos = n.pos AND if(c.to_level = 1, 0, c.salt) = n.salt
+    FROM climb c JOIN {{nodes}} n ON c.to_tree = n.tree AND c.to_level = n.level AND c.to_pos = n.pos {{salted}}
 )
 SELECT doc_id, leaf, subroot, root, folded, proof FROM climb WHERE to_tree IS NULL
 """
@@ -189,15 +192,17 @@ def manifest(leaves: DataFrame, group: str = "lang", id: str = "doc_id") -> tupl
 def proofs(leaves: DataFrame, group: str = "lang", id: str = "doc_id") -> DataFrame:
     """Each leaf's way to the root: ``doc_id, leaf, subroot, root, folded`` (from the given leaf) and ``proof`` (siblings in order).
 
-    Digests but ``folded`` are binary; ``leaves`` as for ``manifest``.
+    Digests are binary, those of ``proof`` one after another; ``leaves`` as for ``manifest``.
     """
     spark = leaves.sparkSession
     low, nodes = manifest(leaves, group, id)
+    small = nodes.count() <= BROADCAST
     salts = F.when((F.col("tree") != ABOVE) & (F.col("level") == 1), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    start = low.select(F.col("more.doc_id").alias("doc_id"), F.col("digest").alias("leaf"), F.lower(F.hex("more.given")).alias("given"), (F.col("pos") % SALTS).cast("int").alias("salt"), "siblings", "up", "to_tree", "to_level", "to_pos")
-    stored = written(nodes.withColumn("salt", F.explode(salts)), "node-rows")
+    start = low.select(F.col("more.doc_id").alias("doc_id"), F.col("digest").alias("leaf"), F.col("more.given").alias("given"), (F.col("pos") % SALTS).cast("int").alias("salt"), "siblings", "up", "to_tree", "to_level", "to_pos")
+    stored = nodes if small else written(nodes.withColumn("salt", F.explode(salts)), "node-rows")
+    climb = CLIMB.replace("{how}", "/*+ BROADCAST(n) */" if small else "").replace("{salted}", "" if small else "AND if(c.to_level = 1, 0, c.salt) = n.salt")
     with _any_rows(spark):
-        return written(spark.sql(CLIMB, leaves=start, nodes=stored), "proofs")
+        return written(spark.sql(climb, leaves=start, nodes=stored), "proofs")
 
 
 def verified(docs: DataFrame, tampered: Column, fields: list[str], changed: dict[str, Column], group: str = "lang", id: str = "doc_id") -> DataFrame:
@@ -211,5 +216,5 @@ def verified(docs: DataFrame, tampered: Column, fields: list[str], changed: dict
     found = proofs(leaves)
     return found.select(
         "doc_id", _hex(F.col("leaf")).alias("leaf"), _hex(F.col("subroot")).alias("subroot"), _hex(F.col("root")).alias("root"),
-        sha(F.array_join(F.transform("proof", _hex), "")).alias("proof_sha256"), F.col("folded").alias("folded_root"), (F.col("folded") == _hex(F.col("root"))).alias("verified"),
+        sha(_hex(F.col("proof"))).alias("proof_sha256"), _hex(F.col("folded")).alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"),
     )
