@@ -30,6 +30,16 @@ def slices(batch: pa.RecordBatch, column: int, size: int = 8_000_000) -> Iterato
         at = upto
 
 
+def word_lists(texts: pa.Array) -> pa.ListArray:
+    """The words of each text; null texts have none."""
+    parts = pc.split_pattern_regex(pc.fill_null(texts, ""), r"[\x20\x09-\x0D]+")
+    flat = parts.flatten()
+    real = pc.not_equal(flat, "")
+    upto = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    cuts = upto[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat.filter(real))
+
+
 def _spread(starts: np.ndarray, lengths: np.ndarray, values: np.ndarray) -> np.ndarray:
     """The ranges of ``values`` one after another."""
     ends = np.cumsum(lengths)

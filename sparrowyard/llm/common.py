@@ -58,6 +58,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Remove a written table that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -11,8 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparrowyard.llm import merkle, mixing, neighbours, pii, quality, sentencepieces, sharding, simhash, substrings, token_files, transcripts
-from sparrowyard.llm.common import SPACE, scratch_path
+from sparrowyard.llm import context_mixing, merkle, mixing, neighbours, periodic, pii, quality, sentencepieces, sharding, simhash, substrings, token_files, transcripts
+from sparrowyard.llm.common import SPACE, scratch_path, words_of
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
@@ -109,10 +109,35 @@ def op11_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(_table(spark, sf_dir, "documents"), tampered, ["doc_id", "source", "lang", "n_chars", "text"], {"n_chars": F.col("n_chars") + 1})
 
 
+def op12_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = context_mixing.scores(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("row.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of all documents; the words of one in ten repeat from some word on."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = docs.withColumn("w", F.when((h % 10 == 0) & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)), words_of(F.col("text"))))
+    n, g = F.size("w"), F.floor(h / 10)
+    at = (g % n).cast("int")
+    docs = docs.withColumn("at", at).withColumn("period", (1 + F.floor((n - F.col("at")) / (3 + g % 8))).cast("int"))
+    docs = docs.withColumn("text", F.when(F.col("w").isNotNull(), periodic.looped(F.col("w"), F.col("at"), F.col("period"))).otherwise(F.col("text")))
+    found = periodic.periodic_runs(docs.select("doc_id", "text"), keep=["doc_id"])
+    best = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period")))), F.lit(0))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    return found.select("row.doc_id", F.size("runs").cast("long").alias("n_runs"), "runs", "collapsed", best.alias("best")).select(
+        "doc_id", "n_runs", F.col("best.start").alias("start"), (-F.col("best.l")).alias("length"), F.col("best.period").alias("period"),
+        F.floor(-1000 * F.col("best.l") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.concat_ws("", F.transform("runs", lambda r: F.concat(line(r), F.lit("\n")))).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_duplicates, op2_sentencepiece, op3_weighted_hash_tree, op4_transcript_roles, op5_personal_data,
     op6_repeated_passages, op7_token_files, op8_line_first_quality, op9_nearest_neighbours, op10_entropy_balanced_mix,
-    op11_merkle_proofs,
+    op11_merkle_proofs, op12_context_mixing, op13_periodic_runs,
 )}
 
 
