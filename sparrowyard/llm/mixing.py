@@ -34,6 +34,10 @@ from sparrowyard.llm.common import n_words_of, written
 CLASSES = 8
 
 
+#: Lambda of sources that take all that the cap allows.
+CAPPED = 60
+
+
 class NotSolved(RuntimeError):
     """Newton's iterations reached their limit before the constraints were met."""
 
@@ -95,18 +99,22 @@ def balance(rows: DataFrame, goals: DataFrame, cap: float = 3.0, softness: float
     """Dual variables: ``goals`` with column ``lam``, and the list mu of the classes.
 
     ``rows`` has ``src``, ``size``, ``cls`` and ``base`` (a positive base rate); ``softness`` is the penalty's
-    width in shares of all words (towards infinity the classes do not count). Steps are held to 2 in each variable.
+    width in shares of all words (towards infinity the classes do not count). Steps are held to 2 in each variable;
+    where caps make them leap to and fro, and the error does not halve in two rounds, they get shorter.
     """
     ks = range(CLASSES)
     known = rows.groupBy("cls").agg(F.sum("size").alias("n"))
     share = {r.cls: float(r.n) for r in known.collect()}  # a row per class
     words, mu = sum(share.values()), [0.0] * CLASSES
     start = F.when((F.col("target") > 0) & (F.col("source_size") > 0), F.log(F.col("target") / F.col("source_size"))).otherwise(0.0)
-    state = written(goals.withColumn("lam", F.least(start, F.lit(float(cap)))), "dual")
+    # a source whose target is all that the cap allows takes every document ``cap`` times; its rates are known and no unknowns
+    full = (F.col("target") > 0) & (F.col("target") >= F.col("source_size") * cap * (1 - 1e-12))
+    state = written(goals.withColumn("lam", F.when(full, float(CAPPED)).otherwise(F.least(start, F.lit(float(cap))))), "dual")
     if not words:
         return state, mu
     total = float(goals.agg(F.sum("target")).first()[0] or 0.0)
     wanted = [share.get(k, 0.0) / words * total / words for k in ks]
+    best, stale, pace = float("inf"), 0, 1.0
     for _ in range(rounds):
         rate = rate_of(F.col("lam"), F.col("cls"), mu, F.col("base"))
         cells = rows.join(state.select("src", "lam"), "src").groupBy("src", "cls").agg(
@@ -117,27 +125,38 @@ def balance(rows: DataFrame, goals: DataFrame, cap: float = 3.0, softness: float
         by_source = cells.groupBy("src").agg(*[of(c, k) for c in ("have", "slope") for k in ks])
         both = written(state.join(by_source, "src", "left").select(*state.columns, *[F.coalesce(f"{c}{k}", F.lit(0.0)).alias(f"{c}{k}") for c in ("have", "slope") for k in ks]), "newton")
         have, slope = sum(F.col(f"have{k}") for k in ks), sum(F.col(f"slope{k}") for k in ks)
+        known = (F.col("lam") >= CAPPED) | (F.col("target") <= 0)
         gap = F.col("target") / words - have
-        open_ = slope > 1e-15
+        open_ = (slope > 1e-15) & ~known
         inverse = F.when(open_, 1 / slope).otherwise(0.0)
         # what a source cannot reach at all rates capped or all sizes 0 is no miss
-        miss = F.when(F.col("target") > 0, F.when(open_ | (gap < 0), F.abs(gap) * words / F.col("target")).otherwise(0.0)).otherwise(0.0)
+        miss = F.when(~known & (open_ | (gap < 0)), F.abs(gap) * words / F.col("target")).otherwise(0.0)
+        # the step for the logarithm of the words: they are concave in lambda, so a source comes to its target from below
+        # and does not leap to where all its rates are capped
+        wants = F.when(open_, have * F.log(F.col("target") / words / have)).otherwise(0.0)
         pairs = [(a, b) for a in ks for b in ks if a <= b]
         one = both.agg(
             F.max(miss).alias("miss"),
-            *[F.sum(F.col(f"have{k}")).alias(f"h{k}") for k in ks], *[F.sum(F.col(f"slope{k}")).alias(f"s{k}") for k in ks], *[F.sum(F.col(f"slope{k}") * inverse * gap).alias(f"v{k}") for k in ks],
+            *[F.sum(F.col(f"have{k}")).alias(f"h{k}") for k in ks], *[F.sum(F.col(f"slope{k}")).alias(f"s{k}") for k in ks], *[F.sum(F.col(f"slope{k}") * inverse * wants).alias(f"v{k}") for k in ks],
             *[F.sum(F.col(f"slope{a}") * F.col(f"slope{b}") * inverse).alias(f"m{a}_{b}") for a, b in pairs],
         ).first()
         off = [wanted[k] - one[f"h{k}"] - softness * mu[k] for k in ks]
         if (one.miss or 0.0) <= near and max(map(abs, off)) <= near:
             return state, mu
+        error = max(one.miss or 0.0, *map(abs, off))
+        if error <= best / 2:
+            best, stale, pace = error, 0, 1.0
+        else:
+            stale += 1
+            pace = pace if stale < 2 else max(0.1, 0.7 * pace)
         schur = [[(one[f"s{a}"] + softness if a == b else 0.0) - one[f"m{min(a, b)}_{max(a, b)}"] for b in ks] for a in ks]
         step = [max(-2.0, min(2.0, x)) for x in _solved(schur, [off[k] - one[f"v{k}"] for k in ks])]
-        push = gap - sum(F.col(f"slope{k}") * step[k] for k in ks)
+        push = wants - sum(F.col(f"slope{k}") * step[k] for k in ks)
         # a source whose rates are all capped has no slope; it comes down by whole steps
-        move = F.when(open_, F.greatest(F.lit(-2.0), F.least(F.lit(2.0), push * inverse))).when(gap < 0, -0.5).otherwise(0.0)
-        state = written(both.select(*goals.columns, (F.col("lam") + F.when(F.col("target") > 0, move).otherwise(0.0)).alias("lam")), "dual")
-        mu = [m + x for m, x in zip(mu, step, strict=True)]
+        over = -gap * words > near * F.col("target")
+        move = F.when(open_, F.greatest(F.lit(-2.0), F.least(F.lit(2.0), push * inverse))).when(~known & over, -0.5).otherwise(0.0)
+        state = written(both.select(*goals.columns, (F.col("lam") + pace * move).alias("lam")), "dual")
+        mu = [m + pace * x for m, x in zip(mu, step, strict=True)]
     raise NotSolved(f"constraints are missed by {one.miss} after {rounds} rounds")
 
 
