@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparrowyard.operators import graph, ledger, logs, recommend
+from sparrowyard.operators import alerts, graph, ledger, logs, recommend
 from sparrowyard.operators import reports as P
 from sparrowyard.operators import relational as R
 from sparrowyard.plans.registry import BOTH, EDGES, RATINGS, TX, _K, _RISK, _ROUND, _scored, edges, query, r6, ratings, table, tx
@@ -120,8 +120,21 @@ def key_union(spark, d):
     return P.all_keys(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select(F.col("o_custkey").alias("k")))
 
 
-@query(f"WITH {TX}, v AS (SELECT orig, ms, count(*) OVER w AS n FROM tx WINDOW w AS (PARTITION BY orig ORDER BY ms RANGE BETWEEN 21600000 PRECEDING AND CURRENT ROW)) SELECT 'VELOCITY' AS rule, count(*) FILTER (WHERE n >= 5) AS n FROM v UNION ALL SELECT 'CASH', count(*) FROM tx WHERE type = 'CASH_OUT' AND amount_cents > 10000")
+@query(f"""WITH {TX}, t AS (SELECT * FROM tx WHERE type IN ('TRANSFER', 'PAYMENT') AND orig <> dest),
+    v AS (SELECT *, count(*) OVER w AS n, (sum(amount_cents) OVER w)::BIGINT AS total FROM tx WINDOW w AS (PARTITION BY orig ORDER BY ms RANGE BETWEEN 21600000 PRECEDING AND CURRENT ROW)),
+    s AS (SELECT *, count(*) OVER w AS n, (sum(amount_cents) OVER w)::BIGINT AS total FROM tx WHERE type = 'TRANSFER' AND amount_cents < 5000 WINDOW w AS (PARTITION BY orig ORDER BY ms RANGE BETWEEN 86400000 PRECEDING AND CURRENT ROW)),
+    h AS (SELECT 'VELOCITY' AS pattern, orig::VARCHAR AS accounts, ms, total AS amount_cents, n, [tx_id] AS ids FROM v WHERE n >= 5
+        UNION ALL SELECT 'STRUCTURING', orig::VARCHAR, ms, total, n, [tx_id] FROM s WHERE n >= 4
+        UNION ALL SELECT 'CYCLE', concat_ws(',', l.orig, l.dest, l.orig), l.ms, e.amount_cents + l.amount_cents, 2, [l.tx_id, e.tx_id] FROM t l JOIN t e ON e.orig = l.dest AND e.dest = l.orig AND e.ms BETWEEN l.ms - 86400000 AND l.ms AND e.tx_id <> l.tx_id WHERE e.amount_cents + l.amount_cents >= 1000
+        UNION ALL SELECT 'CYCLE', concat_ws(',', l.orig, l.dest, x.dest), l.ms, l.amount_cents + x.amount_cents + y.amount_cents, 3, [l.tx_id, x.tx_id, y.tx_id] FROM t l JOIN t x ON x.orig = l.dest AND x.dest <> l.orig AND x.ms BETWEEN l.ms - 86400000 AND l.ms AND x.tx_id <> l.tx_id JOIN t y ON y.orig = x.dest AND y.dest = l.orig AND y.ms BETWEEN l.ms - 86400000 AND l.ms AND y.tx_id <> l.tx_id WHERE l.amount_cents + x.amount_cents + y.amount_cents >= 1000)
+    SELECT substr(sha1(concat_ws('|', pattern, accounts, ms // 60000)), 1, 16) AS alert_id, pattern, accounts, ms // 60000 AS minute, ms, amount_cents, n::BIGINT AS n
+    FROM h QUALIFY row_number() OVER (PARTITION BY pattern, accounts, ms // 60000 ORDER BY ms, ids) = 1""")
 def aml_alerts(spark, d):
+    return alerts.alerts(tx(spark, d), velocity=(5, 21_600_000), structuring=(4, 86_400_000, 5000), cycle=(86_400_000, 1000), kinds=("TRANSFER", "PAYMENT"))
+
+
+@query(f"WITH {TX}, v AS (SELECT orig, ms, count(*) OVER w AS n FROM tx WINDOW w AS (PARTITION BY orig ORDER BY ms RANGE BETWEEN 21600000 PRECEDING AND CURRENT ROW)) SELECT 'VELOCITY' AS rule, count(*) FILTER (WHERE n >= 5) AS n FROM v UNION ALL SELECT 'CASH', count(*) FROM tx WHERE type = 'CASH_OUT' AND amount_cents > 10000")
+def aml_rule_counts(spark, d):
     return ledger.alert_counts(tx(spark, d), 5, 21_600_000, "CASH_OUT", 10000)
 
 
