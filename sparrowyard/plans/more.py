@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sparrowyard.functions import columns as C
@@ -48,7 +50,7 @@ def top10_latest(spark, d):
 def strict_rows(spark, d):
     """Customers as CSV lines, some of which have a field too many: written to the shared folder and read back."""
     c = table(spark, d, "customer")
-    to = f"{shared_dir(spark)}/rows-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    to = f"{shared_dir(spark)}/rows-{uuid.uuid4().hex}"
     line = F.concat_ws(",", "c_custkey", "c_nationkey", "c_mktsegment", F.when(F.col("c_name").endswith("9"), F.lit("extra")))
     rows = c.select(F.lit(0).alias("_at"), line.alias("value"))
     rows.select("value").write.mode("overwrite").option("header", True).option("quote", "").option("sep", "\t").csv(to)
@@ -65,8 +67,8 @@ def ledger_ops(spark, d):
 @query(_SETTLED + " SELECT account, balance_cents, i AS apply_seq FROM r WHERE i > 0 QUALIFY row_number() OVER (PARTITION BY account ORDER BY i DESC) = 1")
 def balance_from_outcomes(spark, d):
     """Outcomes as two overlapping batches into the guarded upsert: the older one comes last and changes nothing."""
-    done = ledger.settle(ledger.expand_ops(tx(spark, d)), OPENING).select("account", "balance_cents", "apply_seq")
-    to = f"{shared_dir(spark)}/balances-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    done = graph.cut(ledger.settle(ledger.expand_ops(tx(spark, d)), OPENING).select("account", "balance_cents", "apply_seq"))
+    to = f"{shared_dir(spark)}/balances-{uuid.uuid4().hex}"
     put = jobs.upsert_if_newer(to, ["account"], "apply_seq")
     for i, batch in enumerate((done, done.where("apply_seq % 2 = 0"))):
         put(batch, i)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sparrowyard.streaming.keyed_table import KeyedTable
+
 
 def with_event_time(df: DataFrame, col: str, delay: str) -> DataFrame:
     """Rows with an event time; on a stream, with a watermark."""
@@ -32,27 +34,18 @@ def start_parquet(df: DataFrame, name: str, out: str, checkpoint: str) -> Stream
     return df.writeStream.queryName(name).format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_latest(path: str, keys: list[str], order: str):
-    """For foreachBatch: the newest row per key in a snapshot per batch; a batch that comes twice changes nothing.
+def upsert_latest(path: str, keys: list[str], order: str, **layout):
+    """For foreachBatch: the newest row per key in a ``KeyedTable``; a batch that comes twice changes nothing.
 
-    Snapshots are folders ``v=<batch>``; the newest complete one is the table (see ``snapshot``).
+    ``layout`` may set the table's ``buckets`` and ``fan``. ``snapshot`` reads the table.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        old = snapshot(batch.sparkSession, path, before=batch_id)
-        rows = batch if old is None else old.select(*batch.columns).unionByName(batch)
-        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
-        newest.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        KeyedTable(batch.sparkSession, path, keys, order, **layout).upsert(batch, batch_id)
 
     return write
 
 
 def snapshot(spark, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete snapshot (of a batch below ``before``)."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return None
-    found = [s.getPath().getName() for s in fs.listStatus(hadoop) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    versions = sorted(int(n[2:]) for n in found if n.startswith("v=") and (before is None or int(n[2:]) < before))
-    return spark.read.parquet(f"{path}/v={versions[-1]}") if versions else None
+    """The table's rows (as of the batches below ``before``); none if nothing was written."""
+    return KeyedTable(spark, path).read(before)
