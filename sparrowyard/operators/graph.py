@@ -89,19 +89,45 @@ def component_report(edges: DataFrame) -> DataFrame:
     return nodes.withColumn("dropped", F.col("nodes") - F.col("kept")).join(inside)
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str = "w", max_iter: int = 1000) -> DataFrame:
-    """``source, node, dist``: frontier relaxation of all sources at once until nothing improves; weights must not be negative."""
-    best = cut(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0.0).alias("dist")))
-    front = best
+#: Sources that one row per node carries the distances of.
+TOGETHER = 32
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str = "w", max_iter: int = 1000, hops: int = 3) -> DataFrame:
+    """``source, node, dist``: frontier relaxation until nothing improves; weights must not be negative.
+
+    A node's row holds its distances from up to ``TOGETHER`` sources side by side, so a round joins each frontier node's edges
+    once for all of them and takes all minima in one aggregate with partial sums. A round relaxes ``hops`` edges in a row before
+    its table is written and the end is tested. A frontier row is a node of which some distance fell in
+    the last hop; what a node reached before stays in the table. More sources form further blocks, in the same rounds.
+    """
+    e = cut(edges.select(F.col("src").alias("node"), F.col("dst").alias("to"), F.col(weight).alias("w")))
+    marked = cut(global_rank(sources.select(F.col("id").alias("source")).distinct(), [F.col("source")], "k"))
+    n = min(TOGETHER, marked.count())
+    if not n:
+        return marked.select("source", F.col("source").alias("node"), F.lit(0.0).alias("dist"))
+    block, place = F.floor((F.col("k") - 1) / TOGETHER), F.pmod(F.col("k") - 1, F.lit(TOGETHER))
+    ds = [f"d{i}" for i in range(n)]
+    start = marked.select(block.alias("block"), F.col("source").alias("node"), *[F.when(place == i, 0.0).alias(d) for i, d in enumerate(ds)])
+    best = cut(start.withColumn("moved", F.lit(True)))
+    fell = lambda d: F.coalesce(F.col(d) < F.coalesce(f"was_{d}", F.lit(float("inf"))), F.lit(False))
     for _ in range(max_iter):
-        reached = front.join(edges.select(F.col("src").alias("node"), "dst", weight), "node").groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col(weight)).alias("new"))
-        both = cut(best.join(reached, ["source", "node"], "full_outer"))
-        better = F.coalesce(F.col("new") < F.coalesce("dist", F.lit(float("inf"))), F.lit(False))
-        front = both.where(better).select("source", "node", F.col("new").alias("dist"))
-        best = both.select("source", "node", F.when(better, F.col("new")).otherwise(F.col("dist")).alias("dist"))
-        if not front.head(1):
-            return best
-    raise NotConverged(f"distances still improve after {max_iter} rounds")
+        for _ in range(hops):
+            reached = best.where("moved").join(e, "node").select("block", F.col("to").alias("node"), *[(F.col(d) + F.col("w")).alias(d) for d in ds], F.lit(False).alias("old"))
+            both = best.select("block", "node", *ds, F.lit(True).alias("old")).unionByName(reached)
+            least = both.groupBy("block", "node").agg(*[F.min(d).alias(d) for d in ds], *[F.min(F.when(F.col("old"), F.col(d))).alias(f"was_{d}") for d in ds])
+            moved = fell(ds[0])
+            for d in ds[1:]:
+                moved = moved | fell(d)
+            best = least.select("block", "node", *ds, moved.alias("moved"))
+        best = cut(best)
+        if not best.where("moved").head(1):
+            break
+    else:
+        raise NotConverged(f"distances still improve after {max_iter} rounds")
+    rows = best.select("block", "node", F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.col(d).alias("dist")) for i, d in enumerate(ds)])).alias("x"))
+    found = rows.select("block", "node", "x.*").where("dist is not null")
+    return found.join(marked.select(block.alias("block"), place.cast("int").alias("place"), "source"), ["block", "place"]).select("source", "node", "dist")
 
 
 def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
@@ -162,6 +188,8 @@ def bfs_sample(edges: DataFrame, start: int, pct: float, seed: int = 42) -> Data
 def pregel(vertices: DataFrame, edges: DataFrame, message, combine, update, max_iter: int = 20) -> DataFrame:
     """Vertex programs on ``vertices(id, state)``: each round sends, combines and updates until no state changes.
 
+    Raises ``NotConverged`` if states still change in the last round.
+
     ``message(state, edge_columns...)`` is a column over ``state`` and the edge's columns (null sends nothing),
     ``combine`` an aggregate over ``message``, ``update(state, message)`` the new state; ``message`` is null where none came.
     """
@@ -173,8 +201,8 @@ def pregel(vertices: DataFrame, edges: DataFrame, message, combine, update, max_
         new = cut(new.withColumn("moved", ~F.col("state").eqNullSafe(F.col("was"))))
         now = new.select("id", "state")
         if not new.where("moved").head(1):
-            break
-    return now
+            return now
+    raise NotConverged(f"states still change after {max_iter} rounds")
 
 
 def load_graph(edges: DataFrame, pct: float = 100.0, start: int | None = None, seed: int = 42, directed: bool = False, whole: bool = False) -> DataFrame:

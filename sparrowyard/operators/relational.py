@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparrowyard.operators import selection
+
 
 # projection and filter
 def drop_sensitive(df: DataFrame, pattern: str = "login|cpf|cnpj") -> DataFrame:
@@ -162,9 +164,20 @@ def group_stats(df: DataFrame, keys: list[str], measure: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(measure).alias("mean"), F.sum(measure).alias("total"))
 
 
-def percentiles(df: DataFrame, keys: list[str], col: str, ps: list[float]) -> DataFrame:
-    """Interpolated percentiles, as ``p50`` and so on."""
-    return df.groupBy(*keys).agg(*[F.percentile(col, F.lit(p)).alias(f"p{round(p * 100)}") for p in ps])
+def percentiles(df: DataFrame, keys: list[str], col: str, ps: list[float], ordered: int = selection.ORDERED) -> DataFrame:
+    """Interpolated percentiles, as ``p50`` and so on.
+
+    Groups of up to ``ordered`` values are ordered by Spark's aggregate in one task each; larger ones find the two
+    neighbours of each place by ``selection.order_statistics``.
+    """
+    if selection.largest(df, keys, col) <= ordered:
+        return df.groupBy(*keys).agg(*[F.percentile(col, F.lit(p)).alias(f"p{round(p * 100)}") for p in ps])
+    at = {p: lambda n, p=p: F.lit(p) * (n - 1) for p in ps}
+    ranks = {f"{side}{k}": (lambda n, f=at[p], g=g: g(f(n)).cast("long")) for k, p in enumerate(ps) for side, g in (("low", F.floor), ("high", F.ceil))}
+    found = selection.order_statistics(df, keys, col, ranks, ordered)
+    part = lambda p: at[p](F.col("n")) - F.floor(at[p](F.col("n")))
+    between = lambda k, p: F.col(f"low{k}") * (1 - part(p)) + F.col(f"high{k}") * part(p)
+    return found.select(*keys, *[between(k, p).alias(f"p{round(p * 100)}") for k, p in enumerate(ps)])
 
 
 def status_counts(df: DataFrame, col: str, done: str) -> DataFrame:
@@ -234,16 +247,13 @@ def speedup(stats: DataFrame, config: str, workers: str, base, work: Column | No
     return out if work is None else out.withColumn("throughput", F.try_divide(work, F.col("mean")))
 
 
-def nearest_rank(df: DataFrame, keys: list[str], col: str, ps: list[float]) -> DataFrame:
-    """Percentiles at index ``round(p * (n - 1))``, halves to even, of the ordered values.
+def nearest_rank(df: DataFrame, keys: list[str], col: str, ps: list[float], ordered: int = selection.ORDERED) -> DataFrame:
+    """Percentiles at index ``round(p * (n - 1))``, halves to even, of the ordered values; groups of nulls alone are left out.
 
-    Values are counted first, so equal values are one row and a group is a sweep over its distinct values.
+    Of a group beyond ``ordered`` values no task holds more than so many (see ``selection``).
     """
-    counts = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys)
-    swept = counts.select(*keys, col, F.sum("c").over(w.orderBy(col)).alias("upto"), F.sum("c").over(w).alias("n"), "c")
-    at = lambda p: F.bround(F.lit(p) * (F.col("n") - 1), 0)
-    return swept.groupBy(*keys).agg(*[F.min(F.when(F.col("upto") > at(p), F.col(col))).alias(f"p{round(p * 100)}") for p in ps])
+    ranks = {f"p{round(p * 100)}": (lambda n, p=p: F.bround(F.lit(p) * (n - 1), 0).cast("long")) for p in ps}
+    return selection.order_statistics(df, keys, col, ranks, ordered).drop("n")
 
 
 def ohlcv(trades: DataFrame, keys: list[str]) -> DataFrame:
