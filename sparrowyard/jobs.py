@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sparrowyard.functions import columns as C
 from sparrowyard.functions import udfs
-from sparrowyard.operators import indicators, ledger, logs, reports
+from sparrowyard.operators import alerts, graph, indicators, ledger, logs, reports
 from sparrowyard.operators import relational as R
 from sparrowyard.sources import files, sinks
 from sparrowyard.streaming import jobs, windows
@@ -53,17 +53,18 @@ def profile(df: DataFrame, max_ndv: int = 50) -> DataFrame:
     return R.union_all(*parts)
 
 
-def payments(tx: DataFrame, opening: int = ledger.OPENING, velocity: tuple = (15, 60_000), structuring: tuple = (8, 3_600_000, 1_000_000), cycle: tuple = (600_000, 100_000_000), fraud: Column | None = None) -> dict[str, DataFrame]:
-    """Outcomes, balances, alerts (``rule, tx_id, accounts``) and, with a fraud condition, the alerts' quality."""
-    outcomes = ledger.settle(ledger.expand_ops(tx), opening)
-    flag = lambda df, rule: df.select(F.lit(rule).alias("rule"), "tx_id", F.col("orig").cast("string").alias("accounts"))
-    transfers = tx.where("type = 'TRANSFER'")
-    two = ledger.cycles(transfers, *cycle).select(F.lit("CYCLE").alias("rule"), F.col("tx2").alias("tx_id"), F.concat_ws(",", "a", "b").alias("accounts"))
-    three = ledger.cycles3(transfers, *cycle).select(F.lit("CYCLE").alias("rule"), F.col("tx3").alias("tx_id"), F.concat_ws(",", "a", "b", "c").alias("accounts"))
-    alerts = R.union_all(flag(ledger.velocity(tx, *velocity), "VELOCITY"), flag(ledger.structuring(tx, *structuring), "STRUCTURING"), two, three)
-    out = {"outcomes": outcomes, "balances": ledger.balances(outcomes), "alerts": alerts}
+def payments(tx: DataFrame, opening: int = ledger.OPENING, velocity: tuple = (15, 60_000), structuring: tuple = (8, 3_600_000, 1_000_000), cycle: tuple = (600_000, 100_000_000), fraud: Column | None = None, streamed: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Outcomes, balances and alerts; with a fraud condition the alerts' ``quality``; with a stream's balances, ``divergent`` accounts and the ``reconciled`` row.
+
+    ``streamed`` has ``account, balance_cents``, such as the table that ``jobs.upsert_if_newer`` keeps of ``state.settle_stream``.
+    """
+    outcomes = graph.cut(ledger.settle(ledger.expand_ops(tx), opening))
+    found = alerts.alerts(tx, velocity=velocity, structuring=structuring, cycle=cycle)
+    out = {"outcomes": outcomes, "balances": ledger.balances(outcomes), "alerts": found}
     if fraud is not None:
-        out["quality"] = reports.precision_recall(alerts, "accounts", tx.where(fraud).select(F.col("orig").cast("string").alias("account")))
+        out["quality"] = reports.precision_recall(found, "accounts", tx.where(fraud).select(F.col("orig").cast("string").alias("account")))
+    if streamed is not None:
+        out["divergent"], out["reconciled"] = R.reconciled(streamed, out["balances"], "account", "balance_cents")
     return out
 
 
@@ -117,9 +118,15 @@ def edit_stream(events: DataFrame, classify, out: str, checkpoint: str, size: st
     return table.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def trade_stream(trades: DataFrame, out: str, checkpoint: str, size: str = "1 minute", delay: str = "10 seconds") -> StreamingQuery:
-    """Candles, appended as Parquet; ``candle_indicators`` reads the history back."""
-    return windows.start_parquet(jobs.candles(trades, "ts", "symbol", size, delay), "candles", out, checkpoint)
+def trade_stream(trades: DataFrame, out: str, checkpoint: str, size: str = "1 minute", delay: str = "10 seconds", metrics: str | None = None) -> StreamingQuery:
+    """Candles, appended as Parquet; ``candle_indicators`` reads the history back.
+
+    With ``metrics``, each micro-batch's latency, throughput and gaps in trade ids are written there (see ``jobs.candle_sink``).
+    """
+    if metrics is None:
+        return windows.start_parquet(jobs.candles(trades, "ts", "symbol", size, delay), "candles", out, checkpoint)
+    put = jobs.candle_sink(out, metrics, "symbol")
+    return jobs.candles(trades, "ts", "symbol", size, delay, traced=True).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def candle_indicators(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparrowyard.operators.relational import induced
 from sparrowyard.session import shared_dir
@@ -47,16 +48,27 @@ def label_propagation(edges: DataFrame, max_iter: int) -> tuple[DataFrame, int,
     """Synchronous label propagation over out-neighbours: labels, rounds, converged.
 
     A node takes the most frequent label of its out-neighbours, ties to the smallest; without any it keeps its own.
+    After the first round only nodes with an out-neighbour that moved vote again, as no other can. A state that was
+    there before (two-sided graphs go to and fro for ever) ends the rounds, not converged: states are told by their
+    count and two sums of hashes.
     """
-    labels = cut(node_set(edges).withColumn("label", F.col("id")))
+    edges = cut(edges.select("src", "dst"))
+    labels = cut(node_set(edges).select("id", F.col("id").alias("label"), F.lit(True).alias("moved")))
+    seen = set()
     for i in range(1, max_iter + 1):
-        votes = edges.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy("src", "label").agg(F.count("*").alias("c"))
+        voters = edges.join(labels.where("moved").select(F.col("id").alias("dst")), "dst", "left_semi").select("src").distinct()
+        votes = edges.join(voters, "src", "left_semi").join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count("*").alias("c"))
         best = votes.groupBy(F.col("src").alias("id")).agg(F.max_by("label", F.struct("c", (-F.col("label")).alias("l"))).alias("new"))
-        moved = cut(labels.join(best, "id", "left").select("id", F.coalesce("new", "label").alias("label"), (F.coalesce("new", "label") != F.col("label")).alias("moved")))
-        labels = moved.select("id", "label")
-        if not moved.where("moved").head(1):
-            return labels, i, True
-    return labels, max_iter, False
+        new = F.coalesce("new", "label")
+        labels = cut(labels.join(best, "id", "left").select("id", new.alias("label"), (new != F.col("label")).alias("moved")))
+        hashed = [F.sum(F.xxhash64("id", "label", F.lit(k)).cast("decimal(38,0)")) for k in (1, 2)]
+        moved, *state = labels.agg(F.count_if("moved"), *hashed).first()
+        if not moved:
+            return labels.select("id", "label"), i, True
+        if tuple(state) in seen:
+            return labels.select("id", "label"), i, False
+        seen.add(tuple(state))
+    return labels.select("id", "label"), max_iter, False
 
 
 def connected_components(edges: DataFrame, max_iter: int = 100) -> DataFrame:
@@ -143,9 +155,16 @@ def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
     return numbered.join(F.broadcast(before), "_part").withColumn(name, F.col("_i") + F.col("_before")).drop("_part", "_i", "_before")
 
 
-def communities(labels: DataFrame) -> DataFrame:
-    """Rank, id and size of each community: by size, then id."""
+def communities(labels: DataFrame, members: bool = False, limit: int = 50_000) -> DataFrame:
+    """Rank, id and size of each community: by size, then id; with ``members``, also its nodes in order.
+
+    The lists are made for labels of up to ``limit`` nodes, beyond which all are null; a list is one row.
+    """
     sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    if members:
+        few = len(labels.select("id").head(limit + 1)) <= limit
+        listed = labels.groupBy("label").agg(F.count("*").alias("size"), F.sort_array(F.collect_list("id")).alias("members"))
+        sizes = listed if few else sizes.withColumn("members", F.lit(None).cast(T.ArrayType(labels.schema["id"].dataType)))
     return global_rank(sizes, [F.desc("size"), F.col("label")])
 
 

@@ -49,7 +49,8 @@ def collaborative(ratings: DataFrame, users: DataFrame, n: int = 10, liked: floa
     Its users are cut into blocks of about ``block``, and pairs of blocks meet in tasks of their own, with counts
     added up before the shuffle; so no task holds more than the pairs of two blocks of an item.
     """
-    likes = ratings.where(F.col("rating") >= liked).select("user", "item", "rating")
+    ratings = cut(ratings.select("user", "item", "rating"))
+    likes = ratings.where(F.col("rating") >= liked)
     degree = likes.groupBy("item").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = likes.join(degree, "item").withColumn("own", F.pmod(F.xxhash64("user"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -61,21 +62,51 @@ def collaborative(ratings: DataFrame, users: DataFrame, n: int = 10, liked: floa
     return _top(scored, n, F.desc("similar_users"), F.desc(F.round("mean_rating", 6)))
 
 
-def by_tags(ratings: DataFrame, tags: DataFrame, n: int = 10, n_tags: int = 20, min_score: float = 0.5, liked: float = 4.0) -> DataFrame:
+def by_tags(ratings: DataFrame, tags: DataFrame, n: int = 10, n_tags: int = 20, min_score: float = 0.5, liked: float = 4.0, paired_up_to: int = 64) -> DataFrame:
     """Per user: the tags with the best mean score over liked items, then unseen items by matched tags and mean score.
 
-    Rows of an item and tag are added up first. Candidates are dealt out by user once: what a user has seen
-    comes along as a mark, so removing it, scoring and ranking need no further shuffle.
+    An item with one matched tag ranks below every item with two, so the posting lists of **pairs** of tags come
+    first: an item stands in as many lists as it has pairs of tags, and a user asks for the pairs of the
+    chosen tags. Items of more than ``paired_up_to`` tags would have too many pairs and are matched by single tags.
+    A user who finds ``n`` unseen items of two tags or more is done; only users who do not are matched with the lists
+    of single tags. Of what was found, items below the n-th number of matched tags leave before any score is added up.
+    Rows of an item and tag are added up first.
     """
-    strong = tags.where(F.col("score") >= min_score)
-    mine = ratings.where(F.col("rating") >= liked).join(strong, "item").groupBy("user", "tag").agg(F.round(F.avg("score"), 9).alias("relevance"))
+    ratings = cut(ratings.select("user", "item", "rating"))
+    strong = cut(tags.where(F.col("score") >= min_score).groupBy("tag", "item").agg(F.sum(F.col("score").cast("double")).alias("total"), F.count("*").alias("rows")))
+    mine = ratings.where(F.col("rating") >= liked).join(strong, "item").groupBy("user", "tag").agg(F.round(F.sum("total") / F.sum("rows"), 9).alias("relevance"))
     w = Window.partitionBy("user").orderBy(F.desc("relevance"), "tag")
-    kept = mine.withColumn("i", F.row_number().over(w)).where(F.col("i") <= n_tags).select("user", "tag")
-    pairs = strong.groupBy("tag", "item").agg(F.sum(F.col("score").cast("double")).alias("total"), F.count("score").alias("rows"))
-    seen = ratings.select("user", "item", F.lit(None).cast("double").alias("total"), F.lit(None).cast("long").alias("rows"))
-    dealt = kept.join(pairs, "tag").select("user", "item", "total", "rows").unionByName(seen).repartition("user")
-    scored = dealt.groupBy("user", "item").agg(F.count("rows").alias("matched_tags"), F.count("*").alias("all"), F.round(F.sum("total") / F.sum("rows"), 9).alias("avg_tag_score"))
-    return _top(scored.where(F.col("all") == F.col("matched_tags")).drop("all"), n, F.desc("matched_tags"), F.desc("avg_tag_score"))
+    kept = cut(mine.withColumn("i", F.row_number().over(w)).where(F.col("i") <= n_tags).select("user", "tag"))
+    seen = ratings.select("user", "item").distinct()
+
+    def singly(chosen: DataFrame, lists: DataFrame) -> DataFrame:
+        return chosen.join(lists.select("tag", "item"), "tag").groupBy("user", "item").agg(F.count("*").alias("matched_tags"))
+
+    def paired(of: DataFrame, by: str) -> DataFrame:
+        """Pairs ``x < y`` of the tags of each ``by``; there are ``n_tags`` or ``paired_up_to`` at most."""
+        lists = of.groupBy(by).agg(F.sort_array(F.collect_set("tag")).alias("tags"))
+        one = lists.select(by, "tags", F.posexplode("tags").alias("i", "x"))
+        return one.select(by, "x", F.explode(F.slice("tags", F.col("i") + 2, F.size("tags"))).alias("y"))
+
+    def best(found: DataFrame) -> DataFrame:
+        """Unseen rows of ``user, item, matched_tags`` that can be among the n best by their matched tags, ties included."""
+        new = unseen(found, seen, ["user", "item"])
+        rank = F.rank().over(Window.partitionBy("user").orderBy(F.desc("matched_tags")))
+        return new.withColumn("place", rank).where(F.col("place") <= n).drop("place")
+
+    many = strong.groupBy("item").agg(F.count("*").alias("k")).where(F.col("k") > paired_up_to).select("item")
+    wanted, lists = paired(kept, "user"), paired(strong.join(many, "item", "left_anti"), "item")
+    matched = wanted.join(lists, ["x", "y"]).groupBy("user", "item").agg(F.count("*").alias("pairs"))
+    # k tags are k * (k - 1) / 2 pairs
+    light = matched.select("user", "item", F.round((1 + F.sqrt(1 + 8 * F.col("pairs"))) / 2).cast("long").alias("matched_tags"))
+    heavy = singly(kept, strong.join(many, "item", "left_semi")).where(F.col("matched_tags") > 1)
+    two = cut(best(light.unionByName(heavy)))
+    done = two.groupBy("user").agg(F.count("*").alias("k")).where(F.col("k") >= n).select("user")
+    rest = kept.join(done, "user", "left_anti")
+    one = best(singly(rest, strong))
+    candidates = two.join(done, "user", "left_semi").unionByName(one)
+    scored = candidates.join(kept, "user").join(strong, ["tag", "item"]).groupBy("user", "item", "matched_tags").agg(F.round(F.sum("total") / F.sum("rows"), 9).alias("avg_tag_score"))
+    return _top(scored, n, F.desc("matched_tags"), F.desc("avg_tag_score"))
 
 
 def items_with_genres(genres: DataFrame) -> DataFrame:

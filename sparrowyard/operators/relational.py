@@ -59,6 +59,23 @@ def diff_by_key(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return joined.withColumn("diff", F.col("a_value") - F.col("b_value"))
 
 
+def reconciled(a: DataFrame, b: DataFrame, key: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """Two results of the same keys: the divergent rows, and one row about all.
+
+    A key is divergent if one side lacks it or the values differ; ``diff`` is a's value less b's, a missing one as 0. The row has
+    ``n_a, n_b, n_all, divergent, sum_abs_diff`` and ``same``, true without divergent keys.
+    """
+    left, right = a.select(key, F.col(value).alias("a_value")), b.select(key, F.col(value).alias("b_value"))
+    both = left.withColumn("_a", F.lit(1)).join(right.withColumn("_b", F.lit(1)), key, "full_outer")
+    zero = F.lit(0).cast("bigint")
+    both = both.withColumn("diff", F.coalesce("a_value", zero) - F.coalesce("b_value", zero)).withColumn("off", F.col("_a").isNull() | F.col("_b").isNull() | ~F.col("a_value").eqNullSafe(F.col("b_value")))
+    report = both.agg(
+        F.count("_a").alias("n_a"), F.count("_b").alias("n_b"), F.count("*").alias("n_all"), F.count_if("off").alias("divergent"),
+        F.coalesce(F.sum(F.when(F.col("off"), F.abs("diff"))), zero).alias("sum_abs_diff"), (F.count_if("off") == 0).alias("same"),
+    )
+    return both.where("off").select(key, "a_value", "b_value", "diff"), report
+
+
 def overlap_pairs(df: DataFrame, id: str, group: str, start: str, end: str, bucket_days: int = 365) -> DataFrame:
     """Pairs ``a < b`` of a group whose intervals overlap.
 
@@ -256,12 +273,12 @@ def nearest_rank(df: DataFrame, keys: list[str], col: str, ps: list[float], orde
     return selection.order_statistics(df, keys, col, ranks, ordered).drop("n")
 
 
-def ohlcv(trades: DataFrame, keys: list[str]) -> DataFrame:
-    """Candles: first and last price by trade id, extremes, volumes by side, count and mean."""
+def ohlcv(trades: DataFrame, keys: list[str], more: list[Column] | None = None) -> DataFrame:
+    """Candles: first and last price by trade id, extremes, volumes by side, count and mean, and ``more`` aggregates."""
     side = lambda s: F.sum(F.when(F.col("side") == s, F.col("qty")).otherwise(0)).alias(f"{s}_volume")
     return trades.groupBy(*keys).agg(
         F.min_by("price", "trade_id").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "trade_id").alias("close"),
-        F.sum("qty").alias("volume"), side("buy"), side("sell"), F.count("*").alias("trades"), F.avg("price").alias("mean_price"),
+        F.sum("qty").alias("volume"), side("buy"), side("sell"), F.count("*").alias("trades"), F.avg("price").alias("mean_price"), *(more or []),
     )
 
 

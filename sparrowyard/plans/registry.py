@@ -276,6 +276,18 @@ def reconcile(spark, d):
     return R.diff_by_key(one("PAYMENT"), one("CASH_IN"), "orig", "v")
 
 
+@query(f"""WITH RECURSIVE {TX}, {OPS}, both_ops AS (SELECT *, false AS lost FROM ops UNION ALL SELECT *, true FROM ops WHERE tx_id % 100 <> 7),
+    o AS (SELECT *, row_number() OVER (PARTITION BY lost, account ORDER BY ms, tx_id, kind) AS i FROM both_ops),
+    r AS (SELECT lost, account, 0::BIGINT AS i, {OPENING}::BIGINT AS b FROM (SELECT DISTINCT lost, account FROM o) UNION ALL
+    SELECT o.lost, o.account, o.i, CASE WHEN o.delta_cents >= 0 OR -o.delta_cents <= r.b THEN r.b + o.delta_cents ELSE r.b END FROM r JOIN o ON o.lost = r.lost AND o.account = r.account AND o.i = r.i + 1),
+    e AS (SELECT lost, account, arg_max(b, i) AS b FROM r WHERE i > 0 GROUP BY 1, 2), f AS (SELECT x.b AS xb, y.b AS yb, x.account AS xa, y.account AS ya FROM (FROM e WHERE lost) x FULL JOIN (FROM e WHERE NOT lost) y USING (account))
+    SELECT count(xa) AS n_a, count(ya) AS n_b, count(*) AS n_all, count(*) FILTER (WHERE xb IS DISTINCT FROM yb) AS divergent, coalesce(sum(abs(coalesce(xb, 0) - coalesce(yb, 0))), 0)::BIGINT AS sum_abs_diff, count(*) FILTER (WHERE xb IS DISTINCT FROM yb) = 0 AS same FROM f""")
+def reconcile_summary(spark, d):
+    """Balances of a settlement against those of one that missed every hundredth transaction."""
+    settled = lambda t: ledger.balances(ledger.settle(ledger.expand_ops(t), OPENING))
+    return R.reconciled(settled(tx(spark, d).where("tx_id % 100 <> 7")), settled(tx(spark, d)), "account", "balance_cents")[1]
+
+
 @query("SELECT event_id AS id FROM events UNION ALL SELECT o_orderkey FROM orders")
 def union_files(spark, d):
     return R.union_all(table(spark, d, "events").select(F.col("event_id").alias("id")), table(spark, d, "orders").select(F.col("o_orderkey").alias("id")))

@@ -178,6 +178,11 @@ def community_sizes(spark, d):
     return graph.communities(_labels(spark, d))
 
 
+@query(f"{_LPA}, m AS (SELECT label, count(*) AS size, list_sort(list(id)) AS members FROM l3 GROUP BY 1) SELECT label, size, members, row_number() OVER (ORDER BY size DESC, label) AS rank FROM m")
+def community_members(spark, d):
+    return graph.communities(_labels(spark, d), members=True)
+
+
 @query(f"{_LPA}, r AS (SELECT size, row_number() OVER (ORDER BY size) - 1 AS i, count(*) OVER () AS n FROM s) SELECT max(n) AS communities, min(size) AS min, min(size) FILTER (WHERE i = floor(n * 0.5)) AS p50, min(size) FILTER (WHERE i = floor(n * 0.95)) AS p95, max(size) AS max FROM r")
 def community_size_summary(spark, d):
     return P.size_summary(_labels(spark, d))

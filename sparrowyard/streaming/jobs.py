@@ -72,12 +72,38 @@ def avg_by_zone(trips: DataFrame, ts: str, zone: str, seconds: str, zones: DataF
     return out.withColumn("mean", F.round((F.col("mean") / 60).cast("decimal(38,10)"), 2).cast("double"))
 
 
-def candles(trades: DataFrame, ts: str, key: str, size: str, delay: str) -> DataFrame:
-    """Candles per window and key; appended once the watermark passes a window on a stream."""
-    out = R.ohlcv(windows.with_event_time(trades, ts, delay).withColumnRenamed(key, "_key").withColumn("_w", F.window(ts, size)), ["_w", "_key"])
+def candles(trades: DataFrame, ts: str, key: str, size: str, delay: str, traced: bool = False) -> DataFrame:
+    """Candles per window and key; appended once the watermark passes a window on a stream.
+
+    ``traced`` adds what latency and gaps are told from: the trades' mean time in ms, their first and last id.
+    """
+    rows = windows.with_event_time(trades, ts, delay).withColumnRenamed(key, "_key").withColumn("_w", F.window(ts, size))
+    more = [F.avg(F.unix_millis(F.col(ts).cast("timestamp"))).alias("mean_ms"), F.min("trade_id").alias("first_id"), F.max("trade_id").alias("last_id")] if traced else []
+    out = R.ohlcv(rows, ["_w", "_key"], more)
     return out.select(F.col("_w.start").alias("start"), F.col("_key").alias(key), *[c for c in out.columns if c not in ("_w", "_key")])
 
 
+def candle_sink(out: str, metrics: str, key: str, clock: Callable[[], float] = time.time) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: traced candles to ``out``, and one row about the batch to ``metrics``; a batch that comes again replaces its own.
+
+    ``latency_ms`` runs from a candle's mean trade time to the moment of writing: mean and interpolated percentiles over candles.
+    ``gaps`` counts trade ids that are missing between a key's first and last ones of the batch; ``trades_per_s`` are those of the time the
+    write took.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, began = batch.sparkSession, time.time()
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        saved, now, took = spark.read.schema(batch.schema).parquet(f"{out}/batch={batch_id}"), clock() * 1000, time.time() - began
+        ms = F.lit(now) - F.col("mean_ms")
+        figures = saved.agg(F.count("*").alias("candles"), F.coalesce(F.sum("trades"), F.lit(0)).alias("trades"), F.avg(ms).alias("latency_ms"), *[F.percentile(ms, F.lit(p / 100)).alias(f"p{p}_ms") for p in (50, 95, 99)])
+        missing = saved.groupBy(key).agg((F.max("last_id") - F.min("first_id") + 1 - F.sum("trades")).alias("m")).agg(F.coalesce(F.sum("m"), F.lit(0)).cast("long").alias("gaps"))
+        row = figures.crossJoin(missing).withColumn("trades_per_s", F.col("trades") / F.lit(max(took, 1e-3)))  # two rows of one each
+        row.coalesce(1).write.mode("overwrite").parquet(f"{metrics}/batch={batch_id}")
+
+    return write
+
+
 # sources' rates and sinks
 def rate_limit(n: int, source: str = "kafka") -> dict[str, str]:
     """Reader options that hold a micro-batch to n offsets (Kafka) or files."""

@@ -48,8 +48,14 @@ def test_payments(spark):
     rows = [(1, 1, 2, 0, 500, "TRANSFER"), (2, 2, 3, 10, 600, "TRANSFER"), (3, 3, 1, 20, 700, "TRANSFER"), (4, 2, 1, 30, 900, "TRANSFER"), (5, 9, 9, 31, 5, "PAYMENT")]
     tx = spark.createDataFrame(rows, "tx_id long, orig long, dest long, ms long, amount_cents long, type string")
     out = J.payments(tx, 1000, (2, 100), (3, 100, 800), (100, 1000), F.col("orig") == 2)
-    assert {(r.rule, r.tx_id, r.accounts) for r in out["alerts"].collect()} == {("VELOCITY", 4, "2"), ("CYCLE", 4, "2,1"), ("CYCLE", 3, "3,1,2")}
+    assert {(r.pattern, r.ms, r.accounts, r.amount_cents) for r in out["alerts"].collect()} == {("VELOCITY", 30, "2", 1500), ("CYCLE", 30, "2,1,2", 1400), ("CYCLE", 20, "3,1,2", 1800)}
     assert out["balances"].count() == 4 and out["quality"].first()[:] == (3, 1, 1, 1 / 3, 1.0)
+    kept = out["balances"].select("account", "balance_cents")
+    assert J.payments(tx, 1000, streamed=kept)["reconciled"].first()[:] == (4, 4, 4, 0, 0, True)
+    wrong = kept.where("account <> 9").withColumn("balance_cents", F.col("balance_cents") + F.when(F.col("account") == 2, -7).otherwise(0)).union(spark.createDataFrame([(77, 5)], kept.schema))
+    again = J.payments(tx, 1000, streamed=wrong)
+    assert again["reconciled"].first()[:] == (4, 4, 5, 3, 7 + 5 + 995, False)
+    assert {(r.account, r.a_value, r.b_value, r["diff"]) for r in again["divergent"].collect()} == {(2, kept.where("account = 2").first().balance_cents - 7, kept.where("account = 2").first().balance_cents, -7), (9, None, 995, -995), (77, 5, None, 5)}
 
 
 def test_blob_etl(spark, tmp_path):
@@ -94,6 +100,23 @@ def test_edit_stream(spark, tmp_path):
     assert {(r.category, r.n, r.score) for r in jobs.latest_scores(spark, f"{tmp_path}/t", "start", "n").collect()} == {("Cats", 2, 100.0), ("Dogs", 1, 50.0)}
 
 
+def test_trade_stream_tells_latency_and_gaps(spark, tmp_path):
+    ids = [k for k in range(60) if k not in (7, 8, 30)]
+    rows = [(k, "s", 1.0, 2, "buy", 1_700_000_000 + k) for k in ids] + [(99, "s", 1.0, 2, "buy", 1_800_000_000)]
+    trades = spark.createDataFrame(rows, "trade_id long, symbol string, price double, qty long, side string, at long").withColumn("ts", F.col("at").cast("timestamp")).drop("at")
+    J.trade_stream(put(trades, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck", "20 seconds", metrics=f"{tmp_path}/m").awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/out")
+    assert found.agg(F.sum("trades")).first()[0] == 57
+    sink = jobs.candle_sink(f"{tmp_path}/o2", f"{tmp_path}/m2", "symbol", clock=lambda: 1_700_000_100.0)
+    for _ in range(2):  # a batch that comes again
+        sink(found.drop("batch"), 3)
+    row = spark.read.parquet(f"{tmp_path}/m2").first()
+    waits = sorted(1_700_000_100_000 - r.mean_ms for r in found.collect())
+    assert (row.candles, row.trades, row.gaps) == (len(waits), 57, 3) and row.batch == 3
+    assert abs(row.latency_ms - sum(waits) / len(waits)) < 1e-6 and row.p50_ms == waits[len(waits) // 2] if len(waits) % 2 else True
+    assert spark.read.parquet(f"{tmp_path}/m").agg(F.sum("trades")).first()[0] == 57
+
+
 def test_trade_stream_and_indicators(spark, tmp_path):
     trades = spark.range(61).select(F.col("id").alias("trade_id"), F.lit("s").alias("symbol"), (F.col("id") % 7 + 1.0).alias("price"), F.lit(1).alias("qty"), F.lit("buy").alias("side"), (F.col("id") * 60 + F.when(F.col("id") == 60, 10**6).otherwise(0)).cast("timestamp").alias("ts"))
     J.trade_stream(put(trades, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()

@@ -83,3 +83,42 @@ def test_paths_from_many_sources(spark, monkeypatch):
     assert graph.shortest_paths(e, spark.createDataFrame([], "id long")).count() == 0
     with pytest.raises(graph.NotConverged):
         graph.shortest_paths(spark.createDataFrame([(k, k + 1, 1.0) for k in range(40)], "src long, dst long, w double"), spark.createDataFrame([(0,)], "id long"), max_iter=2)
+
+
+def votes_by_hand(pairs, rounds):
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    labels, seen = {v: v for v in near}, []
+    for k in range(1, rounds + 1):
+        counts = {v: {} for v in near}
+        for v in near:
+            for u in near[v]:
+                counts[v][labels[u]] = counts[v].get(labels[u], 0) + 1
+        new = {v: min(c, key=lambda x: (-c[x], x)) for v, c in counts.items()}
+        if new == labels:
+            return new, k, True
+        labels = new
+        if labels in seen:
+            return labels, k, False
+        seen.append(labels)
+    return labels, rounds, False
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_labels_to_the_end_or_to_and_fro(spark, seed):
+    rng = random.Random(seed)
+    pairs = [(rng.randrange(40), rng.randrange(40)) for _ in range(60)] if seed < 3 else [(0, 1), (2, 3), (4, 5), (5, 6), (6, 4)]
+    e = graph.clean_edges(spark.createDataFrame(pairs, "src long, dst long"), directed=False)
+    labels, rounds, done = graph.label_propagation(e, 50)
+    assert ({r.id: r.label for r in labels.collect()}, rounds, done) == votes_by_hand(pairs, 50)
+    if seed == 3:
+        assert not done and rounds < 50  # pairs swap their labels for ever
+
+
+def test_communities_list_their_members(spark):
+    labels = spark.createDataFrame([(1, 100), (2, 100), (5, 200), (4, 200), (3, 200)], "id long, label long")
+    assert [(r["rank"], r.label, r["size"], r.members) for r in graph.communities(labels, members=True).orderBy("rank").collect()] == [(1, 200, 3, [3, 4, 5]), (2, 100, 2, [1, 2])]
+    assert {r.members for r in graph.communities(labels, members=True, limit=4).collect()} == {None} and "members" not in graph.communities(labels).columns

@@ -124,12 +124,13 @@ def test_cycles_of_three_match_plain_loop(spark):
     assert ledger.cycles3(tx.limit(0), 300, 120).count() == 0
 
 
-def test_by_tags_matches_plain_loop(spark):
+@pytest.mark.parametrize("paired_up_to", [0, 2, 64])
+def test_by_tags_matches_plain_loop(spark, paired_up_to):
     """Repeated ratings and tag rows, null scores, users who have seen all."""
     rng = random.Random(12)
     ratings = [(u, rng.randrange(12), float(rng.randint(1, 5))) for u in range(6) for _ in range(9)] + [(7, i, 5.0) for i in range(12)]
     tags = [(rng.randrange(12), f"t{rng.randrange(5)}", rng.choice([None, 0.25, 0.5, 0.75, 1.0])) for _ in range(60)]
-    got = recommend.by_tags(spark.createDataFrame(ratings, "user long, item long, rating double"), spark.createDataFrame(tags, "item long, tag string, score double"), 3, 2)
+    got = recommend.by_tags(spark.createDataFrame(ratings, "user long, item long, rating double"), spark.createDataFrame(tags, "item long, tag string, score double"), 3, 3, paired_up_to=paired_up_to)
     strong = [t for t in tags if t[2] is not None and t[2] >= 0.5]
     want = []
     for u in sorted({r[0] for r in ratings}):
@@ -137,7 +138,7 @@ def test_by_tags_matches_plain_loop(spark):
         for _, item, _ in (r for r in ratings if r[0] == u and r[2] >= 4):
             for _, tag, score in (t for t in strong if t[0] == item):
                 by_tag.setdefault(tag, []).append(score)
-        best = sorted(by_tag, key=lambda t: (-round(sum(by_tag[t]) / len(by_tag[t]), 9), t))[:2]
+        best = sorted(by_tag, key=lambda t: (-round(sum(by_tag[t]) / len(by_tag[t]), 9), t))[:3]
         for item, tag, score in strong:
             if tag in best and item not in {r[1] for r in ratings if r[0] == u}:
                 by_item.setdefault(item, []).append((tag, score))
