@@ -80,3 +80,24 @@ def test_null_and_repeated_ids_lose_no_other_text(spark, module):
     rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (8, d), (7, c), (None, c)]
     kept = module.deduplicated(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, a), (0, b), (7, c), (7, d)])
+
+
+@pytest.mark.parametrize("wider", [similar.WIDER, ()])
+def test_texts_around_a_common_passage_are_compared_whatever_their_number(spark, wider):
+    """Texts of a common passage lie below 0.8 of each other, some pairs above it: large mixed cells, all links found."""
+    rng = random.Random(11)
+    passage = text_of(rng, 220)
+    rows = []
+    for i in range(60):
+        own = text_of(rng, 45)
+        rows.append((2 * i, " ".join(passage + own)))
+        if i % 3 == 0:
+            rows.append((2 * i + 1, " ".join(passage + own[: rng.randint(25, 40)] + text_of(rng, 12))))
+    want = {}
+    for (i, _), root in zip(rows, components_of(rows), strict=True):
+        want.setdefault(root, set()).add(i)
+    assert 30 < len(want) < len(rows)
+    got = {}
+    for r in similar.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), all_pairs=4, wider=wider).collect():
+        got.setdefault(r.root, set()).add(r.id)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
