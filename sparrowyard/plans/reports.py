@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sparrowyard.operators import alerts, graph, ledger, logs, recommend
+from sparrowyard.operators import alerts, dates, graph, ledger, logs, recommend
 from sparrowyard.operators import reports as P
 from sparrowyard.operators import relational as R
 from sparrowyard.plans.registry import BOTH, EDGES, RATINGS, TX, _K, _RISK, _ROUND, _scored, edges, query, r6, ratings, table, tx
@@ -323,6 +323,15 @@ def date_columns(spark, d):
     return P.date_columns(o, "o_orderkey")
 
 
+@query("""SELECT unnest(['iso', 'iso', 'dayfirst', 'text']) AS "column", unnest(['yyyy-M-d', 'yyyy/M/d', 'd.M.yyyy H:mm', NULL]) AS pattern,
+    unnest([count(*) FILTER (WHERE o_orderkey % 3 <> 0), count(*) FILTER (WHERE o_orderkey % 3 = 0), count(*), count(*)]) AS n FROM orders""")
+def date_formats(spark, d):
+    """Order dates written in several ways, and a column of texts."""
+    day = lambda p: F.date_format("o_orderdate", p)
+    iso = F.when(F.col("o_orderkey") % 3 == 0, day("yyyy/MM/dd")).otherwise(day("yyyy-MM-dd"))
+    return dates.date_formats(table(spark, d, "orders").select(iso.alias("iso"), day("dd.MM.yyyy HH:mm").alias("dayfirst"), F.col("o_orderpriority").alias("text")))
+
+
 @query("SELECT event_id, strftime(ts, '%H:%M') AS clock, CAST(hour(ts) AS INTEGER) AS hour, date_trunc('second', ts) AS second, epoch_us(ts) // 1000000 - 1704067200 AS since_s FROM events")
 def time_parse(spark, d):
     text = F.date_format("ts", "yy/MM/dd HH:mm:ss")

@@ -26,9 +26,14 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def read_ndjson(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of lines of JSON, blank ones skipped; a missing file has no rows."""
-    return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
+def read_ndjson(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Rows of lines of JSON, blank ones skipped; a missing file has no rows.
+
+    Without a schema Spark infers one by a scan of its own; a missing file then has no columns either.
+    """
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema or "struct<>")
+    return (spark.read.schema(schema) if schema else spark.read).json(path)
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
