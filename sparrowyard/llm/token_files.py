@@ -27,11 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparrowyard.llm.chunks import ChunkTable, joined, slices
-from sparrowyard.llm.common import integer_id, qualified
+from sparrowyard.llm.common import integer_id, qualified, written
 
 MAGIC = b"TOKF"
 _FOOTER = "<QQQ4s"
@@ -139,10 +139,10 @@ def encoded(texts: pa.Array, tokenizer: str, end: int) -> tuple[np.ndarray, np.n
     return joined(pc.ascii_split_whitespace(pc.fill_null(texts, "")), _table(tokenizer), end)
 
 
-def write(docs: DataFrame, to: str, tokenizer: str, end: int, id: str = "doc_id", text: str = "text", rows_per_file: int = 8000) -> list[dict]:
-    """Write the ids of all documents in ascending id order; the manifest: one entry a file, in order.
+def write(docs: DataFrame, to: str, tokenizer: str, end: int, id: str = "doc_id", text: str = "text", rows_per_file: int = 8000) -> DataFrame:
+    """Write the ids of all documents in ascending id order; the manifest: a written table with a row a file.
 
-    The manifest (path, documents, ids) is what the driver sees; it grows with the number of files.
+    Its columns are ``path``, ``docs`` and ``ids`` of the file, ``i`` (its place, from 0) and ``before`` (ids of all files before it).
     """
     integer_id(docs, id)
     to = qualified(docs.sparkSession, to)
@@ -180,8 +180,22 @@ def write(docs: DataFrame, to: str, tokenizer: str, end: int, id: str = "doc_id"
             row = {"id": first[0], "h": first[1], "path": path, "docs": len(table), "ids": int(table[:, 4].sum())}
             yield pa.RecordBatch.from_pylist([row], pa.schema([("id", pa.int64()), ("h", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())]))
 
-    files = dealt.mapInArrow(run, "id long, h long, path string, docs long, ids long").collect()
-    return [{k: r[k] for k in ("path", "docs", "ids")} for r in sorted(files, key=lambda r: (r["id"] is not None, r["id"] or 0, r["h"]))]
+    files = written(dealt.mapInArrow(run, "id long, h long, path string, docs long, ids long"), "files")
+    return written(_placed(files), "manifest")
+
+
+def _placed(files: DataFrame) -> DataFrame:
+    """Files in order of their first rows with ``i`` and ``before``, by range partitions, of which sums are added up in one place."""
+    order = ["id", "h"]
+    dealt = written(files.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "files")
+    parts = dealt.groupBy("part").agg(F.count("*").alias("n"), F.sum("ids").alias("s"))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    zero = F.lit(0).cast("long")
+    offsets = parts.select("part", F.coalesce(F.sum("n").over(ahead), zero).alias("n0"), F.coalesce(F.sum("s").over(ahead), zero).alias("s0"))
+    within = Window.partitionBy("part").orderBy(*order)
+    earlier = F.coalesce(F.sum("ids").over(within.rowsBetween(Window.unboundedPreceding, -1)), zero)
+    numbered = dealt.withColumn("k", F.row_number().over(within) - 1).withColumn("earlier", earlier)
+    return numbered.join(offsets, "part").select("path", "docs", "ids", (F.col("n0") + F.col("k")).alias("i"), (F.col("s0") + F.col("earlier")).alias("before"))
 
 
 def read_index(store, path: str) -> np.ndarray:
@@ -205,13 +219,11 @@ def read_ids(spark: SparkSession, to: str, path: str, wanted: set[int]) -> dict[
         return {int(i): np.frombuffer(zstandard.ZstdDecompressor().decompress(f.read_at(int(n), int(a))), "<u4") for has, i, a, n, _ in read_index(store, path) if has and int(i) in wanted}
 
 
-def read(spark: SparkSession, to: str, manifest: list[dict]) -> DataFrame:
+def read(spark: SparkSession, to: str, manifest: DataFrame) -> DataFrame:
     """All documents from the files: ``doc_id``, ``start`` (ids before it), ``n_tokens``, ``ids`` (little-endian bytes)."""
     to = qualified(spark, to)
-    before = np.cumsum([0] + [m["ids"] for m in manifest]).tolist()
-    rows = [(i, m["path"], b) for i, (m, b) in enumerate(zip(manifest, before, strict=False))]
-    schema = "i int, path string, before long"
-    files = spark.createDataFrame(rows, schema).repartitionById(len(rows), "i") if rows else spark.createDataFrame([], schema)
+    files = manifest.select(F.col("i").cast("int").alias("i"), "path", "before")
+    files = files.repartitionById(max(1, manifest.count()), "i")  # a file a task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard

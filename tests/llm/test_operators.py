@@ -114,7 +114,9 @@ def test_token_files_with_null_and_repeated_ids(spark, tmp_path):
     assert sorted((r.doc_id is not None, r.doc_id or 0, bytes(r.ids)) for r in got) == sorted((i is not None, i or 0, ids(x)) for i, x in rows)
     order = [(r.doc_id is not None, r.doc_id or 0) for r in got]
     assert order == sorted(order) and [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
-    assert len(manifest) > 6 and max(m["docs"] for m in manifest) < 40
+    listed = manifest.orderBy("i").collect()
+    assert len(listed) > 6 and max(m.docs for m in listed) < 40 and [m.i for m in listed] == list(range(len(listed)))
+    assert [m.before for m in listed] == [sum(x.ids for x in listed[:k]) for k in range(len(listed))]
     with pytest.raises(TypeError):
         token_files.write(df.withColumn("doc_id", F.lit("x")), to, path, 2)
 
@@ -122,21 +124,22 @@ def test_token_files_with_null_and_repeated_ids(spark, tmp_path):
 def test_token_files_round_trip(spark, docs, rows, empty):
     path, to = queries.tokenizer_path("word_bpe_49k.json"), scratch_path(spark, "ids")
     manifest = token_files.write(docs, to, path, 2, rows_per_file=7)
+    first, n = manifest.orderBy("i").first().path, manifest.count()
     t, start, want = Tokenizer.from_file(path), 0, {}
     for i, text, *_ in rows:
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
         want[i] = (start, len(ids), np.array(ids, "<u4").tobytes())
         start += len(ids)
-    assert {r[0]: (r[1], r[2], bytes(r[3])) for r in token_files.read(spark, to, manifest).collect()} == want and len(manifest) > 1
-    some = token_files.read_ids(spark, to, manifest[0]["path"], {0, 3})
+    assert {r[0]: (r[1], r[2], bytes(r[3])) for r in token_files.read(spark, to, manifest).collect()} == want and n > 1
+    some = token_files.read_ids(spark, to, first, {0, 3})
     assert {i: x.tobytes() for i, x in some.items()} == {i: want[i][2] for i in (0, 3)}
-    with open(manifest[0]["path"], "r+b") as f:  # the frame's checksum notices a flipped bit
+    with open(first, "r+b") as f:  # the frame's checksum notices a flipped bit
         f.seek(20)
         byte = f.read(1)
         f.seek(20)
         f.write(bytes([byte[0] ^ 1]))
     with pytest.raises(Exception):
-        token_files.read_ids(spark, to, manifest[0]["path"], set(range(8)))
+        token_files.read_ids(spark, to, first, set(range(8)))
     assert token_files.read(spark, to, token_files.write(empty, to, path, 2)).count() == 0
 
 
