@@ -35,8 +35,6 @@ SALTS = 64
 #: Number of the tree above all groups.
 ABOVE = -1
 
-NODE = ["tree", "level", "pos"]
-
 
 def sha(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
