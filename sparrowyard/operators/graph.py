@@ -105,11 +105,11 @@ def component_report(edges: DataFrame) -> DataFrame:
 TOGETHER = 32
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str = "w", max_iter: int = 1000, hops: int = 3) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str = "w", max_iter: int = 1000, hops: int = 1) -> DataFrame:
     """``source, node, dist``: frontier relaxation until nothing improves; weights must not be negative.
 
     A node's row holds its distances from up to ``TOGETHER`` sources side by side, so a round joins each frontier node's edges
-    once for all of them and takes all minima in one aggregate with partial sums. A round relaxes ``hops`` edges in a row before
+    once for all of them and takes all minima in one aggregate with partial sums. A round relaxes ``hops`` edges in a row (one joins small frontiers best) before
     its table is written and the end is tested. A frontier row is a node of which some distance fell in
     the last hop; what a node reached before stays in the table. More sources form further blocks, in the same rounds.
     """
