@@ -7,6 +7,21 @@ from pyspark.sql import functions as F
 from sparrowyard.operators import relational as R
 
 
+def test_trailing_counts_rows_of_a_crowded_span(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice([1, 2, None]), rng.choice([None, *range(0, 3000, 7)]), rng.choice([None, -3, 4, 50])) for i in range(900)]
+    got = {r.id: (r.n_trailing, r.sum_trailing) for r in R.trailing(spark.createDataFrame(rows, "id long, key long, ms long, v long"), "key", "ms", 500, "v").collect()}
+    for i, key, ms, _ in rows:
+        near = [r for r in rows if r[1] == key and (r[2] is ms is None or None not in (r[2], ms) and ms - 500 <= r[2] <= ms)]
+        known = [r[3] for r in near if r[3] is not None]
+        assert got[i] == (len(near), sum(known) if known else None)
+
+
+def test_trailing_sums_run_and_do_not_slide(spark):
+    plan = R.trailing(spark.range(10).select("id", F.lit(1).alias("key"), F.col("id").alias("ms")), "key", "ms", 5, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame" not in plan and "unboundedpreceding" in plan
+
+
 def test_overlaps_come_once_from_blocks(spark):
     rng = random.Random(6)
     rows = [(i, rng.choice(["x", "y", None]), a := rng.randrange(3000), a + rng.randrange(1500)) for i in range(150)]
