@@ -4,9 +4,26 @@ import random
 
 from pyspark.sql import functions as F
 
+from sparrowyard import session
 from sparrowyard.operators import relational as R
 
 
+def test_shuffles_follow_the_rows_and_packed_tables_are_not_broadcast(spark, tmp_path):
+    names = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.sources.fileCompressionFactor"]
+    was = {k: spark.conf.get(k) for k in names}
+    try:
+        spark.range(1_500_000).selectExpr("id", "id % 7 as x").write.parquet(str(tmp_path / "t"))
+        df = session.spread(spark.read.parquet(str(tmp_path / "t")))
+        assert int(spark.conf.get(names[0])) == 15 and session._bytes(spark.conf.get(names[1])) == session.TASK_BYTES
+        plan = df.join(df.withColumnRenamed("x", "y"), "id")._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan
+        session.spread(df.limit(10))
+        assert int(spark.conf.get(names[0])) == 15
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def test_trailing_counts_rows_of_a_crowded_span(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice([1, 2, None]), rng.choice([None, *range(0, 3000, 7)]), rng.choice([None, -3, 4, 50])) for i in range(900)]
