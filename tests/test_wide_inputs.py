@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from sparrowyard import session
+from sparrowyard.operators import recommend
 from sparrowyard.operators import relational as R
 
 
@@ -47,3 +48,10 @@ def test_overlaps_come_once_from_blocks(spark):
     assert got == sorted((x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1] == y[1] and x[1] and x[2] <= y[3] and y[2] <= x[3])
     made = R.overlap_pairs(df, "id", "g", "s", "e", block=20)._jdf.queryExecution().optimizedPlan().toString()
     assert "blocks" in made
+
+
+def test_collaborative_leaves_rated_items_out_without_a_join(spark):
+    rows = spark.createDataFrame([(1, 1, 5.0), (1, 2, 5.0), (2, 1, 5.0), (2, 3, 4.5), (2, None, 5.0), (1, None, 1.0)], "user long, item long, rating double")
+    got = recommend.collaborative(rows, rows.select("user").distinct())
+    assert sorted((r.user, str(r.item), r.similar_users) for r in got.collect()) == [(1, "3", 1), (1, "None", 1), (2, "2", 1)]
+    assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
