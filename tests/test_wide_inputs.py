@@ -55,3 +55,12 @@ def test_collaborative_leaves_rated_items_out_without_a_join(spark):
     got = recommend.collaborative(rows, rows.select("user").distinct())
     assert sorted((r.user, str(r.item), r.similar_users) for r in got.collect()) == [(1, "3", 1), (1, "None", 1), (2, "2", 1)]
     assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_tags_are_not_broadcast(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(recommend, "cut", lambda df, cut=recommend.cut: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    rows = [(u, i, 4.5) for u in range(4) for i in range(4) if (u + i) % 3]
+    tags = [(i, t, 0.9) for i in range(4) for t in range(3)]
+    assert recommend.by_tags(spark.createDataFrame(rows, "user long, item long, rating double"), spark.createDataFrame(tags, "item long, tag long, score double")).count() == 6
+    assert any("SortMergeJoin [x#" in p for p in plans) and not any("BroadcastHashJoin [x#" in p for p in plans)
