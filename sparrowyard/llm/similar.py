@@ -1,8 +1,9 @@
 """Near-duplicates at a shingle Jaccard similarity of 0.8 and above, each link verified on the shingle sets.
 
-At a similarity of 0.8 SimHash fingerprints differ by about 10 of 64 bits. Exact pivot tables for such a radius
-would be thousands of choices of blocks, so here the cells come from MinHash: 20 bands of 5 values, which a
-pair at 0.8 misses altogether in 0.04 % of cases and closer pairs more rarely. Within a cell, pairs of
+The pivot tables of ``simhash`` come first: fingerprints within 4 bits are linked by them, exactly, and what they link
+is verified. At a similarity of 0.8 SimHash fingerprints differ by about 10 of 64 bits, and exact pivot tables for such
+a radius would be thousands of choices of blocks, so for what the tables left apart further cells come from MinHash: 20 bands
+of 5 values, which a pair at 0.8 misses altogether in 0.04 % of cases and closer pairs more rarely. Within a cell, pairs of
 fingerprints that differ by more than ``radius`` bits are discarded (24 is about five deviations above the
 mean at 0.8; unrelated ones lie at 32 +- 4), and the rest are compared by their sets of shingles.
 
@@ -24,13 +25,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from sparrowyard.llm.common import written
 from sparrowyard.llm.components import components
-from sparrowyard.llm.simhash import one_per_group
+from sparrowyard.llm.simhash import links_of, one_per_group
 from sparrowyard.llm.substrings import Paths
 
 BANDS, WIDTH, ALL_PAIRS = 20, 5, 16
@@ -104,6 +105,15 @@ def sketches(docs: DataFrame, id: str, text: str, size: int) -> DataFrame:
     return rows.mapInArrow(run, rows.select("id", "h").schema.add("c", "long").add("fp", "long").add("bands", ArrayType(LongType())))
 
 
+def _by_tables(texts: DataFrame) -> DataFrame:
+    """Pairs ``u, v`` to compare that the pivot tables link, from rows ``c, fp``: texts of near fingerprints by the least text of each, and others of a fingerprint with its least."""
+    least = written(texts.groupBy("fp").agg(F.min("c").alias("least")), "prints")
+    same = texts.join(least, "fp").select(F.col("least").alias("u"), F.col("c").alias("v"))
+    of = lambda side: least.select(F.col("fp").alias(side), F.col("least").alias(f"{side}_least"))
+    near = links_of(least.select("fp")).join(of("u"), "u").join(of("v"), "v").select(F.col("u_least").alias("u"), F.col("v_least").alias("v"))
+    return same.unionByName(near).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def _pairs(cells: DataFrame, radius: int, all_pairs: int, similarity: float) -> DataFrame:
     """Pairs ``u, v`` to compare, from rows ``cell, o, c, fp, root``: all pairs of small cells, neighbours by ``o`` of others.
 
@@ -197,25 +207,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return joined.select("u", "v", "a", "b").mapInArrow(compared, "u long, v long")
 
 
-def _split(cells: DataFrame, all_pairs: int) -> DataFrame:
-    """Cells of more than ``all_pairs`` texts that fall into several components, with their size."""
-    return cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where((F.col("n") > all_pairs) & (F.col("a") < F.col("b"))).select("cell", "n")
+def _mixed(cells: DataFrame, all_pairs: int) -> DataFrame:
+    """The rows of cells of more than ``all_pairs`` texts that fall into several components, with their cell's size ``n``."""
+    cell = Window.partitionBy("cell")
+    sized = cells.select("*", F.count("*").over(cell).alias("n"), F.min("root").over(cell).alias("a"), F.max("root").over(cell).alias("b"))
+    return sized.where((F.col("n") > all_pairs) & (F.col("a") < F.col("b"))).drop("a", "b")
 
 
-def _in_blocks(cells: DataFrame, split: DataFrame) -> DataFrame:
-    """The split cells' texts once for each pair of blocks that their own block is in; each pair of blocks is a cell."""
+def _in_blocks(mixed: DataFrame) -> DataFrame:
+    """The mixed cells' texts once for each pair of blocks that their own block is in; each pair of blocks is a cell."""
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = cells.join(split, "cell").select("*", blocks.alias("blocks"), F.pmod(F.xxhash64("c"), blocks).cast("int").alias("own"))
+    dealt = mixed.select("*", blocks.alias("blocks"), F.pmod(F.xxhash64("c"), blocks).cast("int").alias("own"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return other.withColumn("cell", F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))).select(*cells.columns)
+    return other.withColumn("cell", F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))).drop("n", "blocks", "own", "other")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 24, all_pairs: int = ALL_PAIRS, wider: tuple = WIDER) -> DataFrame:
     """``id``, ``h`` (hash of the text) and ``root``, equal for texts that links connect, of every row."""
     rows = written(sketches(docs, id, text, size), "sketches")
     one = rows.where("bands is not null").groupBy("c").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
-    roots, links, tried, sets = None, None, None, None
     texts = written(one, "texts")
+    roots, links, tried, sets = None, None, None, None
+
+    def compare(pairs: DataFrame) -> None:
+        """Verify the pairs that were not compared before, and connect what they link."""
+        nonlocal roots, links, tried
+        pairs = written(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        if not pairs.head(1):
+            return
+        of = sets or _sets(pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct(), rows, docs, text, size)
+        new = written(_verified(pairs, of, similarity), "verified")
+        links = new if links is None else links.unionByName(new)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if new.head(1):
+            roots = written(components(links), "roots")
+
+    compare(_by_tables(texts))
     for bands, width in (None, None), *wider, (None, None):
         last = sets is not None and bands is None
         if bands is not None:
@@ -223,19 +250,11 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
         signed = [c for c in texts.columns if c not in ("c", "fp", "bands")]
         cells = texts.select("c", "fp", *signed, F.get("bands", F.lit(0)).alias("o"), F.explode("bands").alias("cell"))
         rooted = lambda: cells.withColumn("root", F.col("c")) if roots is None else cells.join(roots.withColumnRenamed("u", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))  # noqa: B023, E731
-        at = _in_blocks(rooted(), _split(rooted(), all_pairs)) if last else rooted()
-        pairs = _pairs(at, radius, 4 * BLOCK if last else all_pairs, similarity)
-        pairs = written(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
-        if pairs.head(1):
-            of = sets or _sets(pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct(), rows, docs, text, size)
-            new = written(_verified(pairs, of, similarity), "verified")
-            links = new if links is None else links.unionByName(new)
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            if new.head(1):
-                roots = written(components(links), "roots")
+        at = _in_blocks(_mixed(rooted(), all_pairs)) if last else rooted()
+        compare(_pairs(at, radius, 4 * BLOCK if last else all_pairs, similarity))
         if last:
             break
-        mixed = written(rooted().join(_split(rooted(), all_pairs), "cell", "left_semi").select("c").distinct(), "mixed")
+        mixed = written(_mixed(rooted().select("cell", "c", "root"), all_pairs).select("c").distinct(), "mixed")
         if not mixed.head(1):
             break
         sets = sets or _sets(mixed, rows, docs, text, size)

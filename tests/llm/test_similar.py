@@ -101,3 +101,33 @@ def test_texts_around_a_common_passage_are_compared_whatever_their_number(spark,
     for r in similar.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3), all_pairs=4, wider=wider).collect():
         got.setdefault(r.root, set()).add(r.id)
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_near_fingerprints_are_linked_by_the_pivot_tables_and_verified(spark, monkeypatch):
+    """Without any band, texts whose fingerprints differ by 4 bits or fewer still meet, and only those at 0.8 are linked."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(0, 60, 2):
+        a = text_of(rng, 400)
+        rows += [(i, " ".join(a)), (i + 1, " ".join(a[:i] + ["new"] + a[i:]))]
+    rows += [(1000, "one two three"), (1001, "one two three four")]
+    prints = {i: similar._fingerprint(similar.shingles(t)) & (1 << 64) - 1 for i, t in rows}
+    near = {i for i in range(0, 60, 2) if (prints[i] ^ prints[i + 1]).bit_count() <= 4}
+    assert len(near) > 20 and len(components_of(rows)) - len({*components_of(rows)}) == 30
+    monkeypatch.setattr(similar, "_pairs", lambda cells, *_: cells.sparkSession.createDataFrame([], "u long, v long"))
+    found = similar.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    groups = {}
+    for r in found.collect():
+        groups.setdefault(r.root, []).append(r.id)
+    assert sorted(sorted(g) for g in groups.values() if len(g) > 1) == [[i, i + 1] for i in sorted(near)]
+
+
+def test_mixed_cells_are_found_without_a_row_for_each_pair_or_join(spark):
+    """Texts of cells over the limit that several components share; their rows come from one pass over the cells."""
+    rng = random.Random(5)
+    rows = [(cell, c, c if cell % 3 else 7) for cell in range(40) for c in rng.sample(range(500), rng.randint(1, 30))]
+    found = similar._mixed(spark.createDataFrame(rows, "cell long, c long, root long"), 16)
+    of = lambda cell: [r for r in rows if r[0] == cell]
+    want = [(*r, len(of(r[0]))) for r in rows if len(of(r[0])) > 16 and len({x[2] for x in of(r[0])}) > 1]
+    assert want and sorted(map(tuple, found.select("cell", "c", "root", "n").collect())) == sorted(want)
+    assert "Join" not in found._jdf.queryExecution().toString()
