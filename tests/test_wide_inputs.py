@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from sparrowyard import session
-from sparrowyard.operators import recommend
+from sparrowyard.operators import graph, recommend
 from sparrowyard.operators import relational as R
 
 
@@ -64,3 +64,15 @@ def test_pairs_of_tags_are_not_broadcast(spark, monkeypatch):
     tags = [(i, t, 0.9) for i in range(4) for t in range(3)]
     assert recommend.by_tags(spark.createDataFrame(rows, "user long, item long, rating double"), spark.createDataFrame(tags, "item long, tag long, score double")).count() == 6
     assert any("SortMergeJoin [x#" in p for p in plans) and not any("BroadcastHashJoin [x#" in p for p in plans)
+
+
+def test_edges_in_buckets_are_not_shuffled_by_the_rounds(spark):
+    rows = spark.range(1000).selectExpr("id % 100 as node", "id as to")
+    e = graph.bucketed(rows, "node")
+    joined = spark.range(100).selectExpr("id as node").hint("merge").join(e, "node")
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, joined.select("node", "to").collect())) == sorted(map(tuple, rows.collect()))
+    line = spark.createDataFrame([(i, i + 1, 1.0) for i in range(12)], "src long, dst long, w double")
+    found = graph.shortest_paths(line, spark.createDataFrame([(0,), (5,)], "id long")).collect()
+    assert sorted((r.source, r.node, r.dist) for r in found) == [(s, n, float(n - s)) for s in (0, 5) for n in range(s, 13)]
+    assert graph.shortest_paths(line.limit(0), spark.createDataFrame([(3,)], "id long")).collect() == [(3, 3, 0.0)]
