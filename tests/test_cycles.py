@@ -73,3 +73,9 @@ def test_cycles_of_three_shuffle_transfers_and_not_pairs(spark, unicast):
     tx = spark.createDataFrame([(i, i % 5, (i // 5 + i % 5 + 1) % 5, 10 * i, 30) for i in range(1500)], TX)
     n, rows = shuffled_rows(unicast, lambda: ledger.cycles3(tx, 3000, 50).count())
     assert n > 100_000 and rows < 20_000
+
+
+def test_cycles_of_four_shuffle_transfers_and_not_paths(spark, unicast):
+    tx = spark.createDataFrame([(i, i % 5, (i // 5 + i % 5 + 1) % 5, 10 * i, 30) for i in range(600)], TX)
+    n, rows = shuffled_rows(unicast, lambda: ledger.temporal_cycles(tx, 4, 1500, 50).count())
+    assert n > 100_000 and rows < 20_000
