@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparrowyard.operators import ledger
+from sparrowyard.operators import cycles, ledger
 from sparrowyard.operators import relational as R
 
 #: Columns of an alert; ``n`` counts the transactions that it is about.
@@ -57,6 +57,28 @@ def hits(tx: DataFrame, velocity: tuple = (15, 60_000), structuring: tuple = (8,
     )
 
 
-def alerts(tx: DataFrame, **rules) -> DataFrame:
-    """Alerts of all rules, one per id: columns ``ALERT``. Rules as for ``hits``."""
-    return first_of_minute(hits(tx, **rules))
+def _cycles(hits: DataFrame, hops: int) -> DataFrame:
+    names = [f"a{i}" for i in range(hops)]
+    ids = F.array(*[f"tx{i}" for i in range(hops)])
+    return hits.select(
+        F.lit("CYCLE").alias("pattern"), F.concat_ws(",", *names, *(names[:1] if hops == 2 else [])).alias("accounts"), "ms",
+        F.col("total").alias("amount_cents"), F.lit(hops).cast("long").alias("n"), ids.alias("tx_ids"))
+
+
+def cycle_alerts(transfers: DataFrame, span: int = 600_000, min_total: int = 100_000_000, cell: int = cycles.CELL) -> DataFrame:
+    """``first_of_minute`` of ``cycle_hits``, without making the hits: cells look the first of a minute up (``cycles.first_of_cell``).
+
+    A cell without parts has all transfers of its accounts and minutes, so its alerts are final; only those of others meet in a shuffle.
+    """
+    done, rest = [], []
+    for hops in (2, 3):
+        whole, parts = cycles.first_found(transfers, hops, span, min_total, MINUTE, cell)
+        done.append(identified(_cycles(whole, hops)).select(*ALERT))
+        rest.append(_cycles(parts, hops))
+    return R.union_all(*done, first_of_minute(R.union_all(*rest)))
+
+
+def alerts(tx: DataFrame, velocity: tuple = (15, 60_000), structuring: tuple = (8, 3_600_000, 1_000_000), cycle: tuple = (600_000, 100_000_000), kinds: tuple = ("TRANSFER",)) -> DataFrame:
+    """Alerts of all rules, one per id: columns ``ALERT``. Rules as for ``hits``, whose ``first_of_minute`` they are."""
+    bursts = R.union_all(_bursts("VELOCITY", ledger.velocity(tx, *velocity)), _bursts("STRUCTURING", ledger.structuring(tx, *structuring)))
+    return first_of_minute(bursts).unionByName(cycle_alerts(tx.where(F.col("type").isin(*kinds)), *cycle))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from sparrowyard.operators import cycles, ledger
+from sparrowyard.operators import alerts, cycles, ledger
 
 TX = "tx_id long, orig long, dest long, ms long, amount_cents long"
 
@@ -79,3 +79,20 @@ def test_cycles_of_four_shuffle_transfers_and_not_paths(spark, unicast):
     tx = spark.createDataFrame([(i, i % 5, (i // 5 + i % 5 + 1) % 5, 10 * i, 30) for i in range(600)], TX)
     n, rows = shuffled_rows(unicast, lambda: ledger.temporal_cycles(tx, 4, 1500, 50).count())
     assert n > 100_000 and rows < 20_000
+
+
+@pytest.mark.parametrize("cell", [12, 60, 100_000])
+def test_first_cycles_of_a_minute_are_those_of_all_hits(spark, cell):
+    rows = [(i, u, v, ms * 60, amount) for i, u, v, ms, amount in made(7, 250, 5, 9000)] + [(300 + i, 1, 2, 100_000 + 400 * i, 3 + i % 20) for i in range(40)]
+    rows += [(i, 4, 3, 100_000 + i, 40) for i in range(300, 306)]  # ids that other accounts have too
+    tx = spark.createDataFrame(rows, TX)
+    wanted = alerts.first_of_minute(alerts.cycle_hits(tx, 100_000, 70))
+    got = alerts.cycle_alerts(tx.repartition(3), 100_000, 70, cell)
+    want = sorted(map(tuple, wanted.collect()))
+    assert len(want) > 200 and sorted(map(tuple, got.select(*wanted.columns).collect())) == want
+
+
+def test_alerts_do_not_shuffle_hits(spark, unicast):
+    tx = spark.createDataFrame([(i, i % 5, (i // 5 + i % 5 + 1) % 5, 10 * i, 30, "TRANSFER") for i in range(1500)], f"{TX}, type string")
+    n, rows = shuffled_rows(unicast, lambda: alerts.alerts(tx, cycle=(3000, 50)).count())
+    assert n == 20 + 60 + 5 + 5 and rows < 60_000  # of two hops, of three, bursts
