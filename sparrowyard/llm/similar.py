@@ -61,6 +61,8 @@ def _fingerprint(s: np.ndarray) -> int:
 
 #: Words of 64 bits, one bit of each of so many least values. Two texts agree in half of the bits that their similarity leaves.
 SIGNATURE = 7
+#: The same where blocks are compared: 2048 bits, that is bands and their width, which leave out pairs below a similarity of 0.73 or so and not only of 0.66.
+LONG, LONG_OF = 32, (128, 16)
 
 
 def _agreeing(bits: int, similarity: float) -> int:
@@ -69,7 +71,7 @@ def _agreeing(bits: int, similarity: float) -> int:
     return int(bits * apart + 5 * (bits * apart * (1 - apart)) ** 0.5)
 
 
-def _bands(s: np.ndarray, bands: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _bands(s: np.ndarray, bands: int, width: int, words: int = SIGNATURE) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each band's least values, and the signature; bands of another width have other hashes."""
     flip, times = _functions(bands * width)
     least = np.full(bands * width, 2**64 - 1, np.uint64)
@@ -80,7 +82,7 @@ def _bands(s: np.ndarray, bands: int, width: int) -> tuple[np.ndarray, np.ndarra
     for column in least.reshape(bands, width).T:
         mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(32)
-    signature = np.packbits((least[: 64 * min(SIGNATURE, len(least) // 64)] >> np.uint64(20) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+    signature = np.packbits((least[: 64 * min(words, len(least) // 64)] >> np.uint64(20) & np.uint64(1)).astype(np.uint8)).view(np.int64)
     return mixed.view(np.int64), signature
 
 
@@ -119,7 +121,7 @@ def _pairs(cells: DataFrame, radius: int, all_pairs: int, similarity: float) ->
 
     Where rows have a signature (columns ``s0`` and so on), pairs that differ in more of it than texts of the similarity do are left out.
     """
-    more = [c for c in (f"s{i}" for i in range(SIGNATURE)) if c in cells.columns]
+    more = [c for c in (f"s{i}" for i in range(LONG)) if c in cells.columns]
     width, apart = 5 + len(more), _agreeing(64 * len(more), similarity)
     dealt = cells.select("cell", "o", "c", "fp", "root", *more).repartition("cell").sortWithinPartitions("cell", "o", "c")
 
@@ -176,14 +178,14 @@ def _sets(nodes: DataFrame, rows: DataFrame, docs: DataFrame, text: str, size: i
     return written(texts.mapInArrow(run, "c long, s binary").dropDuplicates(["c"]), "shingles")
 
 
-def _banded(sets: DataFrame, bands: int, width: int) -> DataFrame:
+def _banded(sets: DataFrame, bands: int, width: int, most: int = SIGNATURE) -> DataFrame:
     """``c, fp, bands`` of sets, and the signature's words."""
-    words = min(SIGNATURE, bands * width // 64)
+    words = min(most, bands * width // 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            found = [_bands(s, bands, width) for s in of]
+            found = [_bands(s, bands, width, most) for s in of]
             signature = np.stack([x for _, x in found]) if found else np.zeros((0, words), np.int64)
             columns = [pa.array(map(_fingerprint, of), pa.int64()), pa.array([x for x, _ in found], pa.list_(pa.int64())), *[pa.array(x.copy()) for x in signature.T]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["c", "fp", "bands", *[f"s{i}" for i in range(words)]])
@@ -250,7 +252,10 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
         signed = [c for c in texts.columns if c not in ("c", "fp", "bands")]
         cells = texts.select("c", "fp", *signed, F.get("bands", F.lit(0)).alias("o"), F.explode("bands").alias("cell"))
         rooted = lambda: cells.withColumn("root", F.col("c")) if roots is None else cells.join(roots.withColumnRenamed("u", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))  # noqa: B023, E731
-        at = _in_blocks(_mixed(rooted(), all_pairs)) if last else rooted()
+        at = rooted()
+        if last:
+            long = written(_banded(sets.join(mixed, "c", "left_semi"), *LONG_OF, LONG).drop("fp", "bands"), "long")
+            at = _in_blocks(_mixed(rooted().drop(*signed), all_pairs)).join(long, "c")
         compare(_pairs(at, radius, 4 * BLOCK if last else all_pairs, similarity))
         if last:
             break

@@ -131,3 +131,20 @@ def test_mixed_cells_are_found_without_a_row_for_each_pair_or_join(spark):
     want = [(*r, len(of(r[0]))) for r in rows if len(of(r[0])) > 16 and len({x[2] for x in of(r[0])}) > 1]
     assert want and sorted(map(tuple, found.select("cell", "c", "root", "n").collect())) == sorted(want)
     assert "Join" not in found._jdf.queryExecution().toString()
+
+
+def test_long_signatures_leave_out_pairs_below_the_similarity(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 2**64, 400, np.uint64)
+    at = lambda shared: np.unique(np.concatenate([common[:shared], rng.integers(0, 2**64, 400 - shared, np.uint64)]))
+    sets = [at(330) for _ in range(60)]  # of these, two are alike by 0.70
+    sets += [np.unique(np.concatenate([s[:370], rng.integers(0, 2**64, 30, np.uint64)])) for s in sets[:20]]  # and each with its own by 0.86
+    rows = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "c long, s binary")
+    pairs = {}
+    for how in ((130, 12), (*similar.LONG_OF, similar.LONG)):
+        cells = similar._banded(rows, *how).selectExpr("0L as cell", "0L as o", "*", "c as root")
+        pairs[how[0]] = {(r.u, r.v) for r in similar._pairs(cells, 64, 4 * similar.BLOCK, 0.8).collect()}
+    assert {(i, 60 + i) for i in range(20)} <= pairs[128]
+    assert len(pairs[128]) < 200 and len(pairs[130]) > 1000
