@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from sparrowyard.llm.common import written
-from sparrowyard.llm.components import components
+from sparrowyard.llm.components import components, contracted, joined
 from sparrowyard.llm.simhash import links_of, one_per_group
 from sparrowyard.llm.substrings import Paths
 
@@ -229,20 +229,19 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     rows = written(sketches(docs, id, text, size), "sketches")
     one = rows.where("bands is not null").groupBy("c").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     texts = written(one, "texts")
-    roots, links, tried, sets = None, None, None, None
+    roots, tried, sets = None, None, None
 
     def compare(pairs: DataFrame) -> None:
-        """Verify the pairs that were not compared before, and connect what they link."""
-        nonlocal roots, links, tried
+        """Verify the pairs that were not compared before, and connect what they link with what is connected."""
+        nonlocal roots, tried
         pairs = written(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         if not pairs.head(1):
             return
         of = sets or _sets(pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct(), rows, docs, text, size)
         new = written(_verified(pairs, of, similarity), "verified")
-        links = new if links is None else links.unionByName(new)
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if new.head(1):
-            roots = written(components(links), "roots")
+        if n := new.count():
+            roots = written(components(contracted(new, n)) if roots is None else joined(roots, new, n), "roots")
 
     compare(_by_tables(texts))
     for bands, width in (None, None), *wider, (None, None):

@@ -100,3 +100,36 @@ def test_components_raise_when_unfinished(spark):
     with pytest.raises(components.NotConverged):
         components.components(links, rounds=2)
     assert components.components(links).select("root").distinct().count() == 1
+
+
+def test_components_of_more_links(spark):
+    """Links come in parts, as the near-duplicate stage finds them; every part is added to what the parts before connect."""
+    rng = random.Random(5)
+    parts = [[(rng.randrange(400), rng.randrange(400)) for _ in range(90)] for _ in range(4)]
+    parts[2] = parts[0][:20] + [(7, 7)]
+    up = {i: i for i in range(400)}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    roots = None
+    for part in parts:
+        for a, b in part:
+            x, y = sorted((top(a), top(b)))
+            up[y] = x
+        links = spark.createDataFrame(part, "u long, v long").repartition(3)
+        roots = components.components(components.contracted(links, 90, 16)) if roots is None else components.joined(roots, links, 90)
+        got = roots.collect()
+        assert len(got) == len({r.u for r in got}) and {r.u: r.root for r in got}.items() <= {i: top(i) for i in up}.items()
+        assert {i for i in up if top(i) != i} <= {r.u for r in got}
+
+
+def test_adding_links_writes_few_tables(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(components, "written", lambda df, name, f=components.written: names.append(name) or f(df, name))
+    stars = spark.createDataFrame([(i, i % 5) for i in range(5, 200)], "u long, v long").repartition(4)
+    roots = components.components(stars)
+    components.joined(roots, spark.createDataFrame([(11, 12), (300, 13)], "u long, v long"), 2).collect()
+    assert len(names) == 2  # no round where links are stars; four tables before, as a round confirmed each
