@@ -8,18 +8,20 @@ the other. Bit predictors give each decision a log-odds:
 * **match**: the token that followed the last place of the same two (or one) previous tokens in this text.
 
 The predictors are mixed in the logistic domain, ``p = squash(sum(w * stretch(p_i)))``. The weights are gated: a set
-is chosen by what order 1 has seen, by the match and by the depth. They start from a fit on a bounded sample of
-training texts and are **refined online**: after each ``BLOCK`` tokens of a text, its own weights take a gradient step
+is chosen by what order 1 has seen, by the match and by the depth. They start from a fit on all decisions of all training
+texts, each token's own occurrence taken off the counts, and are **refined online**: after each ``BLOCK`` tokens of a text, its own weights take a gradient step
 on the decisions just coded. Tokens of one code are told apart by their training counts, with 0.1 for one that
 training never saw, so the probabilities of all tokens add up to one. Bits per byte follow from the total.
 
 On Spark: texts become slices of tokens with each slice's distinct keys (words, contexts with the first ``HIGH``
 bits, pairs of contexts and codes), counted where they stand. Keys are dealt out in compressed blocks by ranges of
 hashes, counts are added up per key over the corpus, and each slice gets its keys' counts back, with those of the
-branches along their codes that none of its keys takes.
+branches along their codes that none of its keys takes. From these a slice first tallies its training texts' decisions by gate
+and rounded inputs; tallies are added up and fitted gate by gate, and the weights go back to the slices, whose counts Spark
+shuffles once for both.
 A context that many texts share is dealt out by the first ``HIGH`` bits of what follows, so none is one task, and a
 slice sends a key once however often it has it. What is gathered grows with the corpus: all its words and pairs. The driver sees
-counts of 65,536 code prefixes, three sums and the weights.
+counts of 65,536 code prefixes and three sums.
 
 Words are told apart by 64-bit hashes (XXH64); among a billion words one pair collides with a chance of 3 %.
 Defined results: null texts are empty, an empty text is its end alone; ids are read as text for the split,
@@ -381,19 +383,14 @@ class Predictors:
         wrong = np.frexp((predicted ^ tokens.codes[tokens.index]).astype(np.float32))[1]
         self.agree = np.where(self.cls > 0, BITS - wrong, -1).astype(np.int8)
 
-    @staticmethod
-    def _pairs(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    @classmethod
+    def of_slice(cls, tokens: Tokens, got: list[tuple[int, int, list[bytes]]], cells: np.ndarray, own: int = 0) -> Predictors:
+        """From what came back: kind, bucket and blobs of the slice's keys. Log-odds and classes are those without ``own`` occurrences of a token."""
         pairs, number = tokens.pairs()
         contexts, of = _distinct(contexts_of(pairs))
-        return pairs, number, contexts, of
-
-    @classmethod
-    def of_slice(cls, tokens: Tokens, got: list[tuple[int, int, list[bytes]]], cells: np.ndarray) -> Predictors:
-        """From what came back: kind, bucket and blobs of the slice's keys."""
-        pairs, number, contexts, of = cls._pairs(tokens)
         words, exact = len(tokens.hashes), np.zeros((3, len(tokens.hashes)), np.int64)
         zero, one, seen = np.empty((words, BITS), np.int8), np.empty((len(pairs), BITS), np.int8), np.empty((len(pairs), BITS), np.uint8)
-        zero[:, :TOP] = _tops(cells, tokens.codes)
+        zero[:, :TOP] = _tops(cells, tokens.codes, own)
         high = [np.empty((len(contexts), HIGH), t) for t in (np.int8, np.uint8)]
         into = {WORDS: (zero[:, TOP:], None), CONTEXTS: tuple(high), PAIRS: (one[:, HIGH:], seen[:, HIGH:])}
         for kind, keys in {WORDS: tokens.hashes, CONTEXTS: contexts, PAIRS: pairs}.items():
@@ -403,7 +400,7 @@ class Predictors:
                 mine = slice(at, at + len(more[0]))
                 at = mine.stop
                 counts = _counts(keys[mine], more[0] + more[1] if kind == WORDS else more[0], untaken, _levels(kind))
-                odds, classes = _learned(counts)
+                odds, classes = _learned([np.maximum(c - own, 0) for c in counts])
                 into[kind][0][mine] = odds.T
                 if kind == WORDS:
                     exact[:, mine] = more[0], counts[-1], more[2] + (counts[-1] > 0)
@@ -412,29 +409,23 @@ class Predictors:
         one[:, :HIGH], seen[:, :HIGH] = (x[of] for x in high)
         return cls(tokens, zero, one, seen, exact, number)
 
-    @classmethod
-    def of_sample(cls, tokens: Tokens) -> Predictors:
-        """A sample that learns from its own texts alone, each token's own occurrence taken off."""
-        learn, (pairs, number, contexts, of) = np.ones(len(tokens.cuts) - 1, bool), cls._pairs(tokens)
-        found = {kind: (keys, n) for kind, keys, n in _keys(tokens, learn, (WORDS, CONTEXTS, PAIRS))}
-        made = {kind: [x.T for x in _learned([np.maximum(c - 1, 0) for c in _along(keys, n, _levels(kind))])] for kind, (keys, n) in found.items()}
-        cells = np.bincount(tokens.codes >> (BITS - TOP), found[WORDS][1], 1 << TOP).astype(np.int64)
-        one, seen = (np.concatenate([made[CONTEXTS][k][of], made[PAIRS][k]], axis=1) for k in (0, 1))
-        zero = np.concatenate([_tops(cells, tokens.codes, 1), made[WORDS][0]], axis=1)
-        return cls(tokens, zero, one, seen, np.stack(_exact(*found[WORDS])), number)
-
-    def inputs(self, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """Log-odds of the branches taken, an array ``(tokens, BITS)`` per input, and gates, for tokens ``at``.
-
-        Log-odds of the other branch are the negatives; gates depend on what is known before the decision.
-        """
+    def decisions(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Steps of log-odds of orders 0 and 1, the match's vote and gates, arrays ``(tokens, BITS)``, for tokens ``at``."""
         pair = self.pair[at]
         d, agree = np.arange(BITS, dtype=np.int8), self.agree[at][:, None]
         active = d <= agree
         match = active.astype(np.float32)
         match[d == agree] = -1
         gate = self.seen[pair] + active * (self.cls[at] * np.uint8(DEPTHS)).astype(np.uint8)[:, None]
-        return [self.zero[self.tokens.index[at]] * np.float32(1 / STEPS), self.one[pair] * np.float32(1 / STEPS), match], gate
+        return self.zero[self.tokens.index[at]], self.one[pair], match, gate
+
+    def inputs(self, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Log-odds of the branches taken, an array ``(tokens, BITS)`` per input, and gates, for tokens ``at``.
+
+        Log-odds of the other branch are the negatives; gates depend on what is known before the decision.
+        """
+        zero, one, match, gate = self.decisions(at)
+        return [zero * np.float32(1 / STEPS), one * np.float32(1 / STEPS), match], gate
 
     def within_code(self) -> np.ndarray:
         """Natural log of each token's probability among those of its code."""
@@ -442,17 +433,33 @@ class Predictors:
         return np.log((n + PRIOR) / (code + PRIOR * (kinds + 1)))[self.tokens.index]
 
 
-def fitted(p: Predictors, rounds: int = 8, ridge: float = 20.0) -> np.ndarray:
-    """Weights ``(INPUTS, GATES)`` by Newton's method; ``ridge`` draws those of rare gates to a plain mix."""
-    inputs, gate = p.inputs(np.arange(len(p.tokens.index)))
-    x, gate = [v.ravel() for v in inputs], gate.ravel().astype(np.int64)
-    plain = np.array([[0.5], [0.5], [1.0]])
-    w = np.tile(plain, (1, GATES))
+#: Levels of a log-odds in tallies, half a unit apart, and the level of each byte.
+LEVELS = 33
+_LEVEL = (np.rint(np.arange(256).astype(np.uint8).view(np.int8) / (STEPS / 2)) + LEVELS // 2).astype(np.int32)
+
+
+def tallied(p: Predictors, learn: np.ndarray, together: int = 1 << 15) -> np.ndarray:
+    """How many decisions of the texts to learn from have each gate (a row), vote of the match, and level of orders 1 and 0."""
+    out = np.zeros(GATES * 3 * LEVELS**2, np.int64)
+    at = np.flatnonzero(learn[p.tokens.text])
+    for i in range(0, len(at), together):
+        zero, one, match, gate = p.decisions(at[i : i + together])
+        cell = gate.astype(np.int32) * 3 + match.astype(np.int32) + 1
+        cell = (cell * LEVELS + _LEVEL[one.view(np.uint8)]) * LEVELS + _LEVEL[zero.view(np.uint8)]
+        out += np.bincount(cell.ravel(), minlength=len(out))
+    return out.reshape(GATES, -1)
+
+
+def fitted(tally: np.ndarray, rounds: int = 8, ridge: float = 20.0) -> np.ndarray:
+    """A gate's weights by Newton's method; ``ridge`` draws those of rare gates to a plain mix."""
+    there = np.flatnonzero(tally)
+    n, x = tally[there], np.stack([there % LEVELS - LEVELS // 2, there // LEVELS % LEVELS - LEVELS // 2, 2 * (there // LEVELS**2 - 1)]) / 2
+    plain = np.array([0.5, 0.5, 1.0])
+    w = plain
     for _ in range(rounds):
-        q = 1 / (1 + np.exp(np.clip(sum(w[i][gate] * x[i] for i in range(INPUTS)), -15, 15)))  # of the branch not taken
-        g = np.stack([np.bincount(gate, q * v, GATES) for v in x]) - ridge * (w - plain)
-        h = np.stack([[np.bincount(gate, q * (1 - q) * a * b, GATES) for a in x] for b in x]).transpose(2, 0, 1) + ridge * np.eye(INPUTS)
-        w = w + np.clip(np.linalg.solve(h, g.T[:, :, None])[:, :, 0], -1, 1).T
+        q = 1 / (1 + np.exp(np.clip(w @ x, -15, 15)))  # of the branch not taken
+        g = x @ (n * q) - ridge * (w - plain)
+        w = w + np.clip(np.linalg.solve((x * (n * q * (1 - q))) @ x.T + ridge * np.eye(INPUTS), g), -1, 1)
     return w
 
 
@@ -500,11 +507,11 @@ def mixed(p: Predictors, start: np.ndarray, rate: float = 0.5, trust: float = 20
     return out + np.bincount(p.tokens.text, p.within_code(), len(lengths))
 
 
-def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: list[str] | None = None, sample: int = 400, slice_bytes: int = 14_500_000, rate: float = 0.5) -> DataFrame:
+def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: list[str] | None = None, slice_bytes: int = 14_500_000, rate: float = 0.5) -> DataFrame:
     """``row`` (the kept columns, all by default), ``held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``.
 
-    Scores are log10 probabilities; ``base_score`` is that of smoothed training counts. ``sample``: about so many training
-    texts, chosen by hash, copies once, to which the starting weights are fitted (in one task); counts come from all of them.
+    Scores are log10 probabilities; ``base_score`` is that of smoothed training counts. Counts and starting weights come from
+    all training texts.
     """
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % 10 == 0, F.lit(False))
@@ -515,17 +522,6 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: list[s
         return spark.createDataFrame([], kind)
     buckets = int(min(2048, max(8, -(-bytes_ // 24_000_000))))
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [b.column(0) for b in batches]
-        if sum(map(len, texts)):
-            all_texts = pa.concat_arrays(texts)
-            all_texts = all_texts.take(pc.sort_indices(all_texts))  # the sums then do not depend on partitions
-            yield pa.RecordBatch.from_pylist([{"w": fitted(Predictors.of_sample(Tokens.of(all_texts))).ravel().tolist()}])
-
-    few = rows.where("learn").where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int(min(1.0, sample / all_) * (1 << 30))).select("t").distinct()
-    got = few.coalesce(1).mapInArrow(fit, "w array<double>").first()
-    start = np.array(got.w).reshape(INPUTS, GATES) if got else np.tile([[0.5], [0.5], [1.0]], (1, GATES))
-
     # bucketed by slice, so that the slices themselves need not be shuffled when their counts come back
     name = f"slices_{uuid.uuid4().hex}"
     _slices(rows, slice_bytes).write.bucketBy(3 * buckets, "slice").option("path", scratch_path(spark, "slices")).saveAsTable(name)
@@ -538,12 +534,22 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: list[s
     trained = int(cells.sum())
     others = _dealt(whole, (CONTEXTS, PAIRS), buckets).groupBy("kind", "bucket").applyInArrow(_merged, _BLOBS)
 
-    def score(key: tuple, one: pa.Table, counted: pa.Table) -> pa.Table:
+    def predictors(one: pa.Table, counted: pa.Table, own: int) -> tuple[pa.RecordBatch, Predictors]:
         blobs = one["blobs"][0].as_py()
-        kept, tokens = _kept(blobs), Tokens.unpacked(blobs[1:])
         got = list(zip(counted["kind"].to_pylist(), counted["bucket"].to_pylist(), counted["blobs"].to_pylist(), strict=True))
-        p = Predictors.of_slice(tokens, got, cells)
-        del got, blobs
+        return _kept(blobs), Predictors.of_slice(Tokens.unpacked(blobs[1:]), got, cells, own)
+
+    def tally(key: tuple, one: pa.Table, counted: pa.Table) -> pa.Table:
+        kept, p = predictors(one, counted, 1)
+        found = tallied(p, kept.column(1).to_numpy(zero_copy_only=False))
+        return pa.table({"gate": np.arange(GATES, dtype=np.int32), "n": [_press_counts(n) for n in found]})
+
+    def fit(key: tuple, tallies: pa.Table) -> pa.Table:
+        return pa.table({"gate": pa.array([key[0].as_py()], pa.int32()), "w": [fitted(sum(_open_counts(n) for n in tallies["n"].to_pylist()))]})
+
+    def score(key: tuple, one: pa.Table, counted: pa.Table) -> pa.Table:
+        kept, p = predictors(one, counted, 0)
+        tokens, start = p.tokens, np.array(one["start"][0].as_py()).T
         c, texts = p.exact[0][tokens.index], len(tokens.cuts) - 1
         base = np.bincount(tokens.text, np.log10((c + PRIOR) / (trained + PRIOR * (kinds + 1))), texts)
         found = mixed(p, start, rate) / np.log(10)
@@ -556,4 +562,8 @@ def scores(docs: DataFrame, id: str = "doc_id", text: str = "text", keep: list[s
         })
 
     counted = words.where("slice is not null").unionByName(others)
-    return whole.groupBy("slice").cogroup(counted.groupBy("slice")).applyInArrow(score, kind)
+    tallies = whole.groupBy("slice").cogroup(counted.groupBy("slice")).applyInArrow(tally, "gate int, n binary")
+    fits = tallies.groupBy("gate").applyInArrow(fit, "gate int, w array<double>")
+    start = fits.agg(F.sort_array(F.collect_list(F.struct("gate", "w"))).getField("w").alias("start"))
+    # one query, so that the counts' shuffle serves both
+    return whole.crossJoin(F.broadcast(start)).groupBy("slice").cogroup(counted.groupBy("slice")).applyInArrow(score, kind)

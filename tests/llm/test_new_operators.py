@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,3 +212,45 @@ def test_sources_at_their_cap(spark, case):
         assert abs(taken - of[0].target) <= longest
         if of[0].target >= 3 * of[0].source_size:
             assert all(r.copies == 3 for r in of)
+
+
+def test_weights_learn_from_every_training_text(spark):
+    """A text's order of words changes only its own counts and the starting weights, so the others' scores tell whether it was learned from."""
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{rng.randrange(200)}" for _ in range(20))) for i in range(900) if zlib.crc32(str(i).encode()) % 10]
+    own = [f"x{k % 40}" for k in range(1000)]
+
+    def outside():  # an order that a sample of 400 texts by hash would not have
+        while True:
+            t = " ".join(["first", *own, "last"])  # what other texts share with it, the ends of texts, stays
+            if spark.range(1).select(F.pmod(F.xxhash64(F.lit(t)), F.lit(1 << 30))).first()[0] > int(400 / len(rows) * (1 << 30)):
+                return t
+            rng.shuffle(own)
+
+    def scored():
+        df = spark.createDataFrame([*rows, (1000, outside())], "doc_id long, text string").repartition(3)
+        return {r.row.doc_id: r.score for r in context_mixing.scores(df).collect()}
+
+    before = scored()
+    rng.shuffle(own)
+    after = scored()
+    assert max(abs(before[i] - after[i]) for i, _ in rows) > 1e-3
+
+
+def test_tally_is_of_all_decisions_and_without_the_own_occurrence():
+    texts = pa.array(["a b a b c", "a b d", None])
+    tokens = context_mixing.Tokens.of(texts)
+    cells = np.bincount(tokens.codes[tokens.index] >> 4, minlength=1 << 16)
+    got = []
+    for kind, keys, count in context_mixing._keys(tokens, np.ones(3, bool), (0, 1, 2)):
+        path = context_mixing._along(keys, count, context_mixing._levels(kind))
+        exact = [path[-1]] if kind else [count, path[-1] - count, np.zeros(len(keys), np.int64)]
+        got.append((kind, 0, [context_mixing._press_counts(x) for x in (context_mixing._untaken(keys, path, context_mixing._levels(kind)), *exact)]))
+    p = context_mixing.Predictors.of_slice(tokens, got, cells, 1)
+    tally = context_mixing.tallied(p, np.array([True, False, True]))
+    assert tally.sum() == context_mixing.BITS * (6 + 1)
+    pairs, number = tokens.pairs()
+    once = np.bincount(number) == 1
+    assert 0 < once.sum() < len(pairs) and (p.seen[once, -1] // (context_mixing.MATCHES * context_mixing.DEPTHS) == 0).all()
+    w = context_mixing.fitted(tally.sum(axis=0))
+    assert w.shape == (3,) and np.isfinite(w).all()
