@@ -132,4 +132,4 @@ def test_adding_links_writes_few_tables(spark, monkeypatch):
     stars = spark.createDataFrame([(i, i % 5) for i in range(5, 200)], "u long, v long").repartition(4)
     roots = components.components(stars)
     components.joined(roots, spark.createDataFrame([(11, 12), (300, 13)], "u long, v long"), 2).collect()
-    assert len(names) == 2  # no round where links are stars; four tables before, as a round confirmed each
+    assert len(names) == 2  # the links of each call; no round where they are stars
